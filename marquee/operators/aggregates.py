@@ -60,8 +60,8 @@ def arg_max(df: DataFrame, keys: Sequence[str], value: str, by: Column | str, na
 def trim_quantiles(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Rows between two quantiles of a column with a small domain (minutes, years, ratings)."""
     bounds = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("b"))
-    edge = bounds.select("b").scalar()
-    return df.filter(F.col(column).between(edge[0], edge[1]))
+    edged = df.withColumn("_b", bounds.scalar())
+    return edged.filter(F.col(column).between(F.col("_b")[0], F.col("_b")[1])).drop("_b")
 
 
 def pivot_matrix(df: DataFrame, row: str, col: str, value: Column, columns: Sequence, fill=0) -> DataFrame:
@@ -109,47 +109,36 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def bin_index(value: Column, low: Column, high: Column, bins: int) -> Column:
     """1..bins with the maximum in the last bin; NULL outside the edges. A zero range is widened by half each way."""
     flat = low == high
-    low, high = F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
-    place = F.least(F.floor((value - low) / (high - low) * bins) + 1, F.lit(bins))
+    start = F.when(flat, low - 0.5).otherwise(low)
+    width = F.when(flat, F.lit(1.0)).otherwise(high - low)
+    place = F.least(F.floor((value - start) / width * bins) + 1, F.lit(bins))
     return F.when((value >= low) & (value <= high), place.cast("int"))
 
 
-def unpivot(df: DataFrame, columns: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
-    """(feature, value) rows of numeric columns, nulls dropped."""
-    entries = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns])
-    long = df.select(F.explode(entries).alias("_e")).select("_e.*")
-    return long.filter(F.col(value).isNotNull())
-
-
 def column_edges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, low, high) for each column, from one aggregate."""
-    spans = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c) for c in columns])
-    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}.lo").alias("low"), F.col(f"{c}.hi").alias("high")) for c in columns])
-    return spans.select(F.explode(entries).alias("_e")).select("_e.*")
+    """One row with a struct (lo, hi) per column, from one aggregate."""
+    spans = [F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c) for c in columns]
+    return df.agg(F.struct(*spans).alias("edges"))
 
 
 def histograms(df: DataFrame, columns: Sequence[str], bins: int = 20, edges: DataFrame | None = None) -> DataFrame:
     """(feature, bin, n, prob): equal-width histograms of several columns in one scan.
 
-    ``edges`` may come from another data set. Probabilities get the smoothing constant (relative to the density)
-    and sum to one; a column without values is uniform.
+    ``edges`` (see :func:`column_edges`) may come from another data set. Probabilities get the smoothing constant
+    (relative to the density) and sum to one; a column without values is uniform.
     """
     edges = column_edges(df, columns) if edges is None else edges
-    # One row per column of the table: bounded by the schema.
-    spans = edges.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("low", "high")))).alias("m"))
-    span = spans.scalar()
-    binned = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            bin_index(F.col(c).cast("double"), F.element_at(span, c)["low"], F.element_at(span, c)["high"], bins).alias("bin"),
-        )
-        for c in columns
-    ]
+    span = F.col("_span")  # a column first, so that the subquery is planned once
+    binned = df.select(*columns).withColumn("_span", edges.scalar()).withColumns({
+        f"_bin_{c}": bin_index(F.col(c).cast("double"), span[c]["lo"], span[c]["hi"], bins) for c in columns
+    })
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_bin_{c}").alias("bin")) for c in columns])
     counted = (
-        df.select(F.explode(F.array(*binned)).alias("_e")).select("_e.*").filter("bin IS NOT NULL")
+        binned.select(F.explode(entries).alias("_e")).select("_e.*").filter("bin IS NOT NULL")
         .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
     )
-    grid = edges.select("feature", "low", "high", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    spans = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"edges.{c}.lo").alias("low"), F.col(f"edges.{c}.hi").alias("high")) for c in columns])
+    grid = edges.select(F.explode(spans).alias("_e")).select("_e.*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     full = grid.join(counted, ["feature", "bin"], "left").fillna(0, ["n"])
     whole = Window.partitionBy("feature")  # ``bins`` rows each
     total = F.sum("n").over(whole)

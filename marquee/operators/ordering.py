@@ -30,14 +30,23 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return ranked.filter(F.col(name) <= k)
 
 
-def _cut_points(df: DataFrame, keys: Sequence[str], slices: int) -> DataFrame:
-    """Per group, ``slices`` sampled values of the order struct ``_o``, sorted."""
-    sample = top_per_group(df.select(*keys, "_o"), keys, [F.xxhash64("_o"), F.col("_o")], slices)
+def _cut_points(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group (or one row for the whole table) sampled values of the order struct ``_o``, sorted."""
+    order = [F.xxhash64("_o"), F.col("_o")]
+    picked = df.select(*keys, "_o")
+    sample = top_per_group(picked, keys, order, SLICES - 1) if keys else picked.orderBy(*order).limit(SLICES - 1)
     return sample.groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_cuts"))
 
 
-def _slice_of(value: Column, cuts: Column) -> Column:
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c <= value)), F.lit(0))
+def _with_slice(df: DataFrame) -> DataFrame:
+    """Add ``_slice``, the number of ``_cuts`` not above ``_o``, by binary search; 0 without cuts."""
+    df = df.withColumn("_slice", F.lit(0))
+    step = SLICES // 2
+    while step:
+        passed = F.get("_cuts", F.col("_slice") + (step - 1)) <= F.col("_o")
+        df = df.withColumn("_slice", F.col("_slice") + F.when(passed, step).otherwise(0))
+        step //= 2
+    return df
 
 
 def _join_group(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -54,7 +63,6 @@ def rank_within(
     name: str = "rank",
     hot_rows: int = HOT_ROWS,
     largest: int | None = None,
-    slices: int = SLICES,
 ) -> DataFrame:
     """``row_number`` over ``keys`` in ascending ``order`` (which must be total and free of nulls).
 
@@ -78,8 +86,7 @@ def rank_within(
         hot_rows_df = df.join(hot, list(keys), "left_semi")
     else:
         hot_rows_df = df
-    sliced = _join_group(df, _cut_points(hot_rows_df, keys, slices), keys)
-    sliced = sliced.withColumn("_slice", _slice_of(F.col("_o"), F.col("_cuts")))
+    sliced = _with_slice(_join_group(df, _cut_points(hot_rows_df, keys), keys))
     inside = Window.partitionBy(*keys, "_slice").orderBy("_o")
     sizes = sliced.filter("_cuts IS NOT NULL").groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,87 +96,70 @@ def rank_within(
     return numbered.select(*columns, rank.alias(name))
 
 
-def dense_index(df: DataFrame, column: str, name: str, slices: int = SLICES) -> DataFrame:
+def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
     """(value, 0-based position in sorted order) for each distinct non-null value of ``column``.
 
     No task sees more than one slice of the values.
     """
     values = df.select(column).distinct().filter(F.col(column).isNotNull())
     values = values.withColumn("_o", F.struct(F.col(column)))
-    cut = values.select("_o").orderBy(F.xxhash64("_o"), "_o").limit(slices)
-    cuts = cut.agg(F.array_sort(F.collect_list("_o")).alias("_cuts"))
-    sliced = values.withColumn("_slice", _slice_of(F.col("_o"), cuts.scalar()))
+    sliced = _with_slice(_join_group(values, _cut_points(values, []), []))
     sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per slice: at most slices + 1 rows.
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most SLICES rows
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_slice").orderBy(column)) - 1
     return (
-        sliced.withColumn("_in", inside)
-        .join(F.broadcast(offsets), "_slice")  # at most slices + 1 rows
+        sliced.select(column, "_slice", inside.alias("_in"))
+        .join(F.broadcast(offsets), "_slice")  # at most SLICES rows
         .select(column, (F.col("_in") + F.col("_before")).cast("long").alias(name))
     )
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probs: Sequence[float], keys: Sequence[str] = (), slices: int = SLICES
+    df: DataFrame, column: str, probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = 10_000
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, as columns ``n, q0, q1, ...`` per group.
 
-    ``percentile`` would hold every distinct value of a group in one task. Here values are counted first,
-    the slice holding each wanted position is found from slice totals, and only those slices are sorted.
+    ``percentile`` would hold every distinct value of a group in one task. Here a sketch brackets each wanted
+    position, and only the values inside the bracket (a fixed small share of the rows) are counted and
+    sorted. Should a bracket ever miss its position, the query fails instead of returning a near value.
     """
-    keys = list(keys)
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
+    keys, k = list(keys), len(probs)
+    margin = 20 / accuracy
+    edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
+    values = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v"))
+    sketch = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("_edges"),
     )
-    values = counts.withColumn("_o", F.struct("_v"))
-    cuts = (
-        _cut_points(values, keys, slices)
-        if keys
-        else values.select("_o").orderBy(F.xxhash64("_o"), "_o").limit(slices).agg(
-            F.array_sort(F.collect_list("_o")).alias("_cuts")
-        )
-    )
-    sliced = _join_group(values, cuts, keys).withColumn("_slice", _slice_of(F.col("_o"), F.col("_cuts")))
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    bounds = totals.select(
-        *keys,
-        "_slice",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.col("_n")).alias("_end"),
-        F.sum("_n").over(whole).alias("n"),
-    )
-
-    def position(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("n") - 1)
-
-    def wanted(low: str, high: str) -> Column:
-        hit = F.lit(False)
-        for p in probs:
-            for edge in (F.floor(position(p)), F.ceil(position(p))):
-                hit = hit | ((edge >= F.col(low)) & (edge < F.col(high)))
-        return hit
-
-    needed = bounds.filter(wanted("_start", "_end")).drop("_end")
-    running = Window.partitionBy(*keys, "_slice").orderBy("_v")
-    rows = sliced.drop("_cuts", "_o").join(needed, [*keys, "_slice"])
-    rows = rows.withColumn("_hi", F.col("_start") + F.sum("_c").over(running)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    if keys:
+        bracketed = values.join(sketch, keys)
+    else:
+        bracketed = values.withColumns({c: sketch.select(c).scalar() for c in ("_n", "_edges")})
+    # Per probability: values below the bracket are only counted, values above it are dropped.
+    slots = F.array(*[
+        F.when(F.col("_v") <= F.col("_edges")[k + i], F.struct(F.lit(i).alias("i"), F.when(F.col("_v") >= F.col("_edges")[i], F.col("_v")).alias("v")))
+        for i in range(k)
+    ])
+    kept = bracketed.select(*keys, "_n", F.explode(slots).alias("_s")).filter(F.col("_s").isNotNull())
+    counts = kept.groupBy(*keys, "_n", F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    running = Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v"))
+    placed = counts.withColumn("_hi", F.sum("_c").over(running))
+    position = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1) * (F.col("_n") - 1)
+    placed = placed.withColumn("_pos", position)
 
     def value_at(edge: Column) -> Column:
-        return F.max(F.when((edge >= F.col("_lo")) & (edge < F.col("_hi")), F.col("_v").cast("double")))
-
-    aggs = [F.max("n").alias("n")]
-    for i, p in enumerate(probs):
-        aggs += [value_at(F.floor(position(p))).alias(f"_a{i}"), value_at(F.ceil(position(p))).alias(f"_b{i}")]
-    found = rows.groupBy(*keys).agg(*aggs)
-    picks = [
-        (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (position(p) - F.floor(position(p)))).alias(f"q{i}")
-        for i, p in enumerate(probs)
-    ]
-    return found.select(*keys, "n", *picks)
+        here = (edge < F.col("_hi")) & (edge >= F.col("_hi") - F.col("_c"))
+        return F.max(F.when(here, F.col("_v").cast("double")))
+
+    found = placed.groupBy(*keys, "_n", "_i", "_pos").agg(
+        value_at(F.floor("_pos")).alias("_a"), value_at(F.ceil("_pos")).alias("_b")
+    )
+    exact = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
+    checked = F.coalesce(exact, F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
+    found = found.withColumn("_q", checked)
+    picks = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(k)]
+    return found.groupBy(*keys, F.col("_n").alias("n")).agg(*picks).select(*keys, "n", *[f"q{i}" for i in range(k)])
 
 
 def exact_median(df: DataFrame, column: str, name: str = "median") -> DataFrame:
