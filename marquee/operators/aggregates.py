@@ -34,7 +34,7 @@ def aka_summary(akas: DataFrame) -> DataFrame:
 
     ``aka_count`` counts those pairs; ``aka_rows`` counts all alternative titles.
     """
-    per_pair = akas.groupBy("title_id", "region", "language").agg(F.count(F.lit(1)).alias("n"))
+    per_pair = akas.groupBy("title_id", "region", "language").agg(F.count("*").alias("n"))
     item = F.struct("region", F.coalesce("language", F.lit("")).alias("tie"), "language")
     rows = per_pair.groupBy("title_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("region").isNotNull(), item))).alias("items"),
@@ -82,7 +82,7 @@ def pivot_roles(df: DataFrame, key: str, role: str, roles: Mapping[str, str], va
 
 def proportion(df: DataFrame, group: Sequence[str], members: Sequence[str], name: str = "proportion") -> DataFrame:
     """Count per (group, member) and its share of the group. The counts are small, the rows are not."""
-    counts = df.groupBy(*group, *members).agg(F.count(F.lit(1)).alias("cnt"))
+    counts = df.groupBy(*group, *members).agg(F.count("*").alias("cnt"))
     totals = counts.groupBy(*group).agg(F.sum("cnt").alias("_total"))
     return counts.join(totals, list(group)).withColumn(name, F.col("cnt") / F.col("_total")).drop("_total")
 
@@ -94,7 +94,7 @@ def survival_curve(df: DataFrame, group: str, length: str, max_t: int = 60) -> D
     most max_t + 2 rows.
     """
     capped = F.least(F.greatest(F.col(length), F.lit(0)), F.lit(max_t + 1)).alias("len")
-    counts = df.filter(F.col(length).isNotNull()).groupBy(group, capped).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.filter(F.col(length).isNotNull()).groupBy(group, capped).agg(F.count("*").alias("n"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(max_t))).alias("t")
     over = F.sum(F.when(F.col("len") > F.col("t"), F.col("n")).otherwise(0))
     return counts.select(group, "len", "n", steps).groupBy(group, "t").agg((over / F.sum("n")).alias("survival"))
@@ -102,7 +102,7 @@ def survival_curve(df: DataFrame, group: str, length: str, max_t: int = 60) -> D
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: rows minus distinct key combinations (nulls count as values)."""
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("n"))
     return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
@@ -135,7 +135,7 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int = 20, edges: Dat
     entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_bin_{c}").alias("bin")) for c in columns])
     counted = (
         binned.select(F.explode(entries).alias("_e")).select("_e.*").filter("bin IS NOT NULL")
-        .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("feature", "bin").agg(F.count("*").alias("n"))
     )
     spans = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"edges.{c}.lo").alias("low"), F.col(f"edges.{c}.hi").alias("high")) for c in columns])
     grid = edges.select(F.explode(spans).alias("_e")).select("_e.*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
@@ -149,7 +149,7 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int = 20, edges: Dat
 
 def top_categories(df: DataFrame, column: str, n: int, weight: Column | None = None) -> DataFrame:
     """The ``n`` most frequent values; equal counts go by name."""
-    weight = F.count(F.lit(1)) if weight is None else weight
+    weight = F.count("*") if weight is None else weight
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(weight.alias("cnt"))
     return counts.orderBy(F.desc("cnt"), column).limit(n)
 

@@ -44,7 +44,7 @@ def episode_stats(episodes: DataFrame, titles: DataFrame, keys: DataFrame, until
     series = keys.withColumnRenamed("tconst", "series_key")
     known = episodes.select("series_key", "episode_key", "season_number").join(series, "series_key", "left_semi")
     return known.join(rated, "episode_key").groupBy(F.col("series_key").alias("tconst")).agg(
-        F.count(F.lit(1)).alias("series_episode_count"),
+        F.count("*").alias("series_episode_count"),
         F.avg("average_rating").alias("series_avg_episode_rating"),
         F.min("season_number").alias("min_season"),
         F.max("season_number").alias("max_season"),
@@ -58,7 +58,7 @@ def base_features(titles: DataFrame, performance: DataFrame, episodes: DataFrame
     credits = performance.select("tconst", "nconst", "category").join(keys, "tconst", "left_semi")
     counted = [F.count(F.when(F.col("category") == c, 1)).alias(f"{c}_count") for c in CREW_CATEGORIES]
     people = credits.groupBy("tconst").agg(
-        F.count(F.lit(1)).alias("num_persons"), F.count_distinct("nconst").alias("unique_persons"), *counted
+        F.count("*").alias("num_persons"), F.count_distinct("nconst").alias("unique_persons"), *counted
     )
     counts = ["num_persons", "unique_persons", *[f"{c}_count" for c in CREW_CATEGORIES], "series_episode_count"]
     return (
@@ -79,7 +79,7 @@ def genre_year_stats(titles: DataFrame) -> DataFrame:
     return rated.groupBy("genre", "start_year").agg(
         F.avg("average_rating").alias("avg_rating_genre_year"),
         F.avg("num_votes").alias("avg_votes_genre_year"),
-        F.count(F.lit(1)).alias("genre_year_title_count"),
+        F.count("*").alias("genre_year_title_count"),
     )
 
 
@@ -187,14 +187,14 @@ def assert_no_leakage(columns: Sequence[str], targets: Sequence[str] = TARGET_CO
 
 
 def assemble(df: DataFrame, columns: Sequence[str], embeddings: DataFrame, key: str, embedding: str, out: str = "features") -> DataFrame:
-    """Numeric columns and an embedding array as one vector, matched by key."""
-    from pyspark.ml.feature import VectorAssembler
+    """Numeric columns and an embedding array as one vector, matched by key; a missing number becomes NaN."""
     from pyspark.ml.functions import array_to_vector
 
     assert_no_leakage(columns)
-    joined = df.join(embeddings.select(key, array_to_vector(embedding).alias("_embedding")), key)
-    assembler = VectorAssembler(inputCols=[*columns, "_embedding"], outputCol=out, handleInvalid="keep")
-    return assembler.transform(joined).drop("_embedding")
+    joined = df.join(embeddings.select(key, F.col(embedding).alias("_embedding")), key)
+    numbers = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns])
+    whole = F.concat(numbers, F.col("_embedding").cast("array<double>"))
+    return joined.withColumn(out, array_to_vector(whole)).drop("_embedding")
 
 
 def embed_text(df: DataFrame, key: str, text: str, encoder, batch: int = 128, out: str = "embedding") -> DataFrame:
@@ -247,7 +247,7 @@ def with_indexes(inter: DataFrame) -> DataFrame:
 
 def interaction_summary(inter: DataFrame) -> DataFrame:
     return inter.agg(
-        F.count_distinct("user_id").alias("num_users"), F.count_distinct("item_id").alias("num_items"), F.count(F.lit(1)).alias("num_rows")
+        F.count_distinct("user_id").alias("num_users"), F.count_distinct("item_id").alias("num_items"), F.count("*").alias("num_rows")
     )
 
 

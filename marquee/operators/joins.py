@@ -48,7 +48,7 @@ def pairs(df: DataFrame, group: str, item: str, suffixes: tuple[str, str] = ("_a
 def collaborators(credits: DataFrame, person_id, k: int | None = None, group: str = "tconst", item: str = "nconst") -> DataFrame:
     """People who share titles with one person, most shared credits first."""
     credits = credits.select(group, item)
-    mine = credits.filter(F.col(item) == person_id).groupBy(group).agg(F.count(F.lit(1)).alias("_mine"))
+    mine = credits.filter(F.col(item) == person_id).groupBy(group).agg(F.count("*").alias("_mine"))
     shared = credits.filter(F.col(item) != person_id).join(mine, group)
     found = shared.groupBy(item).agg(F.sum("_mine").alias("collab_count"))
     return found if k is None else found.orderBy(F.desc("collab_count"), item).limit(k)
@@ -123,7 +123,7 @@ def role_pairs(credits: DataFrame, role_a: str, role_b: str, min_n: int = 1) ->
     anybody are dropped before the join, which also empties a title of countless one-off credits.
     """
     counted = credits.filter(F.col("category").isin(role_a, role_b)).groupBy("tconst", "category", "nconst").agg(
-        F.count(F.lit(1)).alias("n")
+        F.count("*").alias("n")
     )
     a = counted.filter(F.col("category") == role_a).select("tconst", F.col("nconst").alias("a"), F.col("n").alias("na"))
     b = counted.filter(F.col("category") == role_b).select("tconst", F.col("nconst").alias("b"), F.col("n").alias("nb"))

@@ -88,7 +88,7 @@ def rank_within(
         hot_rows_df = df
     sliced = _with_slice(_join_group(df, _cut_points(hot_rows_df, keys), keys))
     inside = Window.partitionBy(*keys, "_slice").orderBy("_o")
-    sizes = sliced.filter("_cuts IS NOT NULL").groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sliced.filter("_cuts IS NOT NULL").groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     numbered = sliced.withColumn("_in", F.row_number().over(inside)).join(offsets, [*keys, "_slice"], "left")
@@ -104,7 +104,7 @@ def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
     values = df.select(column).distinct().filter(F.col(column).isNotNull())
     values = values.withColumn("_o", F.struct(F.col(column)))
     sliced = _with_slice(_join_group(values, _cut_points(values, []), []))
-    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most SLICES rows
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_slice").orderBy(column)) - 1
@@ -129,9 +129,13 @@ def exact_quantiles(
     edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
     values = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v"))
     sketch = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("_edges"),
+        F.count("*").alias("_n"),
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("_sketch"),
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
     )
+    # A small group is its own bracket: there the margin would be less than a row.
+    whole = F.concat(F.array_repeat("_min", k), F.array_repeat("_max", k))
+    sketch = sketch.select(*keys, "_n", F.when(F.col("_n") <= accuracy, whole).otherwise(F.col("_sketch")).alias("_edges"))
     if keys:
         bracketed = values.join(sketch, keys)
     else:
@@ -142,7 +146,7 @@ def exact_quantiles(
         for i in range(k)
     ])
     kept = bracketed.select(*keys, "_n", F.explode(slots).alias("_s")).filter(F.col("_s").isNotNull())
-    counts = kept.groupBy(*keys, "_n", F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = kept.groupBy(*keys, "_n", F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v")).agg(F.count("*").alias("_c"))
     running = Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v"))
     placed = counts.withColumn("_hi", F.sum("_c").over(running))
     position = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1) * (F.col("_n") - 1)

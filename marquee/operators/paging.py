@@ -31,7 +31,7 @@ def browse_sort(name: str | None, key: str = "tconst") -> list[Column]:
 
 def page(df: DataFrame, order: Sequence[Column], first: int, offset: int = 0) -> DataFrame:
     """One page with the total and the next offset (NULL on the last page) on every row."""
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = df.agg(F.count("*").alias("total")).scalar()
     end = F.lit(offset + first).cast("long")
     rows = df.orderBy(*order).offset(offset).limit(first)
     return rows.withColumn("total", total).withColumn("next_offset", F.when(end < F.col("total"), end))

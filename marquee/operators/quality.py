@@ -17,14 +17,13 @@ from marquee.operators.aggregates import duplicate_keys
 from marquee.operators.joins import orphans, recompute_list
 from marquee.operators.paging import union_all
 
-ONE = F.lit(1)
 NEVER_LOADED_HOURS = 999_999.0
 RESULT_COLUMNS = ["check_name", "table_name", "metric_name", "metric_value", "threshold", "passed"]
 
 
 def share(condition: Column) -> Column:
     """Fraction of rows for which a condition holds; 0 for no rows."""
-    return F.count(F.when(condition, 1)) / F.greatest(F.count(ONE), ONE)
+    return F.count(F.when(condition, 1)) / F.greatest(F.count("*"), F.lit(1))
 
 
 def result(df: DataFrame, check: str, table: str, metric: str, value: Column | str, threshold: float, passed: Column | None = None) -> DataFrame:
@@ -42,8 +41,8 @@ def null_rate(df: DataFrame, column: str, threshold: float, check: str, table: s
 
 
 def orphan_rate(child: DataFrame, parent: DataFrame, fk: str, pk: str, threshold: float, check: str, table: str) -> DataFrame:
-    lost = orphans(child.select(fk), parent, fk, pk).agg(F.count(ONE).alias("lost"))
-    total = child.agg(F.greatest(F.count(ONE), ONE)).scalar()
+    lost = orphans(child.select(fk), parent, fk, pk).agg(F.count("*").alias("lost"))
+    total = child.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
     return result(lost, check, table, "orphan_rate", F.col("lost") / total, threshold)
 
 
@@ -52,7 +51,7 @@ def row_count_variance(
 ) -> DataFrame:
     """Relative distance of the row count from the expected count, else from the minimum, else 0."""
     base = expected or minimum
-    value = F.abs(F.count(ONE) - base) / base if base else F.lit(0.0)
+    value = F.abs(F.count("*") - base) / base if base else F.lit(0.0)
     return result(df.agg(value.alias("v")), check, table, "row_count_variance", "v", threshold)
 
 
@@ -138,7 +137,7 @@ def freshness_sla(tables: Mapping[str, DataFrame], hours: Mapping[str, float], r
 
 def expect_not_null(df: DataFrame, mostly: Mapping[str, float], table: str, min_rows: int = 1) -> DataFrame:
     """Row count and not-null shares of several columns, in one aggregate."""
-    measured = df.agg(F.count(ONE).alias("_rows"), *[(1 - share(F.col(c).isNull())).alias(c) for c in mostly])
+    measured = df.agg(F.count("*").alias("_rows"), *[(1 - share(F.col(c).isNull())).alias(c) for c in mostly])
     entry = lambda name, value, floor: F.struct(
         F.lit(name).alias("check_name"), value.cast("double").alias("metric_value"), F.lit(float(floor)).alias("threshold")
     )
@@ -154,7 +153,7 @@ def expect_not_null(df: DataFrame, mostly: Mapping[str, float], table: str, min_
 def fk_suite(tables: Mapping[str, DataFrame], rules: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """(fk_check, orphan_count) for rules (child, fk, parent, pk)."""
     return union_all([
-        orphans(tables[child].select(fk), tables[parent], fk, pk).agg(F.count(ONE).alias("orphan_count")).select(
+        orphans(tables[child].select(fk), tables[parent], fk, pk).agg(F.count("*").alias("orphan_count")).select(
             F.lit(f"{child}.{fk}").alias("fk_check"), "orphan_count"
         )
         for child, fk, parent, pk in rules
@@ -171,7 +170,7 @@ def validate_contract(
     present = [c for c, nullable in columns.items() if not nullable and c in df.columns]
     shape = "rule string, subject string, violations bigint"
     rows = spark.createDataFrame([("missing_column", c, 1) for c in missing], shape)
-    measured = df.agg(F.count(ONE).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in present])
+    measured = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in present])
     entry = lambda rule, subject, value: F.struct(
         F.lit(rule).alias("rule"), F.lit(subject).alias("subject"), value.cast("bigint").alias("violations")
     )
@@ -179,14 +178,14 @@ def validate_contract(
     entries += [entry("null", c, F.col(c)) for c in present]
     rows = rows.unionByName(measured.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*"))
     for fk, (parent, pk) in parents.items():
-        lost = orphans(df.select(fk).filter(F.col(fk).isNotNull()), parent, fk, pk).agg(F.count(ONE).alias("n"))
+        lost = orphans(df.select(fk).filter(F.col(fk).isNotNull()), parent, fk, pk).agg(F.count("*").alias("n"))
         rows = rows.unionByName(lost.select(entry("orphan", fk, F.col("n")).alias("_e")).select("_e.*"))
     return rows.withColumn("passed", F.col("violations") == 0)
 
 
 def unique(df: DataFrame, column: str, table: str) -> DataFrame:
     """Values (other than null) that occur more than once."""
-    repeated = df.filter(F.col(column).isNotNull()).groupBy(column).count().filter("count > 1").agg(F.count(ONE).alias("v"))
+    repeated = df.filter(F.col(column).isNotNull()).groupBy(column).count().filter("count > 1").agg(F.count("*").alias("v"))
     return result(repeated, f"unique_{column}", table, "repeated_values", "v", 0)
 
 
@@ -215,7 +214,7 @@ def variance_vs_log(df: DataFrame, log: DataFrame, check: str, metric: str, thre
     """Violation row when the count differs from the last passing logged one by more than the threshold."""
     passing = log.filter((F.col("check_name") == check) & (F.col("metric_name") == metric) & F.col("passed"))
     last = passing.agg(F.max_by("metric_value", F.struct("logged_at", "metric_value"))).scalar()
-    counted = df.agg(F.count(ONE).alias("current_row_count")).withColumn("previous_row_count", F.coalesce(last, F.lit(0.0)))
+    counted = df.agg(F.count("*").alias("current_row_count")).withColumn("previous_row_count", F.coalesce(last, F.lit(0.0)))
     deviation = F.abs(F.col("current_row_count") - F.col("previous_row_count")) / F.col("previous_row_count")
     known = counted.filter("previous_row_count > 0").withColumn("deviation_ratio", deviation)
     return known.filter(F.col("deviation_ratio") > threshold)
@@ -223,13 +222,13 @@ def variance_vs_log(df: DataFrame, log: DataFrame, check: str, metric: str, thre
 
 def count_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, n)."""
-    return union_all([df.agg(F.count(ONE).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()])
+    return union_all([df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()])
 
 
 def layer_ratios(pairs: Mapping[str, tuple[DataFrame, DataFrame]], low: float = 0.95, high: float = 1.05) -> DataFrame:
     """(pair, before, after, ratio, ok) of row counts between layers; no ratio without rows before."""
     return union_all([
-        before.agg(F.count(ONE).alias("before")).withColumn("after", after.agg(F.count(ONE)).scalar()).select(
+        before.agg(F.count("*").alias("before")).withColumn("after", after.agg(F.count("*")).scalar()).select(
             F.lit(name).alias("pair"), "before", "after",
             (F.col("after") / F.nullif(F.col("before"), F.lit(0))).alias("ratio"),
         )
@@ -241,7 +240,7 @@ def compare_counts(a: DataFrame, b: DataFrame, key: str, other_key: str | None =
     """One row: rows and distinct keys of two layers and whether they agree."""
     sides = [(a, key, "left"), (b, other_key or key, "right")]
     left, right = [
-        df.agg(F.count(ONE).alias(f"{side}_rows"), F.count_distinct(k).alias(f"{side}_keys")) for df, k, side in sides
+        df.agg(F.count("*").alias(f"{side}_rows"), F.count_distinct(k).alias(f"{side}_keys")) for df, k, side in sides
     ]
     both = left.withColumns({c: right.select(c).scalar() for c in right.columns})
     return both.withColumns({
@@ -253,7 +252,7 @@ def value_mismatch(a: DataFrame, b: DataFrame, key: str, column: str, tol: float
     """One row: keys with values on both sides, and those that differ by more than the tolerance."""
     left, right = a.select(key, F.col(column).alias("_a")), b.select(key, F.col(column).alias("_b"))
     both = left.join(right, key).filter("_a IS NOT NULL AND _b IS NOT NULL")
-    return both.agg(F.count(ONE).alias("compared"), F.count_if(F.abs(F.col("_a") - F.col("_b")) > tol).alias("mismatched"))
+    return both.agg(F.count("*").alias("compared"), F.count_if(F.abs(F.col("_a") - F.col("_b")) > tol).alias("mismatched"))
 
 
 def missing_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -281,7 +280,7 @@ def list_consistency(titles: DataFrame, credits: DataFrame, people: DataFrame, r
     both = titles.filter(F.col(column).isNotNull()).select("tconst", column).join(again, "tconst", "left")
     differs = F.coalesce(F.col(column) != F.col("_again"), F.lit(False))
     rate = 100.0 * (1 - share(differs))
-    return both.agg(F.count(ONE).alias("compared"), F.count_if(differs).alias("mismatched"), rate.alias("match_rate")).withColumn(
+    return both.agg(F.count("*").alias("compared"), F.count_if(differs).alias("mismatched"), rate.alias("match_rate")).withColumn(
         "ok", F.col("match_rate") > 90
     )
 
@@ -324,7 +323,7 @@ def presence(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
 def profile(df: DataFrame, table: str) -> DataFrame:
     """(table_name, column_name, data_type, rows, non_null, min, max, mean): one aggregate for all columns."""
     simple = [f for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
-    aggs = [F.count(ONE).alias("_rows")]
+    aggs = [F.count("*").alias("_rows")]
     for f in simple:
         c = F.col(f.name)
         mean = F.avg(c) if isinstance(f.dataType, T.NumericType) else F.lit(None).cast("double")
@@ -341,7 +340,7 @@ def dq_report(log: DataFrame, now: Column, days: int = 90) -> DataFrame:
     """Per table over the last days: checks, failures and pass rate in percent."""
     recent = log.filter(F.col("logged_at") > now - F.make_dt_interval(days=F.lit(days)))
     return recent.groupBy("table_name").agg(
-        F.count(ONE).alias("checks"), F.count_if(~F.col("passed")).alias("failures"), (100.0 * share(F.col("passed"))).alias("pass_rate")
+        F.count("*").alias("checks"), F.count_if(~F.col("passed")).alias("failures"), (100.0 * share(F.col("passed"))).alias("pass_rate")
     )
 
 

@@ -20,7 +20,7 @@ def collaboration_rank(
 
 def partition_total(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Group size on every row: counted with partial aggregation, joined back."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias(name))
     return df.join(sizes, list(keys))
 
 
@@ -38,7 +38,7 @@ def yearly_credits(df: DataFrame, keys: Sequence[str], year: str, span: int = 5)
 
     Credits are counted per year first, so a window group has one row per active year.
     """
-    counts = df.groupBy(*keys, year).agg(F.count(F.lit(1)).alias("credits"))
+    counts = df.groupBy(*keys, year).agg(F.count("*").alias("credits"))
     by_year = Window.partitionBy(*keys).orderBy(year)
     return counts.select(
         *keys,

@@ -142,7 +142,7 @@ def actor_cooccurrence(
     named = shared.join(title, "tconst", "left")
     keys = ["nconst_a", "nconst_b"]
     ranked = collaboration_rank(named, keys, "num_votes", "tconst", hot_rows=hot_rows, largest=busiest)
-    totals = shared.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_collaborations"))
+    totals = shared.groupBy(*keys).agg(F.count("*").alias("total_collaborations"))
     for side in ("a", "b"):
         names = people.select(F.col("nconst").alias(f"nconst_{side}"), F.col("primary_name").alias(f"actor_{side}_name"))
         totals = totals.join(names, f"nconst_{side}", "left")

@@ -93,7 +93,7 @@ def with_lineage(
     df: DataFrame, source: str, table: str, batch: str, ts: Column, rows: Column | None = None, checksum: str | None = None
 ) -> DataFrame:
     """Lineage columns. ``rows`` defaults to the size of the input, counted as a scalar subquery."""
-    rows = df.agg(F.count(F.lit(1))).scalar() if rows is None else rows
+    rows = df.agg(F.count("*")).scalar() if rows is None else rows
     return df.withColumns({
         "_source_file": F.lit(source), "_source_table": F.lit(table), "_batch_id": F.lit(batch), "_ingested_at": ts,
         "_row_count": rows, "_checksum": F.lit(checksum).cast("string"),
@@ -140,7 +140,7 @@ def fingerprint(df: DataFrame, name: str) -> DataFrame:
 
     stats = F.array_join(F.array_sort(F.array(*[F.md5(stat(f)) for f in df.schema.fields])), ",")
     return df.agg(
-        F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count"),
+        F.lit(name).alias("name"), F.count("*").alias("row_count"),
         F.lit(json.dumps(df.columns)).alias("column_names"), F.md5(stats).alias("stats_md5"),
     )
 

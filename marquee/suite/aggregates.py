@@ -8,7 +8,6 @@ from marquee.operators import joins, ordering, windows
 from marquee.operators.features import dated_credits
 from marquee.suite.core import query
 
-ONE = F.lit(1)
 CATEGORIES = [
     "actor", "actress", "director", "writer", "producer", "composer", "editor", "cinematographer", "self",
     "archive_footage", "archive_sound",
@@ -20,7 +19,7 @@ SELECT title_type, start_year, count(*) AS n, round(avg(average_rating), 8) AS m
   CAST(sum(num_votes) AS BIGINT) AS votes FROM dim_title GROUP BY ALL""")
 def e01(s):
     return ag.group_stats(s.dim_title, ["title_type", "start_year"], {
-        "n": F.count(ONE), "mean_rating": F.round(F.avg("average_rating"), 8), "low": F.min("num_votes"),
+        "n": F.count("*"), "mean_rating": F.round(F.avg("average_rating"), 8), "low": F.min("num_votes"),
         "high": F.max("num_votes"), "votes": F.sum("num_votes"),
     })
 
@@ -67,7 +66,7 @@ WHERE average_rating IS NOT NULL AND category = 'director' GROUP BY nconst HAVIN
 def e07(s):
     rated = s.dim_title.filter("average_rating IS NOT NULL").select("tconst", "average_rating")
     directed = s.fact_performance.filter("category = 'director'").join(rated, "tconst")
-    aggs = {"n": F.count(ONE), "mean_rating": F.round(F.avg("average_rating"), 8)}
+    aggs = {"n": F.count("*"), "mean_rating": F.round(F.avg("average_rating"), 8)}
     return ag.group_stats(directed, ["nconst"], aggs, having=F.col("n") >= 80)
 
 
@@ -119,7 +118,7 @@ TYPES = ["movie", "tvSeries", "tvMiniSeries", "short", "video", "tvEpisode"]
        + " FROM dim_title WHERE start_year IS NOT NULL GROUP BY start_year")
 def e11(s):
     dated = s.dim_title.filter("start_year IS NOT NULL")
-    return ag.pivot_matrix(dated, "start_year", "title_type", F.count(ONE), TYPES)
+    return ag.pivot_matrix(dated, "start_year", "title_type", F.count("*"), TYPES)
 
 
 @query("e12_pivot_roles", """
@@ -127,7 +126,7 @@ WITH c AS (SELECT tconst, category, count(*) AS n, max(ordering) AS last FROM fa
 SELECT tconst, max(CASE category WHEN 'director' THEN n END) AS dir_n, max(CASE category WHEN 'director' THEN last END) AS dir_last,
   max(CASE category WHEN 'writer' THEN n END) AS wri_n, max(CASE category WHEN 'writer' THEN last END) AS wri_last FROM c GROUP BY tconst""")
 def e12(s):
-    counted = s.fact_performance.groupBy("tconst", "category").agg(F.count(ONE).alias("n"), F.max("ordering").alias("last"))
+    counted = s.fact_performance.groupBy("tconst", "category").agg(F.count("*").alias("n"), F.max("ordering").alias("last"))
     return ag.pivot_roles(counted, "tconst", "category", {"director": "dir", "writer": "wri"}, {"n": "n", "last": "last"})
 
 
@@ -196,7 +195,7 @@ SELECT genre, count(*) AS titles, CAST(sum(num_votes) AS BIGINT) AS votes FROM g
 def e17(s):
     genres = s.dim_title.select(F.explode(split_list("genre_list")).alias("genre"), "num_votes")
     top = ag.restrict_to_top(genres, "genre", 5)
-    return top.groupBy("genre").agg(F.count(ONE).alias("titles"), F.sum("num_votes").alias("votes"))
+    return top.groupBy("genre").agg(F.count("*").alias("titles"), F.sum("num_votes").alias("votes"))
 
 
 # Windows

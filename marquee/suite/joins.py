@@ -7,7 +7,6 @@ from marquee.plans import marts
 from marquee.suite import marts as mart_queries
 from marquee.suite.core import query
 
-ONE = F.lit(1)
 
 
 @query("d01_title_assembly", """
@@ -61,7 +60,7 @@ MOST_CREDITED = "(SELECT nconst FROM fact_performance GROUP BY nconst ORDER BY c
 
 
 def most_credited(s):
-    counts = s.fact_performance.groupBy("nconst").agg(F.count(ONE).alias("n"))
+    counts = s.fact_performance.groupBy("nconst").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "nconst").limit(1).select("nconst").scalar()
 
 
@@ -136,7 +135,7 @@ def d13(s):
     from marquee.operators.features import dated_credits
 
     crew = dated_credits(s.fact_performance, s.dim_title, ["director", "writer"]).withColumnRenamed("start_year", "title_year")
-    stats = crew.groupBy("nconst", "category", F.col("title_year").alias("year")).agg(F.count(ONE).alias("credits"))
+    stats = crew.groupBy("nconst", "category", F.col("title_year").alias("year")).agg(F.count("*").alias("credits"))
     return joins.crew_stats_join(crew, stats, {"nconst": "nconst", "category": "category", "title_year": "year"})
 
 

@@ -6,7 +6,6 @@ from marquee.operators import joins, paging
 from marquee.plans import marts
 from marquee.suite.core import query
 
-ONE = F.lit(1)
 
 
 @query("g01_top_n", """
@@ -64,7 +63,7 @@ def x01(s):
         "title_principal": (s.title_principal, "tconst"),
     }
     return paging.union_all([
-        joins.orphans(child, titles, key, "tconst").agg(F.count(ONE).alias("orphan_count")).withColumn("fk_check", F.lit(name))
+        joins.orphans(child, titles, key, "tconst").agg(F.count("*").alias("orphan_count")).withColumn("fk_check", F.lit(name))
         for name, (child, key) in checks.items()
     ])
 

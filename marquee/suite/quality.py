@@ -13,10 +13,14 @@ from marquee.session import scratch_path
 from marquee.suite.core import query
 from marquee.suite.sources import exported
 
-NOW = F.lit("2024-02-15 12:00:00").cast("timestamp_ntz")
 NOW_SQL = "TIMESTAMP '2024-02-15 12:00:00'"
 
 
+def now():
+    """The reference time of all checks."""
+    return F.lit("2024-02-15 12:00:00").cast("timestamp_ntz")
+
+
 def result_sql(check, table, metric, value, threshold, passed=None):
     passed = passed or f"metric_value <= {threshold}"
     return f"""SELECT '{check}' AS check_name, '{table}' AS table_name, '{metric}' AS metric_name, round(metric_value, 6) AS metric_value,
@@ -75,8 +79,8 @@ EVENT_AGE = f"(SELECT date_diff('microsecond', max(ts), {NOW_SQL}) / 3.6e9 FROM
 ]))
 def i04(s):
     return rounded(union_all([
-        dq.freshness(s.events, "ts", NOW, 48, "fresh", "events"),
-        dq.freshness(s.events.filter("event_id < 0"), "ts", NOW, 48, "never", "events"),
+        dq.freshness(s.events, "ts", now(), 48, "fresh", "events"),
+        dq.freshness(s.events.filter("event_id < 0"), "ts", now(), 48, "never", "events"),
     ]))
 
 
@@ -118,7 +122,7 @@ VARIANCE = f"abs({TITLES} - 12000) / 12000"
 def i06(s):
     tables = {n: s.table(n) for n in ("title_basics", "title_episode", "name_basics")}
     tables |= {"title_rating": s.title_rating, "title_basics_current": marts.current(s.title_basics)}
-    return rounded(dq.run_checks(tables, CHECKS, NOW, "b1", log_path=scratch_path(s.spark, "dq-log")))
+    return rounded(dq.run_checks(tables, CHECKS, now(), "b1", log_path=scratch_path(s.spark, "dq-log")))
 
 
 SLA = {"title_basics": 24 * 9000, "title_akas": 24.0, "title_rating": 24 * 30}
@@ -129,7 +133,7 @@ SLA = {"title_basics": 24 * 9000, "title_akas": 24.0, "title_rating": 24 * 30}
     for t, h in SLA.items()))
 def i07(s):
     tables = {"title_basics": s.title_basics, "title_akas": s.title_akas, "title_rating": s.title_rating}
-    return rounded(dq.freshness_sla(tables, SLA, NOW))
+    return rounded(dq.freshness_sla(tables, SLA, now()))
 
 
 @query("i08_expectations", """

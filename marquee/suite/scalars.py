@@ -42,7 +42,7 @@ WHERE tconst IS NULL OR tconst IN ('', {N}) GROUP BY ALL""")
 def b04(s):
     sides = sc.require(s.title_basics_raw, "tconst")
     kept, bad = [d.withColumn("side", F.lit(n)) for d, n in zip(sides, ("kept", "quarantine"))]
-    return kept.unionByName(bad).groupBy("side", "titleType").agg(F.count(F.lit(1)).alias("n"))
+    return kept.unionByName(bad).groupBy("side", "titleType").agg(F.count("*").alias("n"))
 
 
 @query("b05_cast_columns", """
@@ -110,7 +110,7 @@ def b13(s):
 SELECT regexp_matches(tconst, '^tt[0-9]+$') AS valid, count(*) AS n FROM title_basics_raw GROUP BY ALL""")
 def b14(s):
     valid = sc.matches("tconst", "^tt[0-9]+$").alias("valid")
-    return s.title_basics_raw.groupBy(valid).agg(F.count(F.lit(1)).alias("n"))
+    return s.title_basics_raw.groupBy(valid).agg(F.count("*").alias("n"))
 
 
 def votes_and_rating(s):

@@ -8,7 +8,6 @@ from marquee.session import scratch_path
 from marquee.sources import files
 from marquee.suite.core import query
 
-ONE = F.lit(1)
 ATTRS = ["c_name", "c_nationkey", "c_mktsegment"]
 T1, T2 = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 # Two loads of the customers: the second renames some, blanks some, lacks some and adds some.
@@ -63,7 +62,7 @@ def h01_rerun(s):
 WITH {HISTORY_SQL} SELECT is_current, batch_id, count(*) AS n FROM
   (SELECT batch_id, is_current AND c_custkey IN (SELECT c_custkey FROM b) AS is_current FROM h) GROUP BY ALL""")
 def h01_expire(s):
-    return history(s, expire_missing=True).groupBy("is_current", "batch_id").agg(F.count(ONE).alias("n"))
+    return history(s, expire_missing=True).groupBy("is_current", "batch_id").agg(F.count("*").alias("n"))
 
 
 @query("h02_overwrite", "SELECT p_type, count(*) AS n FROM part GROUP BY p_type")
@@ -71,7 +70,7 @@ def h02(s):
     path = scratch_path(s.spark, "reload")
     scd.overwrite(s.part.select("p_partkey"), path)
     scd.overwrite(s.part.select("p_partkey", "p_type"), path)
-    return s.spark.read.parquet(path).groupBy("p_type").agg(F.count(ONE).alias("n"))
+    return s.spark.read.parquet(path).groupBy("p_type").agg(F.count("*").alias("n"))
 
 
 @query("h03_upsert", f"""

@@ -8,8 +8,6 @@ from marquee.session import scratch_path
 from marquee.sources import files, jdbc, sampling
 from marquee.suite.core import query
 
-ONE = F.lit(1)
-STAMP = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
 
 
 def raw_people(s):
@@ -47,7 +45,7 @@ def a02(s):
     s.lineitem.select(F.when(F.col("l_orderkey") % 13 == 4, short).otherwise(full).alias("value")).write.text(path)
     good, bad, _ = files.validate_source(s.spark, path, 3)
     sides = good.withColumn("good", F.lit(True)).unionByName(bad.withColumn("good", F.lit(False)))
-    return sides.groupBy("good").agg(F.count(ONE).alias("n"))
+    return sides.groupBy("good").agg(F.count("*").alias("n"))
 
 
 @query("a03_file_checksums")
@@ -60,7 +58,8 @@ def a03(s):
 SELECT o_orderkey, 'orders.parquet' AS _source_file, 'orders' AS _source_table, 'b1' AS _batch_id,
   TIMESTAMP '2024-01-31' AS _ingested_at, (SELECT count(*) FROM orders) AS _row_count, CAST(NULL AS VARCHAR) AS _checksum FROM orders""")
 def a04(s):
-    return files.with_lineage(s.orders.select("o_orderkey"), "orders.parquet", "orders", "b1", STAMP)
+    stamp = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    return files.with_lineage(s.orders.select("o_orderkey"), "orders.parquet", "orders", "b1", stamp)
 
 
 @query("a05_write_bronze", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
@@ -69,7 +68,7 @@ def a05(s):
     files.write_bronze(s.orders, path)
     if files.write_bronze(s.orders.filter("o_orderkey < 0"), path + "-none") or files.path_exists(s.spark, path + "-none"):
         raise AssertionError("an empty input was written")
-    return s.spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count(ONE).alias("n"))
+    return s.spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
 SOURCE_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS row_count, 'success' AS status FROM {t}" for t in ("orders", "part", "supplier"))
@@ -99,7 +98,7 @@ def a07(s):
 
 @query("a08_parquet_row_count", "SELECT count(*) AS n FROM lineitem")
 def a08(s):
-    return s.lineitem.agg(F.count(ONE).alias("n"))
+    return s.lineitem.agg(F.count("*").alias("n"))
 
 
 def stat_sql(name, kind, quoted):
@@ -243,7 +242,7 @@ def a21(s):
         pass
     else:
         raise AssertionError("an oversized result was collected")
-    report = s.dim_title.groupBy("title_type").agg(F.count(ONE).alias("n"))
+    report = s.dim_title.groupBy("title_type").agg(F.count("*").alias("n"))
     return s.spark.createDataFrame(files.collect_bounded(report))
 
 
@@ -282,7 +281,7 @@ UNION ALL SELECT 'fact_performance', tconst, count(*) FROM c GROUP BY tconst"""
 def a24(s):
     ids = {"dim_title": "tconst", "fact_episode": "episode_key", "dim_person": "nconst", "fact_performance": "tconst"}
     return union_all([
-        df.groupBy(F.lit(name).alias("table_name"), F.col(ids[name]).alias("id")).agg(F.count(ONE).alias("n"))
+        df.groupBy(F.lit(name).alias("table_name"), F.col(ids[name]).alias("id")).agg(F.count("*").alias("n"))
         for name, df in subset(s).items()
     ])
 
