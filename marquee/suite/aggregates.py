@@ -118,7 +118,7 @@ TYPES = ["movie", "tvSeries", "tvMiniSeries", "short", "video", "tvEpisode"]
        + " FROM dim_title WHERE start_year IS NOT NULL GROUP BY start_year")
 def e11(s):
     dated = s.dim_title.filter("start_year IS NOT NULL")
-    return ag.pivot_matrix(dated, "start_year", "title_type", F.count("*"), TYPES)
+    return ag.pivot_matrix(dated, "start_year", "title_type", F.count(F.lit(1)), TYPES)
 
 
 @query("e12_pivot_roles", """
