@@ -279,7 +279,7 @@ def _best_in_cells(routed: DataFrame, items: DataFrame, key: str, item: str, vec
 
     def compare(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(members):
-            return pd.DataFrame({key: [], "best": [], item: [], value: []})
+            return pd.DataFrame({key: queries[key][:0], "best": np.zeros(0), item: members[item][:0], value: members[value][:0]})
         members = members.sort_values(item)
         similarity = np.round(_unit(queries[vec]) @ _unit(members["_vec"]).T, 12)
         pick = similarity.argmax(axis=1)

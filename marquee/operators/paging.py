@@ -41,9 +41,13 @@ def first_keys(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.select(key).orderBy(key).limit(n)
 
 
+def key_digest(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def random_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """``n`` rows that look random and are the same on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(key_digest(key, seed), key).limit(n)
 
 
 def union_all(dfs: Sequence[DataFrame]) -> DataFrame:

@@ -1,15 +1,18 @@
-"""Sampling operators. All of them are repeatable: a row is kept by the hash of its key."""
+"""Sampling operators. All are repeatable: the MD5 of seed and key decides, on any engine alike."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.paging import random_rows
+from marquee.operators.paging import key_digest, random_rows
 
 
 def in_sample(key: str, percent: float, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) < int(percent * 100)
+    """Whether the key's digest falls into the first ``percent`` % of all digests."""
+    if percent >= 100:
+        return F.lit(True)
+    return key_digest(key, seed) < format(int(percent / 100 * 16**8), "08x")
 
 
 def key_sample(df: DataFrame, key: str, percent: float, seed: int = 42) -> DataFrame:

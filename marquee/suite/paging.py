@@ -42,7 +42,8 @@ def g04(s):
     return paging.first_keys(s.dim_title.filter("start_year IS NOT NULL"), "tconst", 250_000)
 
 
-@query("g05_random_rows")
+@query("g05_random_rows", """
+SELECT tconst, primary_title FROM dim_title ORDER BY md5('42:' || CAST(tconst AS VARCHAR)), tconst LIMIT 100""")
 def g05(s):
     return paging.random_rows(s.dim_title.select("tconst", "primary_title"), 100, seed=42, key="tconst")
 

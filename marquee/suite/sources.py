@@ -104,7 +104,8 @@ def a08(s):
 def stat_sql(name, kind, quoted):
     """MD5 of name, type, the extremes as JSON objects, and the null count."""
     mark = '"' if quoted else ""
-    low, high = [f"""concat('{{"v":{mark}', CAST({f}({name}) AS VARCHAR), '{mark}}}')""" for f in ("min", "max")]
+    show = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g')" if kind == "timestamp_ntz" else "CAST({} AS VARCHAR)"
+    low, high = [f"""concat('{{"v":{mark}', {show.format(f'{f}({name})')}, '{mark}}}')""" for f in ("min", "max")]
     return f"md5(concat_ws('|', '{name}', '{kind}', {low}, {high}, CAST(count(*) - count({name}) AS VARCHAR)))"
 
 
@@ -123,7 +124,15 @@ def a09(s):
     return union_all([files.fingerprint(s.nation, "nation"), files.fingerprint(s.region, "region")])
 
 
-@query("a09_fingerprint_facts")
+@query("a09_fingerprint_facts", " UNION ALL ".join([
+    fingerprint_sql("lineitem", [
+        ("l_orderkey", "bigint", False), ("l_partkey", "bigint", False), ("l_suppkey", "bigint", False), ("l_linenumber", "int", False),
+        ("l_quantity", "double", False), ("l_extendedprice", "double", False), ("l_discount", "double", False), ("l_tax", "double", False),
+        ("l_returnflag", "string", True), ("l_linestatus", "string", True), ("l_shipdate", "timestamp_ntz", True)]),
+    fingerprint_sql("orders", [
+        ("o_orderkey", "bigint", False), ("o_custkey", "bigint", False), ("o_orderstatus", "string", True), ("o_totalprice", "double", False),
+        ("o_orderdate", "timestamp_ntz", True), ("o_orderpriority", "string", True)]),
+]))
 def a09_facts(s):
     return union_all([files.fingerprint(s.lineitem, "lineitem"), files.fingerprint(s.orders, "orders")])
 
@@ -246,14 +255,19 @@ def a21(s):
     return s.spark.createDataFrame(files.collect_bounded(report))
 
 
-@query("a22_key_sample")
+FIVE_PERCENT = f"md5('42:' || CAST(tconst AS VARCHAR)) < '{int(0.05 * 16**8):08x}'"
+
+
+@query("a22_key_sample", f"""
+SELECT f.tconst, f.nconst, d.title_type FROM fact_performance f JOIN (SELECT * FROM dim_title WHERE {FIVE_PERCENT}) d ON d.tconst = f.tconst""")
 def a22(s):
     titles = sampling.key_sample(s.dim_title.select("tconst", "title_type"), "tconst", 5)
     credits = sampling.key_sample(s.fact_performance.select("tconst", "nconst"), "tconst", 5)
     return credits.join(titles, "tconst")
 
 
-@query("a23_sample_n")
+@query("a23_sample_n", """
+SELECT tconst, primary_title FROM dim_title ORDER BY md5('42:' || CAST(tconst AS VARCHAR)), tconst LIMIT 50000""")
 def a23(s):
     return sampling.sample_n(s.dim_title.select("tconst", "primary_title"), 50_000, "tconst")
 
@@ -286,7 +300,7 @@ def a24(s):
     ])
 
 
-@query("a25_sources_ready")
+@query("a25_sources_ready", "SELECT * FROM (VALUES (7, true), (1000, false)) v(wanted, ready)")
 def a25(s):
     ready = [(n, files.sources_ready(s.spark, f"{s.sf_dir}/*.parquet", n)) for n in (7, 1000)]
     return s.spark.createDataFrame(ready, "wanted int, ready boolean")
