@@ -134,6 +134,8 @@ def fingerprint(df: DataFrame, name: str) -> DataFrame:
         c = F.col(field.name)
         ordered = not isinstance(field.dataType, (T.MapType, T.VariantType))
         low, high = (F.min(c), F.max(c)) if ordered else (F.lit(None), F.lit(None))
+        if isinstance(field.dataType, T.FractionalType) and not isinstance(field.dataType, T.DecimalType):
+            low, high = low + 0.0, high + 0.0  # a negative zero is a zero
         parts = [F.lit(field.name), F.lit(field.dataType.simpleString())]
         parts += [F.coalesce(F.to_json(F.struct(x.alias("v"))), F.lit("")) for x in (low, high)]
         return F.concat_ws("|", *parts, F.count_if(c.isNull()).cast("string"))

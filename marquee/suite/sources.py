@@ -105,7 +105,8 @@ def stat_sql(name, kind, quoted):
     """MD5 of name, type, the extremes as JSON objects, and the null count."""
     mark = '"' if quoted else ""
     show = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g')" if kind == "timestamp_ntz" else "CAST({} AS VARCHAR)"
-    low, high = [f"""concat('{{"v":{mark}', {show.format(f'{f}({name})')}, '{mark}}}')""" for f in ("min", "max")]
+    value = "{}({}) + 0.0" if kind == "double" else "{}({})"
+    low, high = [f"""concat('{{"v":{mark}', {show.format(value.format(f, name))}, '{mark}}}')""" for f in ("min", "max")]
     return f"md5(concat_ws('|', '{name}', '{kind}', {low}, {high}, CAST(count(*) - count({name}) AS VARCHAR)))"
 
 
