@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from marquee.functions.scalars import list_size, split_list
 from marquee.operators.aggregates import histograms, pivot_roles
-from marquee.operators.ordering import dense_index
+from marquee.operators.joins import join_unique
+from marquee.operators.ordering import HOT_ROWS, dense_index
 from marquee.operators.windows import yearly_credits
 
 # Fixed values of the feature contract.
@@ -113,7 +114,7 @@ def crew_features(
         "nconst", "category", "start_year", "credits", (F.col("start_year") - F.col("debut_year")).alias("length"),
         (c * F.col("credits_before") + c * (c + 1) / 2).alias("running"), "recent_credits",
     )
-    joined = credits.join(state, ["nconst", "category", "start_year"])
+    joined = join_unique(credits, state, ["nconst", "category", "start_year"], hot=c > HOT_ROWS)
     rows = F.sum("credits")
     stats = joined.groupBy("tconst", "category").agg(
         (F.sum(F.col("length") * c) / rows).alias("avg_career_len"),

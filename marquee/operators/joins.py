@@ -36,13 +36,49 @@ def expand_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return left.join(right, list(keys), "left")
 
 
-def pairs(df: DataFrame, group: str, item: str, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
-    """Unordered pairs of distinct items that share a group; hot groups are split by the adaptive skew join."""
-    members = df.select(group, item).distinct()
-    a = members.withColumnRenamed(item, item + suffixes[0])
-    b = members.withColumnRenamed(item, item + suffixes[1])
-    joined = a.join(b, group)
-    return joined.filter(F.col(item + suffixes[0]) < F.col(item + suffixes[1]))
+def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Column, how: str = "inner") -> DataFrame:
+    """Join to a side with one row per key, of which some match too many left rows for one task.
+
+    ``hot`` marks those rows of ``right``. There can be no more of them than left rows divided by the hot
+    size, so they are broadcast; their left rows are spread over all tasks in the other join.
+    """
+    keys = list(keys)
+    values = [c for c in right.columns if c not in keys]
+    packed = right.select(*keys, hot.alias("_is_hot"), F.struct(*values).alias("_v"))
+    few = packed.filter("_is_hot").select(*keys, F.col("_v").alias("_hot"))
+    rest = packed.filter("NOT _is_hot").select(*keys, F.lit(0).alias("_salt"), F.col("_v").alias("_cold"))
+    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(1024)).cast("int"))
+    marked = left.join(F.broadcast(few), keys, "left").withColumn("_salt", spread)
+    found = marked.join(rest, [*keys, "_salt"], "left").withColumn("_v", F.coalesce("_hot", "_cold"))
+    if how == "inner":
+        found = found.filter(F.col("_v").isNotNull())
+    return found.select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+def pairs(
+    df: DataFrame, group: str, item: str, keep: Sequence[str] = (), both: Sequence[str] = (), largest: int | None = None,
+    block_rows: int = 5_000,
+) -> DataFrame:
+    """Unordered pairs (``item_a`` < ``item_b``) of the distinct (group, item) rows of ``df`` that share a group.
+
+    ``keep`` columns belong to the group and are carried once, ``both`` columns belong to the item and get a
+    suffix. ``largest`` bounds the group size; without it groups are counted first. Beyond ``block_rows`` a group
+    is cut into blocks of items and each pair of blocks is joined on its own, so no task holds a whole large group.
+    """
+    a = df.select(group, *keep, *[F.col(c).alias(f"{c}_a") for c in (item, *both)])
+    b = df.select(group, *[F.col(c).alias(f"{c}_b") for c in (item, *both)])
+    if largest is None:
+        largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    on = [group]
+    if largest > block_rows:
+        sizes = df.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
+        own = lambda column: F.pmod(F.xxhash64(column), F.col("_blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+        a = a.join(sizes, group).withColumn("_i", own(f"{item}_a")).withColumn("_j", every).drop("_blocks")
+        b = b.join(sizes, group).withColumn("_j", own(f"{item}_b")).withColumn("_i", every).drop("_blocks")
+        on = [group, "_i", "_j"]
+    joined = a.join(b, on).filter(F.col(f"{item}_a") < F.col(f"{item}_b"))
+    return joined.drop("_i", "_j")
 
 
 def collaborators(credits: DataFrame, person_id, k: int | None = None, group: str = "tconst", item: str = "nconst") -> DataFrame:
@@ -116,17 +152,17 @@ def _worth_pairing(side: DataFrame, other: DataFrame, person: str, n: str, other
     return side.join(reach.filter(F.col("_reach") >= min_n), person, "left_semi")
 
 
-def role_pairs(credits: DataFrame, role_a: str, role_b: str, min_n: int = 1) -> DataFrame:
-    """(tconst, a, b, n): joint credits of people in two roles of the same title.
+def role_pairs(credits: DataFrame, role_a: str, role_b: str, min_n: int = 1, keep: Sequence[str] = ()) -> DataFrame:
+    """(tconst, a, b, n): joint credits of people in two roles of the same title; ``keep`` carries title columns.
 
     Credits are counted per title and person first. With ``min_n`` above 1, people who cannot reach it with
     anybody are dropped before the join, which also empties a title of countless one-off credits.
     """
-    counted = credits.filter(F.col("category").isin(role_a, role_b)).groupBy("tconst", "category", "nconst").agg(
+    counted = credits.filter(F.col("category").isin(role_a, role_b)).groupBy("tconst", "category", "nconst", *keep).agg(
         F.count("*").alias("n")
     )
-    a = counted.filter(F.col("category") == role_a).select("tconst", F.col("nconst").alias("a"), F.col("n").alias("na"))
+    a = counted.filter(F.col("category") == role_a).select("tconst", *keep, F.col("nconst").alias("a"), F.col("n").alias("na"))
     b = counted.filter(F.col("category") == role_b).select("tconst", F.col("nconst").alias("b"), F.col("n").alias("nb"))
     if min_n > 1:
         a, b = _worth_pairing(a, b, "a", "na", "nb", min_n), _worth_pairing(b, a, "b", "nb", "na", min_n)
-    return a.join(b, "tconst").select("tconst", "a", "b", (F.col("na") * F.col("nb")).alias("n"))
+    return a.join(b, "tconst").select("tconst", "a", "b", (F.col("na") * F.col("nb")).alias("n"), *keep)

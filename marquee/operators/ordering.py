@@ -7,7 +7,7 @@ distribution, ties included. A rank is then the size of the earlier slices plus
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,8 +63,10 @@ def rank_within(
     name: str = "rank",
     hot_rows: int = HOT_ROWS,
     largest: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """``row_number`` over ``keys`` in ascending ``order`` (which must be total and free of nulls).
+    """``row_number`` over ``keys`` in ascending ``order`` (which must be total and free of nulls), and the size of
+    the group where ``total`` names a column for it.
 
     ``largest`` is a known upper bound of the group size; without it the sizes are counted first. If no group
     exceeds ``hot_rows`` this is a plain window. Otherwise hot groups are sliced, and the input is
@@ -75,8 +77,9 @@ def rank_within(
         counted = df.groupBy(*keys).count() if keys else df.groupBy().count()
         largest = counted.agg(F.max("count")).first()[0] or 0
     if largest <= hot_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("long"))
+        group = Window.partitionBy(*keys)
+        ranked = df.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("long"))
+        return ranked.withColumn(total, F.count("*").over(group)) if total else ranked
 
     shared_dir(df.sparkSession)
     columns = df.columns
@@ -89,11 +92,39 @@ def rank_within(
     sliced = _with_slice(_join_group(df, _cut_points(hot_rows_df, keys), keys))
     inside = Window.partitionBy(*keys, "_slice").orderBy("_o")
     sizes = sliced.filter("_cuts IS NOT NULL").groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = sliced.withColumn("_in", F.row_number().over(inside)).join(offsets, [*keys, "_slice"], "left")
-    rank = (F.col("_in") + F.coalesce(F.col("_before"), F.lit(0))).cast("long")
-    return numbered.select(*columns, rank.alias(name))
+    whole = Window.partitionBy(*keys)  # at most SLICES rows per group from here
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total")
+    )
+    placed = sliced.withColumn("_in", F.row_number().over(inside))
+    placed = placed.withColumn("_size", F.count("*").over(Window.partitionBy(*keys, "_slice")))
+    numbered = placed.join(offsets, [*keys, "_slice"], "left")
+    rank = (F.col("_in") + F.coalesce(F.col("_before"), F.lit(0))).cast("long").alias(name)
+    size = [F.coalesce("_total", "_size").alias(total)] if total else []
+    return numbered.select(*columns, rank, *size)
+
+
+def over_groups(
+    df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], hot_rows: int = HOT_ROWS, largest: int | None = None
+) -> DataFrame:
+    """Aggregates of its group on every row, as a window over ``keys`` gives them.
+
+    Groups above ``hot_rows`` (there are at most rows / hot_rows of them) are aggregated apart and broadcast, and
+    their rows are spread over all tasks. ``largest`` is a known upper bound of the group size.
+    """
+    if largest is None:
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= hot_rows:
+        return df.withColumns({name: agg.over(Window.partitionBy(*keys)) for name, agg in aggs.items()})
+    values = [agg.alias(name) for name, agg in aggs.items()]
+    sums = df.groupBy(*keys).agg(F.count("*").alias("_n"), *values).filter(F.col("_n") > hot_rows)
+    few = sums.select(*keys, F.struct(*aggs).alias("_hot"))
+    marked = df.join(F.broadcast(few), list(keys), "left")
+    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(1024)).cast("int"))
+    window = Window.partitionBy(*keys, "_salt")
+    own = {name: F.coalesce(F.col("_hot")[name], agg.over(window)) for name, agg in aggs.items()}
+    return marked.withColumn("_salt", spread).withColumns(own).drop("_hot", "_salt")
 
 
 def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:

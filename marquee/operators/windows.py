@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.operators.ordering import one_per_group, rank_within, top_per_group
+from marquee.operators.ordering import one_per_group, over_groups, rank_within, top_per_group
 
 
 def collaboration_rank(
@@ -18,19 +18,18 @@ def collaboration_rank(
     return rank_within(df, pair, [F.coalesce(-F.col(votes), lowest), F.col(tie)], name, **bounds)
 
 
-def partition_total(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Group size on every row: counted with partial aggregation, joined back."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias(name))
-    return df.join(sizes, list(keys))
+def partition_total(df: DataFrame, keys: Sequence[str], name: str, **bounds) -> DataFrame:
+    """Group size on every row."""
+    return over_groups(df, keys, {name: F.count("*")}, **bounds)
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return one_per_group(df, keys, order)
 
 
-def debut_year(df: DataFrame, keys: Sequence[str], year: str, name: str = "debut_year") -> DataFrame:
-    first = df.groupBy(*keys).agg(F.min(year).alias(name))
-    return df.join(first, list(keys))
+def debut_year(df: DataFrame, keys: Sequence[str], year: str, name: str = "debut_year", **bounds) -> DataFrame:
+    """First year of the group on every row."""
+    return over_groups(df, keys, {name: F.min(year)}, **bounds)
 
 
 def yearly_credits(df: DataFrame, keys: Sequence[str], year: str, span: int = 5) -> DataFrame:

@@ -291,8 +291,8 @@ def role_pair_matrix(
 def role_pair_ratings(performance: DataFrame, titles: DataFrame, role_a: str, role_b: str, min_n: int = 3) -> DataFrame:
     """(a, b, freq, avg_rating) of pairs with enough rated titles."""
     rated = titles.filter("average_rating IS NOT NULL").select("tconst", "average_rating")
-    credits = performance.filter(F.col("category").isin(role_a, role_b)).join(rated.select("tconst"), "tconst", "left_semi")
-    joint = role_pairs(credits, role_a, role_b, min_n).join(rated, "tconst")
+    credits = performance.filter(F.col("category").isin(role_a, role_b)).select("tconst", "nconst", "category").join(rated, "tconst")
+    joint = role_pairs(credits, role_a, role_b, min_n, keep=["average_rating"])
     total = F.sum(F.col("average_rating") * F.col("n")) / F.sum("n")
     return joint.groupBy("a", "b").agg(F.sum("n").alias("freq"), total.alias("avg_rating")).filter(F.col("freq") >= min_n)
 

@@ -127,27 +127,30 @@ def fact_episode(episode: DataFrame, basics: DataFrame) -> DataFrame:
 
 
 def actor_cooccurrence(
-    performance: DataFrame, titles: DataFrame, people: DataFrame, roles: Sequence[str] = ACTING, hot_rows: int = HOT_ROWS
+    performance: DataFrame, titles: DataFrame, people: DataFrame, roles: Sequence[str] = ACTING, hot_rows: int = HOT_ROWS,
+    block_rows: int = 5_000,
 ) -> DataFrame:
     """Each pair of performers with each title they share, its rank within the pair and the pair's total.
 
-    The mart is one row per pair and title by definition. Pairs form after removing repeated credits. A pair
-    shares at most as many titles as its busier member has, so the largest such count tells whether any pair is
-    too large for one sort task, without building the pairs first.
+    The mart is one row per pair and title by definition. Repeated credits go first; names and title columns are
+    joined to the credits, so the far larger pairs are shuffled only for their ranks. Two bounds are read
+    from the credit counts beforehand: the largest cast tells whether a title must be paired in blocks, and the
+    busiest person, whom no pair can exceed, whether a pair must be ranked in slices.
     """
-    credits = performance.filter(F.col("category").isin(list(roles))).select("tconst", "nconst").distinct()
-    busiest = credits.groupBy("nconst").count().agg(F.max("count")).first()[0] or 0
-    shared = pairs(credits, "tconst", "nconst")
+    acted = performance.filter(F.col("category").isin(list(roles))).select("tconst", "nconst")
+    bounds = [acted.groupBy(c).count().agg(F.max("count").alias("n"), F.lit(c).alias("key")) for c in ("nconst", "tconst")]
+    largest = {r["key"]: r["n"] or 0 for r in bounds[0].unionAll(bounds[1]).collect()}  # two rows
+    names = people.select("nconst", F.col("primary_name").alias("name"))
     title = titles.select("tconst", "title_type", "start_year", "average_rating", "num_votes")
-    named = shared.join(title, "tconst", "left")
-    keys = ["nconst_a", "nconst_b"]
-    ranked = collaboration_rank(named, keys, "num_votes", "tconst", hot_rows=hot_rows, largest=busiest)
-    totals = shared.groupBy(*keys).agg(F.count("*").alias("total_collaborations"))
-    for side in ("a", "b"):
-        names = people.select(F.col("nconst").alias(f"nconst_{side}"), F.col("primary_name").alias(f"actor_{side}_name"))
-        totals = totals.join(names, f"nconst_{side}", "left")
-    return ranked.join(totals, keys).select(
-        F.col("nconst_a").alias("actor_a_nconst"), "actor_a_name", F.col("nconst_b").alias("actor_b_nconst"),
-        "actor_b_name", F.col("tconst").alias("shared_title"), "title_type", "start_year", "average_rating",
+    credits = acted.distinct().join(names, "nconst", "left").join(title, "tconst", "left")
+    shared = pairs(
+        credits, "tconst", "nconst", keep=title.columns[1:], both=["name"], largest=largest["tconst"], block_rows=block_rows
+    )
+    ranked = collaboration_rank(
+        shared, ["nconst_a", "nconst_b"], "num_votes", "tconst", hot_rows=hot_rows, largest=largest["nconst"], total="total_collaborations"
+    )
+    return ranked.select(
+        F.col("nconst_a").alias("actor_a_nconst"), F.col("name_a").alias("actor_a_name"), F.col("nconst_b").alias("actor_b_nconst"),
+        F.col("name_b").alias("actor_b_name"), F.col("tconst").alias("shared_title"), "title_type", "start_year", "average_rating",
         "num_votes", "collaboration_rank", "total_collaborations",
     )

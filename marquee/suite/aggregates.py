@@ -205,7 +205,8 @@ PAIRS = """p AS (SELECT DISTINCT a.tconst, a.nconst AS nconst_a, b.nconst AS nco
 
 
 def actor_pairs(s):
-    return joins.pairs(s.fact_performance.filter("category = 'actor'"), "tconst", "nconst")
+    acting = s.fact_performance.filter("category = 'actor'").select("tconst", "nconst").distinct()
+    return joins.pairs(acting, "tconst", "nconst")
 
 
 @query("f01_collaboration_rank", f"""

@@ -53,7 +53,7 @@ WITH a AS (SELECT DISTINCT tconst, nconst FROM fact_performance WHERE category I
 SELECT a.tconst, a.nconst AS nconst_a, b.nconst AS nconst_b FROM a, a b WHERE a.tconst = b.tconst AND a.nconst < b.nconst""")
 def d05(s):
     acting = s.fact_performance.filter(F.col("category").isin(*marts.ACTING))
-    return joins.pairs(acting, "tconst", "nconst")
+    return joins.pairs(acting.select("tconst", "nconst").distinct(), "tconst", "nconst")
 
 
 MOST_CREDITED = "(SELECT nconst FROM fact_performance GROUP BY nconst ORDER BY count(*) DESC, nconst LIMIT 1)"

@@ -68,9 +68,9 @@ def test_cooccurrence_ranks_and_hot_pairs(spark):
     titles = spark.createDataFrame([(t, "movie", 2000, 5.0, None if t % 4 == 0 else t % 10) for t in range(60)],
                                    "tconst int, title_type string, start_year int, average_rating double, num_votes int")
     people = spark.createDataFrame([(1, "A"), (2, "B")], "nconst int, primary_name string")
-    read = lambda hot: sorted((r["actor_a_nconst"], r["actor_b_nconst"], r["collaboration_rank"], r["shared_title"], r["total_collaborations"])
-                              for r in marts.actor_cooccurrence(performance, titles, people, hot_rows=hot).collect())
-    plain, sliced = read(10**6), read(10)
+    read = lambda hot, block: sorted((r["actor_a_nconst"], r["actor_b_nconst"], r["collaboration_rank"], r["shared_title"], r["total_collaborations"])
+                              for r in marts.actor_cooccurrence(performance, titles, people, hot_rows=hot, block_rows=block).collect())
+    plain, sliced = read(10**6, 5000), read(10, 1)
     assert plain == sliced
     pair = [r for r in plain if r[:2] == (1, 2)]
     assert len(pair) == 60 and all(r[4] == 60 for r in pair)

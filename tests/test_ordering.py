@@ -91,9 +91,30 @@ def test_career_windows(spark, rows):
     assert rows(windows.recent_credits(df, ["n"], "y", 5)) == [("p", 2000, 2), ("p", 2000, 2), ("p", 2005, 3), ("p", 2011, 1)]
 
 
-def test_pairs_count_a_person_once(spark, rows):
-    df = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 10)], "t int, n int")
-    assert rows(joins.pairs(df, "t", "n")) == [(1, 10, 11)]
+@pytest.mark.parametrize("hot_rows", [50, 10**9])
+def test_group_values_on_rows(skewed, hot_rows):
+    found = windows.partition_total(windows.debut_year(skewed, ["a"], "t", hot_rows=hot_rows), ["a", "votes"], "n", hot_rows=hot_rows)
+    plain = found.withColumn("m", F.min("t").over(Window.partitionBy("a"))).withColumn("k", F.count("*").over(Window.partitionBy("a", "votes")))
+    assert found.count() == 3000 and plain.filter("debut_year <> m OR (n <> k AND votes IS NOT NULL)").isEmpty()
+
+
+@pytest.mark.parametrize("limit", [0, 30, 10**6])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_to_hot_keys(spark, rows, limit, how):
+    left = spark.range(300).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 9).alias("k"), F.col("id").alias("x"))
+    sizes = left.filter("k <> 4").groupBy("k").agg(F.count("*").alias("n"))
+    found = joins.join_unique(left, sizes, ["k"], hot=F.col("n") > limit, how=how)
+    assert rows(found) == rows(left.join(sizes, "k", how).select("k", "x", "n"))
+
+
+@pytest.mark.parametrize("block_rows", [4, 1000])
+def test_pairs_in_blocks(spark, rows, block_rows):
+    """One large group and small ones; each pair comes once, with its group's and its items' columns."""
+    members = [(0, i) for i in range(30)] + [(g, i) for g in (1, 2) for i in range(3)]
+    df = spark.createDataFrame([(g, i, f"g{g}", f"i{i}") for g, i in members], "g int, n int, title string, name string")
+    got = rows(joins.pairs(df, "g", "n", keep=["title"], both=["name"], block_rows=block_rows), "g", "title", "n_a", "name_a", "n_b", "name_b")
+    want = sorted(((g, f"g{g}", i, f"i{i}", j, f"i{j}") for g, i in members for h, j in members if g == h and i < j), key=repr)
+    assert got == want
 
 
 def test_role_pairs_pruning_is_exact(spark, rows):
