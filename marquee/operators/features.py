@@ -12,7 +12,7 @@ from marquee.functions.scalars import list_size, split_list
 from marquee.operators.aggregates import histograms, pivot_roles
 from marquee.operators.joins import join_unique
 from marquee.operators.ordering import HOT_ROWS, dense_index
-from marquee.operators.windows import yearly_credits
+from marquee.operators.windows import explode_run, yearly_credits
 
 # Fixed values of the feature contract.
 FEATURE_TYPES = ["movie", "tvSeries", "tvMiniSeries", "tvMovie", "short"]
@@ -92,10 +92,10 @@ def _modelled_credits(performance: DataFrame, titles: DataFrame, roles: Sequence
 def person_year_stats(performance: DataFrame, titles: DataFrame, roles: Sequence[str] = ("director", "writer")) -> DataFrame:
     """Career state of each person and role per active year, one row per running credit number."""
     years = yearly_credits(_modelled_credits(performance, titles, roles), ["nconst", "category"], "start_year")
-    run = F.sequence(F.col("credits_before") + 1, F.col("credits_before") + F.col("credits"))
-    return years.select(
+    runs = explode_run(years, ["nconst", "category", "start_year"], "credits", "_i")
+    return runs.select(
         "nconst", "category", "start_year", "debut_year", (F.col("start_year") - F.col("debut_year")).alias("career_length"),
-        F.explode(run).alias("cumulative_credits"), F.col("recent_credits").alias("recent_5yr_credits"),
+        (F.col("credits_before") + F.col("_i")).alias("cumulative_credits"), F.col("recent_credits").alias("recent_5yr_credits"),
     )
 
 
@@ -237,13 +237,16 @@ def interactions(
 
 def index_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     """(id, dense 0-based index), in id order."""
-    return dense_index(df, column, name)
+    return dense_index(df, column, name).select(column, name)
 
 
 def with_indexes(inter: DataFrame) -> DataFrame:
     """Interactions with ``user_idx`` and ``item_idx``."""
-    users, items = index_ids(inter, "user_id", "user_idx"), index_ids(inter, "item_id", "item_idx")
-    return inter.join(users, "user_id").join(items, "item_id")
+    out = inter
+    for column, name in (("user_id", "user_idx"), ("item_id", "item_idx")):
+        index = dense_index(inter, column, name, count="_rows")
+        out = join_unique(out, index, [column], hot=F.col("_rows") > HOT_ROWS).drop("_rows")
+    return out
 
 
 def interaction_summary(inter: DataFrame) -> DataFrame:

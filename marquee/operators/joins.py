@@ -44,15 +44,15 @@ def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Col
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
-    packed = right.select(*keys, hot.alias("_is_hot"), F.struct(*values).alias("_v"))
-    few = packed.filter("_is_hot").select(*keys, F.col("_v").alias("_hot"))
-    rest = packed.filter("NOT _is_hot").select(*keys, F.lit(0).alias("_salt"), F.col("_v").alias("_cold"))
+    packed = right.select(*keys, hot.alias("_is_hot"), F.struct(*values).alias("_matched"))
+    few = packed.filter("_is_hot").select(*keys, F.col("_matched").alias("_hot"))
+    rest = packed.filter("NOT _is_hot").select(*keys, F.lit(0).alias("_salt"), F.col("_matched").alias("_cold"))
     spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(1024)).cast("int"))
     marked = left.join(F.broadcast(few), keys, "left").withColumn("_salt", spread)
-    found = marked.join(rest, [*keys, "_salt"], "left").withColumn("_v", F.coalesce("_hot", "_cold"))
+    found = marked.join(rest, [*keys, "_salt"], "left").withColumn("_matched", F.coalesce("_hot", "_cold"))
     if how == "inner":
-        found = found.filter(F.col("_v").isNotNull())
-    return found.select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+        found = found.filter(F.col("_matched").isNotNull())
+    return found.select(*left.columns, *[F.col(f"_matched.{c}").alias(c) for c in values])
 
 
 def pairs(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.scalars import as_col
+from marquee.operators.joins import join_unique
 from marquee.session import shared_dir
 
 SLICES = 64
@@ -127,12 +128,12 @@ def over_groups(
     return marked.withColumn("_salt", spread).withColumns(own).drop("_hot", "_salt")
 
 
-def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
-    """(value, 0-based position in sorted order) for each distinct non-null value of ``column``.
+def dense_index(df: DataFrame, column: str, name: str, count: str = "count") -> DataFrame:
+    """(value, 0-based position in sorted order, number of rows) for each distinct non-null value of ``column``.
 
     No task sees more than one slice of the values.
     """
-    values = df.select(column).distinct().filter(F.col(column).isNotNull())
+    values = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(count))
     values = values.withColumn("_o", F.struct(F.col(column)))
     sliced = _with_slice(_join_group(values, _cut_points(values, []), []))
     sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
@@ -140,16 +141,16 @@ def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_slice").orderBy(column)) - 1
     return (
-        sliced.select(column, "_slice", inside.alias("_in"))
+        sliced.select(column, count, "_slice", inside.alias("_in"))
         .join(F.broadcast(offsets), "_slice")  # at most SLICES rows
-        .select(column, (F.col("_in") + F.col("_before")).cast("long").alias(name))
+        .select(column, (F.col("_in") + F.col("_before")).cast("long").alias(name), count)
     )
 
 
 def exact_quantiles(
     df: DataFrame, column: str, probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = 10_000
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, as columns ``n, q0, q1, ...`` per group.
+    """Exact quantiles with linear interpolation, as columns ``n, q0, q1, ...`` per group; rows without a key drop out.
 
     ``percentile`` would hold every distinct value of a group in one task. Here a sketch brackets each wanted
     position, and only the values inside the bracket (a fixed small share of the rows) are counted and
@@ -168,7 +169,7 @@ def exact_quantiles(
     whole = F.concat(F.array_repeat("_min", k), F.array_repeat("_max", k))
     sketch = sketch.select(*keys, "_n", F.when(F.col("_n") <= accuracy, whole).otherwise(F.col("_sketch")).alias("_edges"))
     if keys:
-        bracketed = values.join(sketch, keys)
+        bracketed = join_unique(values, sketch, keys, hot=F.col("_n") > HOT_ROWS)
     else:
         bracketed = values.withColumns({c: sketch.select(c).scalar() for c in ("_n", "_edges")})
     # Per probability: values below the bracket are only counted, values above it are dropped.

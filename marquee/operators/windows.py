@@ -49,18 +49,24 @@ def yearly_credits(df: DataFrame, keys: Sequence[str], year: str, span: int = 5)
     )
 
 
+def explode_run(df: DataFrame, keys: Sequence[str], count: str, name: str, run: int = 10_000) -> DataFrame:
+    """One row per number 1..``count`` of each row. Long runs are cut into pieces that spread over the tasks."""
+    pieces = F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / run)))
+    spread = df.filter(F.col(count) > 0).withColumn("_piece", pieces).repartition(*keys, "_piece")
+    numbers = F.sequence(F.col("_piece") * run + 1, F.least((F.col("_piece") + 1) * run, F.col(count)))
+    return spread.withColumn(name, F.explode(numbers)).drop("_piece")
+
+
 def cumulative_credits(df: DataFrame, keys: Sequence[str], year: str, name: str = "cumulative_credits") -> DataFrame:
     """One row per credit with its running number; within a year the numbers are given in no special order."""
-    years = yearly_credits(df, keys, year)
-    run = F.sequence(F.col("credits_before") + 1, F.col("credits_before") + F.col("credits"))
-    return years.select(*keys, year, F.explode(run).alias(name))
+    runs = explode_run(yearly_credits(df, keys, year), [*keys, year], "credits", "_i")
+    return runs.select(*keys, year, (F.col("credits_before") + F.col("_i")).alias(name))
 
 
 def recent_credits(df: DataFrame, keys: Sequence[str], year: str, span: int = 5, name: str = "recent_credits") -> DataFrame:
     """One row per credit with the number of credits in the trailing years."""
-    years = yearly_credits(df, keys, year, span)
-    copies = F.explode(F.sequence(F.lit(1), F.col("credits")))
-    return years.select(*keys, year, F.col("recent_credits").alias(name), copies.alias("_i")).drop("_i")
+    runs = explode_run(yearly_credits(df, keys, year, span), [*keys, year], "credits", "_i")
+    return runs.select(*keys, year, F.col("recent_credits").alias(name))
 
 
 def top_k(df: DataFrame, user: str, score: str, tie: str, k: int, name: str = "rank") -> DataFrame:

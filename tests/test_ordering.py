@@ -136,3 +136,9 @@ def test_merge_unique_prefers_earlier(spark, rows):
     a = spark.createDataFrame([(1, "a")], "k int, v string")
     b = spark.createDataFrame([(1, "b"), (2, "b")], "k int, v string")
     assert rows(paging.merge_unique([a, b], "k")) == [(1, "a"), (2, "b")]
+
+
+def test_long_runs_come_in_pieces(spark, rows):
+    df = spark.createDataFrame([("a", 7), ("b", 1), ("c", 0), ("d", 6)], "k string, n bigint")
+    want = sorted(((k, i) for k, n in (("a", 7), ("b", 1), ("d", 6)) for i in range(1, n + 1)), key=repr)
+    assert rows(windows.explode_run(df, ["k"], "n", "i", run=3), "k", "i") == want
