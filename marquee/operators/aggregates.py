@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.scalars import as_col
-from marquee.operators.joins import ordered_concat  # noqa: F401  (part of this module's surface)
 
 SMOOTHING = 1e-10
 

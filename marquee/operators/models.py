@@ -38,7 +38,7 @@ def with_baseline(df: DataFrame, train: DataFrame, y: str, name: str = "predicti
     return df.withColumn(name, baseline(train, y, name).scalar())
 
 
-def label_priors(train: DataFrame, items: str, total: Column | None = None) -> DataFrame:
+def label_priors(train: DataFrame, items: str) -> DataFrame:
     """(label, prob): share of train rows with each label of an array column."""
     n = train.agg(F.count("*")).scalar()
     counted = train.select(F.explode(items).alias("label")).groupBy("label").agg(F.count("*").alias("n"))

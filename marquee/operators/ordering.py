@@ -196,8 +196,3 @@ def exact_quantiles(
     found = found.withColumn("_q", checked)
     picks = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(k)]
     return found.groupBy(*keys, F.col("_n").alias("n")).agg(*picks).select(*keys, "n", *[f"q{i}" for i in range(k)])
-
-
-def exact_median(df: DataFrame, column: str, name: str = "median") -> DataFrame:
-    """One row: the median of a column whose number of distinct values is not bounded."""
-    return exact_quantiles(df, column, [0.5]).select(F.col("q0").alias(name))

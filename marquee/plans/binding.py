@@ -98,7 +98,7 @@ CHARACTERS = (
 )
 AKA_REGION = _pick("l_suppkey % 9", ["US", "GB", "DE", "FR", "JP", "IN", "BR"])
 AKA_LANGUAGE = _pick("l_partkey % 7", ["en", "de", "fr", "ja", "hi"])
-AKA_TYPES = _pick("l_partkey % 5", ["imdbDisplay", "alternative,working", "dvd, dvd"])
+AKA_TYPES = _pick("l_partkey % 5", ["display", "alternative,working", "dvd, dvd"])
 AKA_ATTRS = _pick("l_suppkey % 11", ["literal title", "short title,reissue title"])
 
 PERSON_NAME = "CASE WHEN s_suppkey % 10 = 9 THEN concat('Namesake ', CAST(s_nationkey AS STRING)) ELSE s_name END"

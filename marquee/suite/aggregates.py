@@ -41,14 +41,14 @@ SELECT f.tconst, string_agg(p.primary_name, ', ' ORDER BY f.ordering, f.nconst,
 JOIN dim_person p ON p.nconst = f.nconst GROUP BY f.tconst""")
 def e04(s):
     named = s.fact_performance.join(s.dim_person, "nconst")
-    return ag.ordered_concat(named, ["tconst"], "primary_name", ["ordering", "nconst", "category"], "people")
+    return joins.ordered_concat(named, ["tconst"], "primary_name", ["ordering", "nconst", "category"], "people")
 
 
 @query("e05_concat_values", """
 SELECT title_id, string_agg(trim(region), ', ' ORDER BY trim(region)) AS regions FROM title_akas WHERE region IS NOT NULL GROUP BY title_id""")
 def e05(s):
     trimmed = s.title_akas.select("title_id", F.trim("region").alias("region"))
-    return ag.ordered_concat(trimmed, ["title_id"], "region", ["region"], "regions")
+    return joins.ordered_concat(trimmed, ["title_id"], "region", ["region"], "regions")
 
 
 @query("e06_aka_summary", """
