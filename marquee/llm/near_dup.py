@@ -9,8 +9,9 @@ entry. At similarity 0.8 a pair differs in a value with probability 0.2, and sha
 Documents with the same shingle set are one class first; only class representatives (least ids) enter the index. Members
 of an entry are compared with its least member, so an entry of n members gives n - 1 pairs. Pairs whose signatures differ
 too much are dropped; the others are confirmed on the full sets, the nearest per member first, the rest only where the
-ends are not yet connected. What this star leaves, members of one entry in different components, is compared in blocks,
-and near pairs are confirmed too. So no link between components is missed, and no group is expanded into all its pairs.
+ends are not yet connected. What this star leaves, members of one entry in different components, is compared in blocks:
+first each such member with its nearest, then, with the texts in the blocks, all that is still apart. Only links
+leave the blocks. So no link between components is missed, and no group is expanded into all its pairs.
 
 Defined cases: null and empty texts have no shingles and no links; rows with a null id are never linked and stay; rows
 that share an id share its fate; an empty table gives no rows; further columns do not matter.
@@ -32,8 +33,8 @@ from marquee.session import scratch_path
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
 VALUES = CHUNKS * WIDTH
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-# Six standard deviations above the mean distance of a pair at similarity 0.8 (12 of 60 values).
-NEAR = 30
+# Five standard deviations above the mean distance of a pair at similarity 0.8 (12 of 60 values).
+NEAR = 27
 BLOCK = 256
 _RNG = np.random.default_rng(20)
 FACTORS = _RNG.integers(0, 2**64, VALUES, np.uint64) | np.uint64(1)
@@ -102,12 +103,12 @@ def signatures(docs: DataFrame, size: int, key: str = "doc_id", text: str = "tex
 
 
 def _entries(sig: Column) -> Column:
-    """One entry per chunk and choice of places left out."""
+    """One entry per chunk and choice of places left out, with its number."""
     made = []
     for chunk in range(CHUNKS):
         for number, left in enumerate(combinations(range(WIDTH), WIDTH - ERRORS)):
             made.append(F.xxhash64(F.lit(chunk * 100 + number), *[sig[chunk * WIDTH + i] for i in left]))
-    return F.explode(F.array(*made))
+    return F.posexplode(F.array(*made))
 
 
 def _distance(a: str, b: str) -> Column:
@@ -120,11 +121,18 @@ def _written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts of the documents in ``pairs``."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _texts(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """Texts of the documents whose ids are in ``nodes``."""
     rows = docs.select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("data"))
-    return rows.join(nodes, "id", "left_semi")
+    return rows.join(nodes.select("id").distinct(), "id", "left_semi")
+
+
+def similar(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(first), len(second)))
+    if 100 * small < percent * large:
+        return False
+    both = len(np.intersect1d(first, second, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (small + large - both)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -141,9 +149,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 one = batch.column(2)[i].as_py()
                 if one != last:  # rows with one a lie together after the join
                     last, first = one, shingles(one, size, known)
-                second = shingles(batch.column(3)[i].as_py(), size, known)
-                both = len(np.intersect1d(first, second, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(first) + len(second) - both))
+                keep.append(similar(first, shingles(batch.column(3)[i].as_py(), size, known), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long").distinct()
@@ -157,65 +163,102 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.where("of_a <> of_b").drop("of_a", "of_b")
 
 
-def _left_over(members: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
-    """Near pairs between different components inside entries, beyond those with the entry's least member.
-
-    In each entry the members of the largest component form blocks on one side, the others blocks on both.
-    """
+def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members (entry, number, id, of) of the entries that hold several components beside their least member."""
     rows = members.where("n > 2").join(groups.withColumnRenamed("component", "of"), "id", "left").withColumn("of", F.coalesce("of", "id"))
     mixed = rows.where("id <> hub").groupBy("entry").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
-    rows = rows.join(mixed, "entry", "left_semi").select("entry", "id", "of")
-    main = rows.groupBy("entry", "of").agg(F.count("*").alias("n")).groupBy("entry").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.sum("n").alias("n"))
+    return rows.join(mixed, "entry", "left_semi").select("entry", "number", "id", "of")
+
+
+def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """Blocks of members to compare: number of the entry, rows of one side, rows of the other.
+
+    In each entry the members of the largest component form blocks on one side only, the others blocks on both.
+    """
+    main = mixed.groupBy("entry", "of").agg(F.count("*").alias("n")).groupBy("entry").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.sum("n").alias("n"))
+    rows = mixed.join(main, "entry").join(reps.select("id", "sig"), "id")
+    if texts is not None:
+        rows = rows.join(texts, "id")
     blocks = (
-        rows.join(main, "entry")
-        .join(reps.select("id", "sig"), "id")
-        .withColumn("rest", F.col("of") != F.col("main"))
+        rows.withColumn("rest", F.col("of") != F.col("main"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK).cast("long")))
-        .groupBy("entry", "rest", "block")
-        .agg(F.collect_list(F.struct("id", "of", "sig")).alias("rows"))
+        .groupBy("entry", "number", "rest", "block")
+        .agg(F.collect_list(F.struct("id", "of", "sig", *(["data"] if texts is not None else []))).alias("rows"))
     )
-    left = blocks.where("rest").select("entry", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
+    left = blocks.where("rest").select("entry", "number", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
     right = blocks.select("entry", F.col("rest").alias("rest_b"), F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
-    met = left.join(right, "entry").where("not rest_b or block_a <= block_b").select("rows_a", "rows_b")
+    return left.join(right, "entry").where("not rest_b or block_a <= block_b").select("number", "rows_a", "rows_b")
 
-    def run(batches):
-        def arrays(rows):
-            return (
-                np.array([r["id"] for r in rows]), np.array([r["of"] for r in rows]), np.array([r["sig"] for r in rows], np.int32),
-            )
 
+def first_shared(equal: np.ndarray) -> np.ndarray:
+    """Number of the first entry that signatures share, from rows of which values are equal (there must be one)."""
+    errors = ~equal.reshape(len(equal), CHUNKS, WIDTH)
+    few = errors.sum(axis=2) <= ERRORS
+    chunk = few.argmax(axis=1)
+    places = errors[np.arange(len(equal)), chunk]
+    # Choices come in the order of ``combinations``: the first leaves out the last place.
+    return chunk * WIDTH + np.where(places.any(axis=1), WIDTH - 1 - places.argmax(axis=1), 0)
+
+
+def _compared(meetings: DataFrame, size: int, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) out of blocks: per row of one side the nearest of another component, or all links by full sets.
+
+    A pair is looked at only in the first entry it shares.
+    """
+
+    def run(batches):
+        known = _Words()
         for batch in batches:
             out_a, out_b = [], []
             for i in range(batch.num_rows):
-                ids_a, of_a, sig_a = arrays(batch.column(0)[i].as_py())
-                ids_b, of_b, sig_b = arrays(batch.column(1)[i].as_py())
-                for row in range(len(ids_a)):
-                    near = ((sig_b != sig_a[row]).sum(axis=1) <= NEAR) & (of_b != of_a[row])
-                    out_a += [int(ids_a[row])] * int(near.sum())
-                    out_b += ids_b[near].tolist()
+                number = batch.column(0)[i].as_py()
+                one, two = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                ids, of = np.array([r["id"] for r in two]), np.array([r["of"] for r in two])
+                sigs = np.array([r["sig"] for r in two], np.int32)
+                sets = {}
+                for row in one:
+                    equal = sigs == np.array(row["sig"], np.int32)
+                    far = VALUES - equal.sum(axis=1)
+                    at = np.flatnonzero((far <= NEAR) & (of != row["of"]))
+                    if not len(at):
+                        continue
+                    if nearest:
+                        at = at[[far[at].argmin()]]
+                    else:
+                        at = at[first_shared(equal[at]) == number]
+                        mine = shingles(row["data"], size, known) if len(at) else None
+                        for k in at:
+                            if k not in sets:
+                                sets[k] = shingles(two[k]["data"], size, known)
+                        at = [k for k in at if similar(mine, sets[k], percent)]
+                    out_a += [row["id"]] * len(at)
+                    out_b += [int(ids[k]) for k in at]
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["x", "y"])
 
-    found = met.mapInArrow(run, "x long, y long")
+    found = meetings.mapInArrow(run, "x long, y long")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles, component_id (least id reached) and kept, one row per document."""
     sigs = _written(signatures(docs, size, key, text).withColumn("id", F.col(key).cast("long")), "near-sigs")
-    classes = sigs.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    classes = sigs.where("digest is not null and id is not null").groupBy("digest").agg(
+        F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"),
+    )
     classes = _written(classes, "near-classes")
-    reps = classes.select(F.col("rep").alias("id"), "sig")
-    index = reps.select("id", _entries(F.col("sig")).alias("entry"))
+    reps = classes.select(F.col("rep").alias("id"), "sig", "size")
+    index = reps.select("id", _entries(F.col("sig")).alias("number", "entry"))
     hubs = index.groupBy("entry").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = _written(index.join(hubs, "entry"), "near-members")
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     for side in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+        pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("size").alias(f"size_{side}")), side)
+    pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     pairs = _written(pairs.select("a", "b", _distance("sig_a", "sig_b").alias("far")).where(F.col("far") <= NEAR), "near-pairs")
 
     groups = None
     if not pairs.isEmpty():
-        texts = _written(_texts(docs, pairs, key, text), "near-texts")
+        texts = _written(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text), "near-texts")
         nearest = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         links = _written(confirm(nearest, texts, size, percent), "near-links")
         groups = components(links)
@@ -223,9 +266,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         if not rest.isEmpty():
             links = links.unionAll(_written(confirm(rest, texts, size, percent), "near-links"))
             groups = components(links)
-        over = _written(_apart(_left_over(members, reps, groups), groups).join(pairs, ["a", "b"], "left_anti"), "near-over")
-        if not over.isEmpty():
-            links = links.unionAll(_written(confirm(over, _texts(docs, over, key, text), size, percent), "near-links"))
+        mixed = _written(_mixed(members, groups), "near-mixed")
+        if not mixed.isEmpty():
+            texts = _written(_texts(docs, mixed, key, text), "near-texts")
+            closest = _written(_compared(_meetings(mixed, reps, None), size, percent, nearest=True), "near-closest")
+            links = links.unionAll(_written(confirm(closest, texts, size, percent), "near-links"))
+            groups = components(links)
+            mixed = _mixed(members, groups)
+            links = links.unionAll(_written(_compared(_meetings(mixed, reps, texts), size, percent, nearest=False), "near-links"))
             groups = components(links)
     named = classes.select("digest", "rep")
     if groups is not None:
