@@ -10,8 +10,9 @@ Documents with the same shingle set are one class first; only class representati
 of an entry are compared with its least member, so an entry of n members gives n - 1 pairs. Pairs whose signatures differ
 too much are dropped; the others are confirmed on the full sets, the nearest per member first, the rest only where the
 ends are not yet connected. What this star leaves, members of one entry in different components, is compared in blocks:
-first each such member with its nearest, then, with the texts in the blocks, all that is still apart. Only links
-leave the blocks. So no link between components is missed, and no group is expanded into all its pairs.
+by signatures, which marks the members that have a near partner elsewhere and names the nearest; nearest partners are
+confirmed; then, with the texts of the marked members in the blocks, all that is still apart. Only links leave the
+blocks. So no link between components is missed, and no group is expanded into all its pairs.
 
 Defined cases: null and empty texts have no shingles and no links; rows with a null id are never linked and stay; rows
 that share an id share its fate; an empty table gives no rows; further columns do not matter.
@@ -77,7 +78,7 @@ def signature(found: np.ndarray) -> np.ndarray:
         values = found[None, start : start + PART] * FACTORS[:, None]
         values += OFFSETS[:, None]
         np.minimum(least, values.min(axis=1), out=least)
-    return ((least >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.int32)
+    return (least >> np.uint64(20)).astype(np.uint16).view(np.int16)
 
 
 def signatures(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,11 +96,11 @@ def signatures(docs: DataFrame, size: int, key: str = "doc_id", text: str = "tex
                 counts.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sigs.append(signature(found) if len(found) else None)
-            return [counts, digests, pa.array(sigs, pa.list_(pa.int32()))]
+            return [counts, digests, pa.array(sigs, pa.list_(pa.int16()))]
 
         return work
 
-    return map_texts(docs, [key], text_bytes(text), "n_shingles long, digest binary, sig array<int>", make)
+    return map_texts(docs, [key], text_bytes(text), "n_shingles long, digest binary, sig array<smallint>", make)
 
 
 def _entries(sig: Column) -> Column:
@@ -171,7 +172,7 @@ def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> DataFrame:
-    """Blocks of members to compare: number of the entry, rows of one side, rows of the other.
+    """Blocks of members to compare: entry and its number, rows of one side, rows of the other.
 
     In each entry the members of the largest component form blocks on one side only, the others blocks on both.
     """
@@ -187,7 +188,7 @@ def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> Dat
     )
     left = blocks.where("rest").select("entry", "number", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
     right = blocks.select("entry", F.col("rest").alias("rest_b"), F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
-    return left.join(right, "entry").where("not rest_b or block_a <= block_b").select("number", "rows_a", "rows_b")
+    return left.join(right, "entry").where("not rest_b or block_a <= block_b").select("entry", "number", "rows_a", "rows_b")
 
 
 def first_shared(equal: np.ndarray) -> np.ndarray:
@@ -200,39 +201,61 @@ def first_shared(equal: np.ndarray) -> np.ndarray:
     return chunk * WIDTH + np.where(places.any(axis=1), WIDTH - 1 - places.argmax(axis=1), 0)
 
 
-def _compared(meetings: DataFrame, size: int, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) out of blocks: per row of one side the nearest of another component, or all links by full sets.
+def _partners(row: dict, two: list[dict], sigs: np.ndarray, of: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``two`` of near rows in other components that share this entry first, and their distances."""
+    equal = sigs == np.array(row["sig"], np.int16)
+    far = VALUES - equal.sum(axis=1)
+    at = np.flatnonzero((far <= NEAR) & (of != row["of"]))
+    if len(at):
+        at = at[first_shared(equal[at]) == number]
+    return at, far[at]
 
-    A pair is looked at only in the first entry it shares.
-    """
+
+def _sides(batch: pa.RecordBatch, i: int):
+    one, two = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+    return batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), one, two, np.array([r["of"] for r in two]), np.array([r["sig"] for r in two], np.int16)
+
+
+def _marked(meetings: DataFrame) -> DataFrame:
+    """Members with a near partner in another component: entry, id, the nearest partner and its distance (one side only)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                entry, number, one, two, of, sigs = _sides(batch, i)
+                hit = set()
+                for row in one:
+                    at, far = _partners(row, two, sigs, of, number)
+                    if len(at):
+                        hit.update(at.tolist())
+                        out.append((entry, row["id"], two[at[far.argmin()]]["id"], int(far.min())))
+                out += [(entry, two[k]["id"], None, None) for k in sorted(hit)]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["entry", "id", "other", "far"])
+
+    return meetings.mapInArrow(run, "entry long, id long, other long, far long")
+
+
+def _links(meetings: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components inside blocks, by full sets."""
 
     def run(batches):
         known = _Words()
         for batch in batches:
             out_a, out_b = [], []
             for i in range(batch.num_rows):
-                number = batch.column(0)[i].as_py()
-                one, two = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                ids, of = np.array([r["id"] for r in two]), np.array([r["of"] for r in two])
-                sigs = np.array([r["sig"] for r in two], np.int32)
+                _, number, one, two, of, sigs = _sides(batch, i)
                 sets = {}
                 for row in one:
-                    equal = sigs == np.array(row["sig"], np.int32)
-                    far = VALUES - equal.sum(axis=1)
-                    at = np.flatnonzero((far <= NEAR) & (of != row["of"]))
-                    if not len(at):
-                        continue
-                    if nearest:
-                        at = at[[far[at].argmin()]]
-                    else:
-                        at = at[first_shared(equal[at]) == number]
-                        mine = shingles(row["data"], size, known) if len(at) else None
-                        for k in at:
-                            if k not in sets:
-                                sets[k] = shingles(two[k]["data"], size, known)
-                        at = [k for k in at if similar(mine, sets[k], percent)]
-                    out_a += [row["id"]] * len(at)
-                    out_b += [int(ids[k]) for k in at]
+                    at, _ = _partners(row, two, sigs, of, number)
+                    mine = shingles(row["data"], size, known) if len(at) else None
+                    for k in at.tolist():
+                        if k not in sets:
+                            sets[k] = shingles(two[k]["data"], size, known)
+                        if similar(mine, sets[k], percent):
+                            out_a.append(row["id"])
+                            out_b.append(two[k]["id"])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["x", "y"])
 
     found = meetings.mapInArrow(run, "x long, y long")
@@ -267,13 +290,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
             links = links.unionAll(_written(confirm(rest, texts, size, percent), "near-links"))
             groups = components(links)
         mixed = _written(_mixed(members, groups), "near-mixed")
-        if not mixed.isEmpty():
-            texts = _written(_texts(docs, mixed, key, text), "near-texts")
-            closest = _written(_compared(_meetings(mixed, reps, None), size, percent, nearest=True), "near-closest")
+        marked = _written(_marked(_meetings(mixed, reps, None)), "near-marked")
+        if not marked.isEmpty():
+            texts = _written(_texts(docs, marked, key, text), "near-texts")
+            closest = marked.where("other is not null").groupBy("id").agg(F.min(F.struct("far", "other")).alias("best"))
+            closest = closest.select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b")).distinct()
             links = links.unionAll(_written(confirm(closest, texts, size, percent), "near-links"))
             groups = components(links)
-            mixed = _mixed(members, groups)
-            links = links.unionAll(_written(_compared(_meetings(mixed, reps, texts), size, percent, nearest=False), "near-links"))
+            mixed = _mixed(members, groups).join(marked.select("entry", "id").distinct(), ["entry", "id"], "left_semi")
+            links = links.unionAll(_written(_links(_meetings(mixed, reps, texts), size, percent), "near-links"))
             groups = components(links)
     named = classes.select("digest", "rep")
     if groups is not None:
