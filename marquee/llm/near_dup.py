@@ -7,7 +7,8 @@ entry. At similarity 0.8 a pair differs in a value with probability 0.2, and sha
 0.345^10, about 2 in 100,000; above that much less.
 
 Documents with the same shingle set are one class first; only class representatives (least ids) enter the index. Members
-of an entry are compared with its least member, so an entry of n members gives n - 1 pairs. Pairs whose signatures differ
+of an entry are compared with one of them, its hub, so an entry of n members gives n - 1 pairs; each chunk orders ids
+differently, so a member of a large group meets several hubs. Pairs whose signatures differ
 too much are dropped; the others are confirmed on the full sets, the nearest per member first, the rest only where the
 ends are not yet connected. What this star leaves, members of one entry in different components, is compared in blocks:
 by signatures, which marks the members that have a near partner elsewhere and names the nearest; nearest partners are
@@ -37,11 +38,15 @@ GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 # Five standard deviations above the mean distance of a pair at similarity 0.8 (12 of 60 values).
 NEAR = 27
 BLOCK = 256
+# Chosen ids are marked in a bitmap that filters texts before they move: 16 bits each, within these bounds (64 MB).
+BITMAP_BITS = 1 << 20, 1 << 29
 _RNG = np.random.default_rng(20)
 FACTORS = _RNG.integers(0, 2**64, VALUES, np.uint64) | np.uint64(1)
 OFFSETS = _RNG.integers(0, 2**64, VALUES, np.uint64)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PART = 1 << 14
+# Per chunk: ids are ordered by their bits XOR this number, which picks another hub for each chunk.
+MASKS = [int(x) for x in _RNG.integers(0, 2**62, CHUNKS)]
 
 
 class _Words(dict):
@@ -123,9 +128,21 @@ def _written(df: DataFrame, label: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts of the documents whose ids are in ``nodes``."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), text_bytes(text).alias("data"))
-    return rows.join(nodes.select("id").distinct(), "id", "left_semi")
+    """Texts of the documents whose ids are in ``nodes``.
+
+    A bitmap of the ids, bounded in size, is broadcast and drops most other texts where they are read. What passes is
+    joined; with far more ids than bits everything passes, which costs a shuffle but changes no row.
+    """
+    nodes = nodes.select("id").distinct()
+    least, most = BITMAP_BITS
+    bits = min(most, max(least, 1 << (16 * nodes.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    marks = nodes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("marks"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    position = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substr("marks", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    likely = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "bucket").where(F.getbit(byte, (position % 8).cast("int")) == 1)
+    return likely.select("id", text_bytes("text").alias("data")).join(nodes, "id", "left_semi")
 
 
 def similar(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
@@ -165,7 +182,7 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members (entry, number, id, of) of the entries that hold several components beside their least member."""
+    """Members (entry, number, id, of) of the entries that hold several components beside their hub."""
     rows = members.where("n > 2").join(groups.withColumnRenamed("component", "of"), "id", "left").withColumn("of", F.coalesce("of", "id"))
     mixed = rows.where("id <> hub").groupBy("entry").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
     return rows.join(mixed, "entry", "left_semi").select("entry", "number", "id", "of")
@@ -271,7 +288,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     classes = _written(classes, "near-classes")
     reps = classes.select(F.col("rep").alias("id"), "sig", "size")
     index = reps.select("id", _entries(F.col("sig")).alias("number", "entry"))
-    hubs = index.groupBy("entry").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    mask = F.element_at(F.array(*[F.lit(m) for m in MASKS]), (F.col("number") / WIDTH).cast("int") + 1)
+    hubs = index.groupBy("entry", "number").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = hubs.select("entry", F.col("hub").bitwiseXOR(mask).alias("hub"), "n")
     members = _written(index.join(hubs, "entry"), "near-members")
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     for side in ("a", "b"):
