@@ -184,28 +184,37 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Members (entry, number, id, of) of the entries that hold several components beside their hub."""
     rows = members.where("n > 2").join(groups.withColumnRenamed("component", "of"), "id", "left").withColumn("of", F.coalesce("of", "id"))
-    mixed = rows.where("id <> hub").groupBy("entry").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
+    rows = rows.where("id <> hub")  # the hub has met all others
+    mixed = rows.groupBy("entry").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
     return rows.join(mixed, "entry", "left_semi").select("entry", "number", "id", "of")
 
 
 def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> DataFrame:
     """Blocks of members to compare: entry and its number, rows of one side, rows of the other.
 
-    In each entry the members of the largest component form blocks on one side only, the others blocks on both.
+    In each entry the members of the largest component form blocks on one side only, the others blocks on both. An entry
+    of no more than a block's rows is gathered as it is; larger ones are cut, and their blocks joined.
     """
     main = mixed.groupBy("entry", "of").agg(F.count("*").alias("n")).groupBy("entry").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.sum("n").alias("n"))
     rows = mixed.join(main, "entry").join(reps.select("id", "sig"), "id")
     if texts is not None:
         rows = rows.join(texts, "id")
+    row = F.struct("id", "of", "sig", *(["data"] if texts is not None else []))
+    rows = rows.withColumn("rest", F.col("of") != F.col("main")).withColumn("row", row)
+    whole = rows.where(F.col("n") <= BLOCK).groupBy("entry", "number").agg(
+        F.collect_list(F.when(F.col("rest"), F.col("row"))).alias("rows_a"), F.collect_list("row").alias("rows_b"),
+    )
+    if main.where(F.col("n") > BLOCK).isEmpty():
+        return whole
     blocks = (
-        rows.withColumn("rest", F.col("of") != F.col("main"))
+        rows.where(F.col("n") > BLOCK)
         .withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK).cast("long")))
-        .groupBy("entry", "number", "rest", "block")
-        .agg(F.collect_list(F.struct("id", "of", "sig", *(["data"] if texts is not None else []))).alias("rows"))
+        .groupBy("entry", "number", "rest", "block").agg(F.collect_list("row").alias("rows"))
     )
     left = blocks.where("rest").select("entry", "number", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
     right = blocks.select("entry", F.col("rest").alias("rest_b"), F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
-    return left.join(right, "entry").where("not rest_b or block_a <= block_b").select("entry", "number", "rows_a", "rows_b")
+    met = left.join(right, "entry").where("not rest_b or block_a <= block_b")
+    return whole.unionByName(met.select("entry", "number", "rows_a", "rows_b"))
 
 
 def first_shared(equal: np.ndarray) -> np.ndarray:
