@@ -55,11 +55,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text decoded from them."""
     path, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
     others = [c for c in COLUMNS if c != "text"]
-    encoded = bpe.encode(docs, path, pattern, others)
-    decoded = bpe.decode(encoded.select(*others, F.col("ids").alias("packed"), "ids"), path, pattern, [*others, "packed"])
-    return decoded.select(
-        *others, F.col("decoded").cast("string").alias("text"), (F.length("packed") / 4).cast("long").alias("n_tokens"), F.col("packed").alias("ids"),
-    )
+    coded = bpe.encode_and_decode(docs, path, pattern, others)
+    return coded.select(*others, F.col("decoded").cast("string").alias("text"), (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from marquee.llm.common import map_texts, worker_cache
 from marquee.llm.token_counts import pieces
 
-REMEMBERED = 400_000
-REMEMBERED_MATCHES = 800_000
+REMEMBERED = 150_000
+REMEMBERED_MATCHES = 300_000
+REMEMBERED_PAIRS = 300_000
 REMEMBERED_CHARS = 64
 
 
@@ -164,6 +165,8 @@ class Bpe:
             known.clear()
         if len(self.matches) > REMEMBERED_MATCHES:
             self.matches.clear()
+        if len(self.fits) > REMEMBERED_PAIRS:
+            self.fits.clear()
         for piece in pieces(text):
             ids = known.get(piece)
             if ids is None:
@@ -202,6 +205,21 @@ def decode(encoded: DataFrame, path: str, pattern: str, keys: Sequence[str] = ("
     return map_texts(encoded, keys, F.col(ids), "decoded binary", make)
 
 
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keys``, ``ids`` and ``decoded`` in one pass, with one tokenizer in memory."""
+
+    def make():
+        bpe = tokenizer(path, pattern)
+
+        def work(texts):
+            ids = [bpe.encode(t) if t else b"" for t in texts]
+            return [ids, [bpe.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]]
+
+        return work
+
+    return map_texts(docs, keys, F.col(text), "ids binary, decoded binary", make)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_tokens, digests of the packed ids and of the bytes decoded from them."""
 

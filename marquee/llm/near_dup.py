@@ -55,7 +55,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         digest = self[word] = xxhash.xxh64_intdigest(word)
         return digest
