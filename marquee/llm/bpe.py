@@ -176,10 +176,20 @@ class Bpe:
             out.append(ids)
         return b"".join(out)
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.matches.clear()
+
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
+def _task(bpe: Bpe, work):
+    """The work of a task, which forgets its pieces at the end; the vocabulary stays in the worker."""
+    work.done = bpe.forget
+    return work
+
+
 def tokenizer(path: str, pattern: str) -> Bpe:
     """The tokenizer of a rank file, built once in each Python worker."""
     return worker_cache(f"bpe:{path}:{pattern}", lambda: Bpe(read_ranks(path), pattern))
@@ -190,7 +200,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keys: Sequence[str] = ("doc
 
     def make():
         bpe = tokenizer(path, pattern)
-        return lambda texts: [[bpe.encode(t) if t else b"" for t in texts]]
+        return _task(bpe, lambda texts: [[bpe.encode(t) if t else b"" for t in texts]])
 
     return map_texts(docs, keys, F.col(text), "ids binary", make)
 
@@ -215,7 +225,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, keys: Sequence[s
             ids = [bpe.encode(t) if t else b"" for t in texts]
             return [ids, [bpe.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]]
 
-        return work
+        return _task(bpe, work)
 
     return map_texts(docs, keys, F.col(text), "ids binary, decoded binary", make)
 
@@ -231,6 +241,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
             ids = [bpe.encode(t) if t else b"" for t in texts]
             return [[len(i) // 4 for i in ids], [sha(i) for i in ids], [sha(bpe.decode(np.frombuffer(i, "<u4").tolist())) for i in ids]]
 
-        return work
+        return _task(bpe, work)
 
     return map_texts(docs, [key], F.col(text), "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

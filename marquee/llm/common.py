@@ -45,14 +45,17 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 
 def map_texts(
-    df: DataFrame, keys: Sequence[str], text: Column, outputs: str, make: Callable[[], Callable[[list], list[list]]],
+    df: DataFrame, keys: Sequence[str], text: str | Column, outputs: str, make: Callable[[], Callable[[list], list[list]]],
 ) -> DataFrame:
     """One output row per row: ``keys`` unchanged, then the columns of ``outputs`` computed from ``text``.
 
-    ``make`` runs once per task and returns a function from a list of texts to a list of columns. Texts become
-    Python objects in slices of bounded bytes, so rows per Arrow batch do not decide the memory.
+    ``make`` runs once per task and returns a function from a list of texts to a list of columns; its attribute ``done``,
+    if it has one, is called at the end of the task. Texts become Python objects in slices of bounded bytes, so rows per
+    Arrow batch do not decide the memory. A text that is also a key travels once.
     """
-    kept = df.select(*[F.col(f"`{k}`") for k in keys], text.alias("__text"))
+    again = isinstance(text, str) and text in keys
+    column = F.col(f"`{text}`") if isinstance(text, str) else text
+    kept = df.select(*[F.col(f"`{k}`") for k in keys], *([] if again else [column.alias("__text")]))
     session = df.sparkSession
     schema = session.createDataFrame([], outputs).schema
     types = [(f.name, f.dataType) for f in schema]
@@ -63,16 +66,19 @@ def map_texts(
 
     arrow = [(name, to_arrow_type(kind)) for name, kind in types]
     names = list(keys)
+    place = names.index(text) if again else len(names)
 
     def run(batches):
         work = make()
         for batch in batches:
-            column = batch.column(len(names))
-            for start, end in slices(column):
+            for start, end in slices(batch.column(place)):
                 part = batch.slice(start, end - start)
-                made = work(part.column(len(names)).to_pylist())
+                made = work(part.column(place).to_pylist())
                 arrays = [part.column(i) for i in range(len(names))]
                 arrays += [m if isinstance(m, pa.Array) else pa.array(m, kind) for m, (_, kind) in zip(made, arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names + [n for n, _ in arrow])
+        # The worker stays for other tasks: give back what this one held.
+        getattr(work, "done", lambda: None)()
+        pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, full)

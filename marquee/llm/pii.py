@@ -308,7 +308,7 @@ def detect(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text
 
         return work
 
-    return map_texts(docs, keys, F.col(text), SPANS + (", redacted string" if redacted else ""), make)
+    return map_texts(docs, keys, text, SPANS + (", redacted string" if redacted else ""), make)
 
 
 def joined(spans: Column) -> Column:

@@ -81,7 +81,7 @@ def measured(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "te
     def make():
         return lambda texts: [list(c) for c in zip(*map(measure, texts))]
 
-    return map_texts(docs, keys, F.col(text), MEASURES, make)
+    return map_texts(docs, keys, text, MEASURES, make)
 
 
 def bits(rules: Mapping[str, str]) -> Column:
