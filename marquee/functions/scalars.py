@@ -62,16 +62,23 @@ def cast_columns(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in casts.items()})
 
 
+# Upper bounds (exclusive) and names, from the top; without a bound: all above.
+POPULARITY = [(10_000, "low"), (100_000, "medium"), (None, "high")]
+RATING_BUCKETS = [(6, "average"), (8, "good"), (None, "excellent")]
+
+
+def _bucket(value: Column, bounds, missing: str) -> Column:
+    """The name of the first bound above the value."""
+    named = [F.when(F.lit(True) if bound is None else value < bound, name) for bound, name in bounds]
+    return F.when(value.isNull(), missing).otherwise(F.coalesce(*named))
+
+
 def popularity_segment(votes: Column | str) -> Column:
-    votes = as_col(votes)
-    return (
-        F.when(votes.isNull(), "unknown").when(votes < 10_000, "low").when(votes < 100_000, "medium").otherwise("high")
-    )
+    return _bucket(as_col(votes), POPULARITY, "unknown")
 
 
 def rating_bucket(rating: Column | str) -> Column:
-    rating = as_col(rating)
-    return F.when(rating.isNull(), "unrated").when(rating < 6, "average").when(rating < 8, "good").otherwise("excellent")
+    return _bucket(as_col(rating), RATING_BUCKETS, "unrated")
 
 
 def generation(birth_year: Column | str) -> Column:

@@ -20,7 +20,8 @@ CREW_CATEGORIES = [
     "actor", "actress", "director", "writer", "producer", "composer", "editor", "cinematographer", "self",
     "archive_footage", "archive_sound",
 ]
-TARGET_COLUMNS = ["average_rating", "num_votes", "rating_bucket", "popularity_segment"]
+# Columns that carry a target, the title's own rating averaged into its genre and year included.
+TARGET_COLUMNS = ["average_rating", "num_votes", "rating_bucket", "popularity_segment", "avg_rating_genre_year", "avg_votes_genre_year"]
 TRAIN_UNTIL, VAL_UNTIL = 2014, 2018
 
 

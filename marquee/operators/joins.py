@@ -47,7 +47,8 @@ def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Col
     packed = right.select(*keys, hot.alias("_is_hot"), F.struct(*values).alias("_matched"))
     few = packed.filter("_is_hot").select(*keys, F.col("_matched").alias("_hot"))
     rest = packed.filter("NOT _is_hot").select(*keys, F.lit(0).alias("_salt"), F.col("_matched").alias("_cold"))
-    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(1024)).cast("int"))
+    # The salt decides only where a row is handled, so it may differ between equal rows and between attempts.
+    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int"))
     marked = left.join(F.broadcast(few), keys, "left").withColumn("_salt", spread)
     found = marked.join(rest, [*keys, "_salt"], "left").withColumn("_matched", F.coalesce("_hot", "_cold"))
     if how == "inner":
@@ -104,9 +105,10 @@ def new_versions(staged: DataFrame, current: DataFrame, keys: Sequence[str]) ->
 
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
-    """Child rows without a parent, rows with a null key included."""
+    """Child rows without a parent, rows with a null key included. Those never move: they are orphans as they are."""
     keys = parent.select(F.col(pk).alias("_pk"))
-    return child.join(keys, F.col(fk) == F.col("_pk"), "left_anti")
+    keyed = child.filter(F.col(fk).isNotNull()).join(keys, F.col(fk) == F.col("_pk"), "left_anti")
+    return keyed.unionAll(child.filter(F.col(fk).isNull()))
 
 
 def cross_scalar(df: DataFrame, scalars: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def positive_prob(name: str) -> Column:
     return vector_to_array(name)[1]
 
 
-def fit_ovr(train: DataFrame, items: str, labels: Sequence[str], balanced: bool = False, max_iter: int = 10) -> dict[str, Model]:
+def fit_ovr(train: DataFrame, items: str, labels: Sequence[str], balanced: bool = False, max_iter: int = 1000) -> dict[str, Model]:
     """One logistic model per label of an array column; labels may co-occur, so they are independent models.
 
     ``balanced`` weighs both classes equally. The caller caches ``train``.
@@ -94,7 +94,7 @@ def fit_ridge(train: DataFrame, val: DataFrame, y: str, alphas: Sequence[float]
 
 
 def fit_gbt(
-    train: DataFrame, val: DataFrame, y: str, grid: Sequence[Mapping[str, float]] = ({"maxDepth": 3}, {"maxDepth": 5}), rounds: int = 20
+    train: DataFrame, val: DataFrame, y: str, grid: Sequence[Mapping[str, float]] = ({"maxDepth": 3}, {"maxDepth": 5}), rounds: int = 300
 ) -> tuple[Model, Mapping[str, float]]:
     """(model, settings): boosted trees that stop early on the validation rows; best of a small grid."""
     data = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
@@ -115,7 +115,7 @@ def expanding_folds(df: DataFrame, year: str, years: Sequence[int]) -> Iterator[
         yield df.filter(F.col(year) < y), df.filter(F.col(year) == y)
 
 
-def fit_als(train: DataFrame, rank: int = 50, iterations: int = 5, user: str = "user_idx", item: str = "item_idx") -> Model:
+def fit_als(train: DataFrame, rank: int = 50, iterations: int = 20, user: str = "user_idx", item: str = "item_idx") -> Model:
     """Matrix factorisation. Unknown users and items score NaN; see :func:`als_scores`."""
     ints = train.select(F.col(user).cast("int"), F.col(item).cast("int"), F.col("rating").cast("float"))
     learner = ALS(rank=rank, maxIter=iterations, userCol=user, itemCol=item, ratingCol="rating", coldStartStrategy="nan", seed=42)

@@ -56,9 +56,9 @@ def explode_zip(df: DataFrame, first: str, second: str, keep: Sequence[str] = ()
     )
 
 
-def shard(df: DataFrame, key: str, shards: int = 16) -> DataFrame:
-    """Hash partition on a key: a ``distinct`` per partition is then a global one."""
-    return df.repartition(shards, key)
+def shard(df: DataFrame, key: str, shards: int | None = None) -> DataFrame:
+    """Hash partition on a key, into the session's number of partitions: a ``distinct`` per partition is then a global one."""
+    return df.repartition(key) if shards is None else df.repartition(shards, key)
 
 
 def vocabulary(df: DataFrame, column: str, name: str = "item") -> DataFrame:

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.scalars import as_col
-from marquee.operators.joins import join_unique
 from marquee.session import shared_dir
 
-SLICES = 64
+LEAST_SLICES = 64
 HOT_ROWS = 5_000_000  # above this a group no longer belongs in one sort task
 
 
@@ -31,18 +30,25 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return ranked.filter(F.col(name) <= k)
 
 
-def _cut_points(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def slices(spark: SparkSession) -> int:
+    """Into how many slices a large group is cut: a power of two, at least as many as the session's partitions, so the
+    number of tasks grows with what the cluster was set up for."""
+    wanted = max(LEAST_SLICES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return 1 << (wanted - 1).bit_length()
+
+
+def _cut_points(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Per group (or one row for the whole table) sampled values of the order struct ``_o``, sorted."""
     order = [F.xxhash64("_o"), F.col("_o")]
     picked = df.select(*keys, "_o")
-    sample = top_per_group(picked, keys, order, SLICES - 1) if keys else picked.orderBy(*order).limit(SLICES - 1)
+    sample = top_per_group(picked, keys, order, n - 1) if keys else picked.orderBy(*order).limit(n - 1)
     return sample.groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_cuts"))
 
 
-def _with_slice(df: DataFrame) -> DataFrame:
+def _with_slice(df: DataFrame, n: int) -> DataFrame:
     """Add ``_slice``, the number of ``_cuts`` not above ``_o``, by binary search; 0 without cuts."""
     df = df.withColumn("_slice", F.lit(0))
-    step = SLICES // 2
+    step = n // 2
     while step:
         passed = F.get("_cuts", F.col("_slice") + (step - 1)) <= F.col("_o")
         df = df.withColumn("_slice", F.col("_slice") + F.when(passed, step).otherwise(0))
@@ -83,17 +89,21 @@ def rank_within(
         return ranked.withColumn(total, F.count("*").over(group)) if total else ranked
 
     shared_dir(df.sparkSession)
-    columns = df.columns
-    df = df.withColumn("_o", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).checkpoint()
+    columns, n = df.columns, slices(df.sparkSession)
+    df = df.withColumn("_o", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    if keys:
+        # One struct as key: unlike a null, a struct of nulls equals itself in joins, so a null group is sliced too.
+        df, keys = df.withColumn("_g", F.struct(*keys)), ["_g"]
+    df = df.checkpoint()
     if keys:
         hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
         hot_rows_df = df.join(hot, list(keys), "left_semi")
     else:
         hot_rows_df = df
-    sliced = _with_slice(_join_group(df, _cut_points(hot_rows_df, keys), keys))
+    sliced = _with_slice(_join_group(df, _cut_points(hot_rows_df, keys, n), keys), n)
     inside = Window.partitionBy(*keys, "_slice").orderBy("_o")
     sizes = sliced.filter("_cuts IS NOT NULL").groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*keys)  # at most SLICES rows per group from here
+    whole = Window.partitionBy(*keys)  # a row per slice of a group from here
     before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total")
@@ -120,9 +130,10 @@ def over_groups(
         return df.withColumns({name: agg.over(Window.partitionBy(*keys)) for name, agg in aggs.items()})
     values = [agg.alias(name) for name, agg in aggs.items()]
     sums = df.groupBy(*keys).agg(F.count("*").alias("_n"), *values).filter(F.col("_n") > hot_rows)
-    few = sums.select(*keys, F.struct(*aggs).alias("_hot"))
-    marked = df.join(F.broadcast(few), list(keys), "left")
-    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(1024)).cast("int"))
+    few = sums.select(F.struct(*keys).alias("_g"), F.struct(*aggs).alias("_hot"))
+    marked = df.withColumn("_g", F.struct(*keys)).join(F.broadcast(few), "_g", "left").drop("_g")
+    # The salt decides only where a row is handled, so it may differ between equal rows and between attempts.
+    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int"))
     window = Window.partitionBy(*keys, "_salt")
     own = {name: F.coalesce(F.col("_hot")[name], agg.over(window)) for name, agg in aggs.items()}
     return marked.withColumn("_salt", spread).withColumns(own).drop("_hot", "_salt")
@@ -135,64 +146,50 @@ def dense_index(df: DataFrame, column: str, name: str, count: str = "count") ->
     """
     values = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(count))
     values = values.withColumn("_o", F.struct(F.col(column)))
-    sliced = _with_slice(_join_group(values, _cut_points(values, []), []))
+    n = slices(df.sparkSession)
+    sliced = _with_slice(_join_group(values, _cut_points(values, [], n), []), n)
     sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most SLICES rows
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_slice").orderBy(column)) - 1
     return (
         sliced.select(column, count, "_slice", inside.alias("_in"))
-        .join(F.broadcast(offsets), "_slice")  # at most SLICES rows
+        .join(F.broadcast(offsets), "_slice")  # a row per slice
         .select(column, (F.col("_in") + F.col("_before")).cast("long").alias(name), count)
     )
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, probs: Sequence[float], keys: Sequence[str] = (), accuracy: int = 10_000
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, as columns ``n, q0, q1, ...`` per group; rows without a key drop out.
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles with linear interpolation, as columns ``n, q0, q1, ...`` per group; null keys form groups too.
 
-    ``percentile`` would hold every distinct value of a group in one task. Here a sketch brackets each wanted
-    position, and only the values inside the bracket (a fixed small share of the rows) are counted and
-    sorted. Should a bracket ever miss its position, the query fails instead of returning a near value.
+    ``percentile`` would hold every distinct value of a group in one task. Here equal values are counted first, groups
+    are cut into slices along the values, the sizes of the slices tell where each wanted position lies, and only
+    those slices are sorted, each on its own.
     """
-    keys, k = list(keys), len(probs)
-    margin = 20 / accuracy
-    edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    values = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v"))
-    sketch = values.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("_sketch"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-    )
-    # A small group is its own bracket: there the margin would be less than a row.
-    whole = F.concat(F.array_repeat("_min", k), F.array_repeat("_max", k))
-    sketch = sketch.select(*keys, "_n", F.when(F.col("_n") <= accuracy, whole).otherwise(F.col("_sketch")).alias("_edges"))
-    if keys:
-        bracketed = join_unique(values, sketch, keys, hot=F.col("_n") > HOT_ROWS)
-    else:
-        bracketed = values.withColumns({c: sketch.select(c).scalar() for c in ("_n", "_edges")})
-    # Per probability: values below the bracket are only counted, values above it are dropped.
-    slots = F.array(*[
-        F.when(F.col("_v") <= F.col("_edges")[k + i], F.struct(F.lit(i).alias("i"), F.when(F.col("_v") >= F.col("_edges")[i], F.col("_v")).alias("v")))
-        for i in range(k)
-    ])
-    kept = bracketed.select(*keys, "_n", F.explode(slots).alias("_s")).filter(F.col("_s").isNotNull())
-    counts = kept.groupBy(*keys, "_n", F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v")).agg(F.count("*").alias("_c"))
-    running = Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v"))
-    placed = counts.withColumn("_hi", F.sum("_c").over(running))
-    position = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1) * (F.col("_n") - 1)
-    placed = placed.withColumn("_pos", position)
+    keys, n = list(keys), slices(df.sparkSession)
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))  # a struct of nulls equals itself in joins
+    on = ["_g"] if keys else []
+    counts = df.filter(F.col(column).isNotNull()).select(group.alias("_g"), F.col(column).alias("_v")).groupBy("_g", "_v").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_o", F.struct("_v"))
+    sliced = _with_slice(_join_group(counts, _cut_points(counts, on, n), on), n)
+    sizes = sliced.groupBy("_g", "_slice").agg(F.sum("_c").alias("_n"))
+    # A row per slice of a group from here, until the wanted slices are read.
+    upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_slice"))
+    total = F.sum("_n").over(Window.partitionBy("_g"))
+    offsets = sizes.select("_g", "_slice", upto.alias("_upto"), (upto - F.col("_n")).alias("_before"), total.alias("_total"))
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos")) for i, p in enumerate(probs)]))
+    inside = lambda at: (at >= F.col("_before")) & (at < F.col("_upto"))
+    wanted = offsets.withColumn("_p", places).filter(inside(F.floor("_p.pos")) | inside(F.ceil("_p.pos")))
+    wanted = wanted.groupBy("_g", "_slice", "_before", "_total").agg(F.collect_list("_p").alias("_places"))  # one per probability at most
+    running = Window.partitionBy("_g", "_slice").orderBy("_v")
+    placed = sliced.select("_g", "_slice", "_v", "_c").join(wanted, ["_g", "_slice"])
+    placed = placed.withColumn("_hi", F.col("_before") + F.sum("_c").over(running)).withColumn("_p", F.explode("_places"))
 
     def value_at(edge: Column) -> Column:
         here = (edge < F.col("_hi")) & (edge >= F.col("_hi") - F.col("_c"))
         return F.max(F.when(here, F.col("_v").cast("double")))
 
-    found = placed.groupBy(*keys, "_n", "_i", "_pos").agg(
-        value_at(F.floor("_pos")).alias("_a"), value_at(F.ceil("_pos")).alias("_b")
-    )
-    exact = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
-    checked = F.coalesce(exact, F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-    found = found.withColumn("_q", checked)
-    picks = [F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(k)]
-    return found.groupBy(*keys, F.col("_n").alias("n")).agg(*picks).select(*keys, "n", *[f"q{i}" for i in range(k)])
+    found = placed.groupBy("_g", "_total", "_p").agg(value_at(F.floor("_p.pos")).alias("_a"), value_at(F.ceil("_p.pos")).alias("_b"))
+    found = found.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_p.pos") - F.floor("_p.pos")))
+    picks = [F.max(F.when(F.col("_p.i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))]
+    return found.groupBy("_g", F.col("_total").alias("n")).agg(*picks).select(*[F.col(f"_g.{k}").alias(k) for k in keys], "n", *[f"q{i}" for i in range(len(probs))])

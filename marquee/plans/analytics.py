@@ -253,22 +253,24 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return degrees.withColumn("centrality", F.col("degree") / others)
 
 
-def communities(edges: DataFrame, iterations: int = 5) -> DataFrame:
-    """(node, label): label propagation. In each round a node takes the label with the largest total weight among
-    its neighbours, the smallest one among equals. Each round is checkpointed, so plans stay short and lost
-    executors cost no earlier round; it stops when nothing changes.
+def communities(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, label): label propagation until nothing changes. In each round a node takes the label with the largest total
+    weight among its neighbours, the smallest one among equals. Each round is checkpointed, so plans stay short and
+    lost executors cost no earlier round. Labels that still move after ``rounds`` are an error, not a result.
     """
     shared_dir(edges.sparkSession)
     links = both_ways(edges).checkpoint()
     labels = links.select("node").distinct().withColumn("label", F.col("node")).checkpoint()
-    for _ in range(iterations):
+    for _ in range(rounds):
         votes = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
         chosen = votes.groupBy("node").agg(F.max_by("label", F.struct(F.col("w"), -F.col("label"))).alias("label")).checkpoint()
         changed = chosen.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old")
         labels, stable = chosen, changed.isEmpty()
         if stable:
-            break
-    return labels
+            return labels
+    if labels.isEmpty():
+        return labels
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def role_pair_matrix(

@@ -35,11 +35,15 @@ def local_session(cpus: int | str = "*", app: str = "marquee") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a fresh temporary folder takes its place.
+    With a local master (tests on one machine) a fresh temporary folder takes its place where the setting is absent; on a
+    cluster that is an error, since other machines would not see the folder.
     """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder all executors share (master is {master!r})")
         folder = tempfile.mkdtemp(prefix="marquee-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

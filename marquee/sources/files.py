@@ -16,14 +16,15 @@ from marquee.operators.ordering import one_per_group
 from marquee.operators.scd import path_exists, read_or_empty
 
 # Raw columns per source file, all text.
+# The columns of the raw files.
 RAW_COLUMNS = {
-    "title.basics": "tconst titleType primaryTitle originalTitle isAdult startYear endYear runtimeMinutes genres",
-    "title.akas": "titleId ordering title region language types attributes isOriginalTitle",
-    "title.crew": "tconst directors writers",
-    "title.episode": "tconst parentTconst seasonNumber episodeNumber",
-    "title.principals": "tconst ordering nconst category job characters",
-    "title.ratings": "tconst averageRating numVotes",
-    "name.basics": "nconst primaryName birthYear deathYear primaryProfession knownForTitles",
+    "title.basics": ["tconst", "titleType", "primaryTitle", "originalTitle", "isAdult", "startYear", "endYear", "runtimeMinutes", "genres"],
+    "title.akas": ["titleId", "ordering", "title", "region", "language", "types", "attributes", "isOriginalTitle"],
+    "title.crew": ["tconst", "directors", "writers"],
+    "title.episode": ["tconst", "parentTconst", "seasonNumber", "episodeNumber"],
+    "title.principals": ["tconst", "ordering", "nconst", "category", "job", "characters"],
+    "title.ratings": ["tconst", "averageRating", "numVotes"],
+    "name.basics": ["nconst", "primaryName", "birthYear", "deathYear", "primaryProfession", "knownForTitles"],
 }
 
 BATCH_LOG = "batch_id string, source string, checksum string, row_count bigint, status string, logged_at timestamp"
@@ -33,7 +34,7 @@ EPOCH = "1970-01-01T00:00:00+00:00"
 
 
 def raw_schema(source: str) -> T.StructType:
-    return text_schema(RAW_COLUMNS[source].split())
+    return text_schema(RAW_COLUMNS[source])
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marquee.functions.scalars import attr_hash
 from marquee.operators.ordering import exact_quantiles, one_per_group
-from marquee.operators.scd import first_load, path_exists, scd2_merge
 from marquee.sources.files import with_lineage
 
 BATCH = "_batch"
@@ -72,52 +72,56 @@ def read_upserted(spark: SparkSession, target: str, keys: Sequence[str], order:
     return one_per_group(log, keys, [F.desc(order), F.desc(BATCH)]).drop(BATCH)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions below a folder, oldest first."""
-    if not path_exists(spark, path):
-        return []
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in system.listStatus(root)]
-    names = [p.getName() for p in found if system.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in names)
+def compact_upserts(spark: SparkSession, target: str, out: str, keys: Sequence[str], order: str) -> None:
+    """Write an upsert log anew with one row per key. The caller points readers and the stream at ``out`` afterwards."""
+    read_upserted(spark, target, keys, order).write.parquet(f"{out}/{BATCH}=-1")
 
 
 def stream_scd2(
     stream: DataFrame, target: str, key: str, attrs: Sequence[str], loaded_at: str, checkpoint: str
 ) -> None:
-    """Merge each micro-batch into a version history, as of the newest load time in it.
+    """Append every load of a stream to a log; :func:`read_scd2` makes the version history of it.
 
-    Only open versions take part in a merge and are written anew; closed ones are appended once.
+    The history follows from the load times alone, so neither the micro-batches nor a late load change it. A batch
+    costs what its own rows cost.
     """
-    spark = stream.sparkSession
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = one_per_group(batch, [key], [F.desc(loaded_at), *_rest(batch, [key], loaded_at)])
-        moment = batch.agg(F.max(loaded_at)).scalar()
-        earlier = [v for v in _versions(spark, f"{target}/open") if v < batch_id]
-        if earlier:
-            before = spark.read.parquet(f"{target}/open/{BATCH}={earlier[-1]}")
-            merged = scd2_merge(before, newest, key, attrs, moment, f"batch-{batch_id}")
-        else:
-            merged = first_load(newest.select(key, *attrs), attrs, moment, f"batch-{batch_id}")
-        merged = merged.persist()
-        merged.filter("NOT is_current").write.mode("overwrite").parquet(f"{target}/closed/{BATCH}={batch_id}")
-        merged.filter("is_current").write.mode("overwrite").parquet(f"{target}/open/{BATCH}={batch_id}")
-        merged.unpersist()
+        rows = batch.select(key, *attrs, F.col(loaded_at).alias("loaded_at")).withColumn("attr_hash", attr_hash(attrs))
+        rows.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
 
     run_available(stream, checkpoint, write)
 
 
-def read_scd2(spark: SparkSession, target: str) -> DataFrame:
-    """All versions: closed ones of finished batches and the newest open ones."""
-    newest = _versions(spark, f"{target}/open")[-1]
-    opened = spark.read.parquet(f"{target}/open/{BATCH}={newest}")
-    closed = spark.read.schema(opened.schema).option("basePath", f"{target}/closed").parquet(
-        *[f"{target}/closed/{BATCH}={v}" for v in _versions(spark, f"{target}/closed") if v <= newest]
-    )
-    return opened.unionByName(closed.select(*opened.columns))
+def scd2_history(log: DataFrame, key: str) -> DataFrame:
+    """Versions of the loads in a log (key, attributes, loaded_at, attr_hash), as merging them in time order gives them.
+
+    A load of a key starts a version if its attributes differ from those of the load before. Of several rows with one
+    key and load time the first in hash order counts. Keys missing from a load stay current.
+    """
+    first = one_per_group(log.drop(BATCH), [key, "loaded_at"], [F.asc("attr_hash")])
+    before = F.lag("attr_hash").over(Window.partitionBy(key).orderBy("loaded_at"))
+    changes = first.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col("attr_hash"))).drop("_before")
+    following = F.lead("loaded_at").over(Window.partitionBy(key).orderBy("loaded_at"))
+    return changes.withColumn("valid_to", following).withColumnRenamed("loaded_at", "valid_from").withColumns({
+        "is_current": F.col("valid_to").isNull(), "batch_id": F.date_format("valid_from", "'load-'yyyyMMddHHmmss"),
+    })
+
+
+def read_scd2(spark: SparkSession, target: str, key: str) -> DataFrame:
+    """All versions in a log of loads."""
+    return scd2_history(spark.read.option("basePath", target).parquet(target), key)
+
+
+def compact_scd2(spark: SparkSession, target: str, out: str, key: str, before: Column) -> None:
+    """Write a log anew with repeated equal loads left out, as far as loads are older than ``before``.
+
+    No load from before that moment may arrive later. The caller points readers and the stream at ``out`` afterwards.
+    """
+    log = spark.read.option("basePath", target).parquet(target)
+    order = Window.partitionBy(key).orderBy("loaded_at", "attr_hash")
+    marked = log.withColumn("_before", F.lag("attr_hash").over(order))
+    kept = marked.filter((F.col("loaded_at") >= before) | F.col("_before").isNull() | (F.col("_before") != F.col("attr_hash")))
+    kept.drop("_before", BATCH).write.parquet(f"{out}/{BATCH}=-1")
 
 
 # Alerts
@@ -141,19 +145,21 @@ def windowed_ratio(df: DataFrame, condition: Column, size: str, limit: float, ts
     return measured.select(F.col("_w.start").alias("window_start"), "events", "ratio", (F.col("ratio") > limit).alias("firing"))
 
 
-def windowed_percentile(
-    df: DataFrame, column: str, p: float, size: str, limit: float, ts: str = "ts", late: str = "10 minutes"
-) -> DataFrame:
-    """(window_start, value, firing): a percentile per window, exact on tables and approximate on streams."""
-    if df.isStreaming:
-        measured = _windowed(df, ts, size, late).agg(F.percentile_approx(column, p).alias("value"))
-        rows = measured.select(F.col("_w.start").alias("window_start"), "value")
-    else:
-        keyed = df.withColumn("window_start", F.window(ts, size)["start"])
-        rows = exact_quantiles(keyed, column, [p], ["window_start"]).select("window_start", F.col("q0").alias("value"))
+def windowed_percentile(df: DataFrame, column: str, p: float, size: str, limit: float, ts: str = "ts") -> DataFrame:
+    """(window_start, value, firing) of a table: an exact percentile per window."""
+    keyed = df.withColumn("window_start", F.window(ts, size)["start"])
+    rows = exact_quantiles(keyed, column, [p], ["window_start"]).select("window_start", F.col("q0").alias("value"))
     return rows.withColumn("firing", F.col("value") > limit)
 
 
+def windowed_percentile_approx(
+    df: DataFrame, column: str, p: float, size: str, limit: float, ts: str = "ts", late: str = "10 minutes", accuracy: int = 10_000
+) -> DataFrame:
+    """The same for streams, and for tables that should give what the stream gives: a sketch of stated accuracy."""
+    measured = _windowed(df, ts, size, late).agg(F.percentile_approx(column, p, accuracy).alias("value"))
+    return measured.select(F.col("_w.start").alias("window_start"), "value").withColumn("firing", F.col("value") > limit)
+
+
 def staleness(df: DataFrame, ref: Column, hours: float, ts: str = "ts") -> DataFrame:
     """One row: hours since the newest event and whether that is too long."""
     micros = F.timestamp_diff("MICROSECOND", F.max(ts), ref)
@@ -180,17 +186,18 @@ def held_stream(windows: DataFrame, n: int, minutes: int, key: str) -> DataFrame
     step = pd.Timedelta(minutes=minutes)
 
     def advance(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, streak = state.get if state.exists else (None, 0)
-        hits = []
-        for _, row in pd.concat(list(frames)).sort_values("window_start").iterrows():
-            start = row["window_start"]
-            follows = last is not None and start - pd.Timestamp(last, unit="us") == step
-            streak = (streak + 1 if follows else 1) if row["firing"] else 0
-            last = int(start.value // 1000)
-            if streak >= n:
-                hits.append(start)
-        state.update((last, streak))
-        yield pd.DataFrame({key: [group[0]] * len(hits), "window_start": pd.Series(hits, dtype="datetime64[us]")})
+        last, carried = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(frames)).sort_values("window_start")
+        start, firing = rows["window_start"].astype("datetime64[us]"), rows["firing"].astype(bool)
+        gap = start.diff() != step
+        gap.iloc[0] = last is None or start.iloc[0] - pd.Timestamp(last, unit="us") != step
+        # A run goes on as long as windows follow each other and fire; its length is a cumulative count.
+        run = (gap | ~firing).cumsum()
+        streak = firing.groupby(run).cumsum().astype(int)
+        streak = streak + (run == 0) * carried
+        hits = start[streak >= n]
+        state.update((int(start.iloc[-1].value // 1000), int(streak.iloc[-1])))
+        yield pd.DataFrame({key: [group[0]] * len(hits), "window_start": hits.to_numpy()})
 
     kind = windows.schema[key].dataType.simpleString()
     return windows.groupBy(key).applyInPandasWithState(

@@ -215,9 +215,9 @@ def propagation_sql(rounds):
 {', '.join(steps)} SELECT node, label FROM l{rounds}"""
 
 
-@query("n21_communities", propagation_sql(5))
+@query("n21_communities", propagation_sql(12))
 def n21(s):
-    return an.communities(graph(s), iterations=5)
+    return an.communities(graph(s))
 
 
 @query("n22_actors_by_rating", rating_sql("actor", 10))
@@ -327,10 +327,10 @@ def n34_aka(s):
 
 @query("n35_language_region_matrix", """
 SELECT language, region, count(*) AS cnt FROM title_akas WHERE language IS NOT NULL AND region IS NOT NULL
-  AND language IN (SELECT language FROM title_akas WHERE language IS NOT NULL AND region IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 4)
-  AND region IN (SELECT region FROM title_akas WHERE language IS NOT NULL AND region IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 4) GROUP BY 1, 2""")
+  AND language IN (SELECT language FROM title_akas WHERE language IS NOT NULL AND region IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20)
+  AND region IN (SELECT region FROM title_akas WHERE language IS NOT NULL AND region IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20) GROUP BY 1, 2""")
 def n35(s):
-    return an.language_region_matrix(s.title_akas, n=4)
+    return an.language_region_matrix(s.title_akas)
 
 
 @query("n36_region_volume_rating", f"WITH {REGIONS} SELECT region, count(*) AS title_count, {AVG} FROM g WHERE average_rating IS NOT NULL GROUP BY 1 HAVING count(*) >= 10")

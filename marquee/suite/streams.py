@@ -130,16 +130,36 @@ def s08(s):
     return jobs.rate_violations(s.events, "user_id", "ts", n=2, seconds=7200)
 
 
-@query("s09_stream_scd2", f"""
+STREAMED_SQL = f"""
 WITH {HISTORY_SQL} SELECT c_custkey, c_name, c_nationkey, c_mktsegment, valid_from, valid_to, is_current,
-  CASE batch_id WHEN 'b1' THEN 'batch-0' ELSE 'batch-1' END AS batch_id, attr_hash FROM h""")
-def s09(s):
-    """Two loads arrive one after the other; a third run finds nothing and changes nothing."""
+  strftime(valid_from, 'load-%Y%m%d%H%M%S') AS batch_id, attr_hash FROM h"""
+
+
+def streamed_history(s, *runs):
+    """History after runs in which the numbered loads have arrived, each run a new start of the stream."""
     source, target, ckpt = (scratch_path(s.spark, n) for n in ("loads", "history", "ckpt"))
     arrivals = [df.withColumn("loaded_at", moment(t)) for df, t in zip(loads(s), (T1, T2))]
-    for i, load in enumerate([*arrivals, None]):
-        if load is not None:
-            load.coalesce(1).write.parquet(f"{source}/{i}")
+    for run in runs:
+        for i in run:
+            arrivals[i].write.parquet(f"{source}/{i}")
         stream = s.spark.readStream.schema(arrivals[0].schema).parquet(f"{source}/*")
         jobs.stream_scd2(stream, target, "c_custkey", ATTRS, "loaded_at", ckpt)
-    return jobs.read_scd2(s.spark, target).select("c_custkey", *ATTRS, *VERSION_COLUMNS)
+    return jobs.read_scd2(s.spark, target, "c_custkey").select("c_custkey", *ATTRS, *VERSION_COLUMNS)
+
+
+@query("s09_stream_scd2", STREAMED_SQL)
+def s09(s):
+    """Two loads arrive one after the other; a third run finds nothing and changes nothing."""
+    return streamed_history(s, [0], [1], [])
+
+
+@query("s09_stream_scd2_one_batch", STREAMED_SQL)
+def s09_one_batch(s):
+    """Both loads wait in the source and share a micro-batch."""
+    return streamed_history(s, [0, 1])
+
+
+@query("s09_stream_scd2_late_load", STREAMED_SQL)
+def s09_late(s):
+    """The older load arrives after the newer one."""
+    return streamed_history(s, [1], [0])

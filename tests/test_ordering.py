@@ -43,16 +43,15 @@ def test_dense_index(spark):
     assert got == {k: i for i, k in enumerate(sorted(f"k{i * 7919 % 400}" for i in range(400)))}
 
 
-@pytest.mark.parametrize("accuracy", [100, 10_000])
 @pytest.mark.parametrize("keys", [[], ["g"]])
-def test_quantiles_match_numpy(spark, accuracy, keys):
+def test_quantiles_match_numpy(spark, keys):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.lognormal(3, 2, 4000), np.full(2000, 7.0)])
     df = spark.createDataFrame([(i % 3, float(v)) for i, v in enumerate(values)], "g int, v double").unionAll(
         spark.createDataFrame([(0, None)], "g int, v double")
     )
     probs = [0.0, 0.1, 0.5, 0.95, 1.0]
-    found = ordering.exact_quantiles(df, "v", probs, keys, accuracy=accuracy).collect()
+    found = ordering.exact_quantiles(df, "v", probs, keys).collect()
     for r in found:
         mine = values if not keys else values[r["g"] :: 3]
         assert r["n"] == len(mine)
@@ -60,6 +59,38 @@ def test_quantiles_match_numpy(spark, accuracy, keys):
     assert len(found) == (3 if keys else 1)
 
 
+def test_quantiles_keep_the_null_group_and_common_values(spark):
+    values = [7.0] * 900 + [float(i) for i in range(100)]
+    rows = [(g, v) for g in (None, "a") for v in values]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.01, 0.5, 0.99]
+    found = {r["g"]: [r["q0"], r["q1"], r["q2"], r["n"]] for r in ordering.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    want = [*np.quantile(values, probs), 1000]
+    assert set(found) == {None, "a"}
+    for got in found.values():
+        np.testing.assert_allclose(got, want, rtol=1e-12)
+
+
+def test_a_hot_null_group_is_sliced(spark):
+    df = spark.range(600).selectExpr("CASE WHEN id < 500 THEN NULL ELSE 'b' END AS g", "id AS v")
+    ranked = ordering.rank_within(df, ["g"], ["v"], "r", hot_rows=100, total="n").collect()
+    assert sorted((r["g"] is None, r["r"], r["n"]) for r in ranked) == sorted(
+        [(True, i + 1, 500) for i in range(500)] + [(False, i + 1, 100) for i in range(100)]
+    )
+    counted = ordering.over_groups(df, ["g"], {"n": F.count("*")}, hot_rows=100)
+    assert sorted({(r["g"] is None, r["n"]) for r in counted.collect()}) == [(False, 100), (True, 500)]
+
+
+def test_slices_follow_the_session(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3000")
+        assert ordering.slices(spark) == 4096
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert ordering.slices(spark) == 64
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(float(i), 5.0, None) for i in range(41)], "v double, c double, n double")
     got = {(r["feature"], r["bin"]): r["n"] for r in ag.histograms(df, ["v", "c", "n"]).collect()}

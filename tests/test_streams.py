@@ -50,27 +50,58 @@ def test_upsert_log(spark, arrivals, rows):
     assert rows(jobs.read_upserted(spark, target, ["k"], "ts")) == [(1, "b", 2), (2, "d", 5), (3, "e", 1)]
 
 
+LOADS = [[("k1", "a"), ("k2", "b")], [("k1", "a"), ("k2", "c"), ("k3", "d")], [("k2", "b")]]
+TIMES = ["2024-01-01", "2024-02-01", "2024-03-01"]
+
+
+def stamp(text):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def merged(frames, times):
+    """Batch merges of the loads in time order."""
+    label = lambda t: f"load-{t.replace('-', '')}000000"
+    want = scd.first_load(frames[0], ["v"], stamp(times[0]), label(times[0]))
+    for df, t in zip(frames[1:], times[1:]):
+        want = scd.scd2_merge(want, df, "k", ["v"], stamp(t), label(t))
+    return want
+
+
+@pytest.mark.parametrize("runs", [[[0, 1, 2]], [[2], [0], [1]], [[0, 2], [1]]])
+def test_history_does_not_depend_on_batches_or_order(spark, runs):
+    source, target, ckpt = (scratch_path(spark, n) for n in ("loads", "target", "ckpt"))
+    frames = [spark.createDataFrame(x, "k string, v string") for x in LOADS]
+    shape = frames[0].withColumn("loaded_at", stamp(TIMES[0])).schema
+    for run in runs:
+        for i in run:
+            frames[i].withColumn("loaded_at", stamp(TIMES[i])).write.parquet(f"{source}/{i}")
+        jobs.stream_scd2(spark.readStream.schema(shape).parquet(f"{source}/*"), target, "k", ["v"], "loaded_at", ckpt)
+    read = lambda df: sorted(map(str, df.select("k", "v", "valid_from", "valid_to", "is_current", "batch_id").collect()))
+    want = read(merged(frames, TIMES))
+    assert read(jobs.read_scd2(spark, target, "k")) == want
+    smaller = scratch_path(spark, "smaller")
+    jobs.compact_scd2(spark, target, smaller, "k", stamp("2024-02-15"))
+    assert read(jobs.read_scd2(spark, smaller, "k")) == want
+    assert spark.read.parquet(smaller).count() < spark.read.parquet(target).count()
+
+
 def test_streamed_history_equals_batch_history_and_survives_replay(spark, arrivals):
     target, ckpt = scratch_path(spark, "target"), scratch_path(spark, "ckpt")
-    loads = [[("k1", "a"), ("k2", "b")], [("k1", "a"), ("k2", "c"), ("k3", "d")], [("k2", "b")]]
-    times = ["2024-01-01", "2024-02-01", "2024-03-01"]
-    stamp = lambda t: F.lit(t).cast("timestamp_ntz")
-    frames = [spark.createDataFrame(x, "k string, v string") for x in loads]
+    times = TIMES
+    frames = [spark.createDataFrame(x, "k string, v string") for x in LOADS]
     for df, t in zip(frames, times):
         stream = arrivals(df.withColumn("loaded_at", stamp(t)))
         jobs.stream_scd2(stream, target, "k", ["v"], "loaded_at", ckpt)
-    want = scd.first_load(frames[0], ["v"], stamp(times[0]), "batch-0")
-    for i in (1, 2):
-        want = scd.scd2_merge(want, frames[i], "k", ["v"], stamp(times[i]), f"batch-{i}")
+    want = merged(frames, times)
     read = lambda df: sorted(map(str, df.select("k", "v", "valid_from", "valid_to", "is_current", "batch_id").collect()))
-    assert read(jobs.read_scd2(spark, target)) == read(want)
+    assert read(jobs.read_scd2(spark, target, "k")) == read(want)
     assert len(read(want)) == 5
     # The driver dies after writing the last batch and before noting it as done: the batch runs again.
     for name in ("2", ".2.crc"):
         os.remove(f"{ckpt}/commits/{name}")
     stream = spark.readStream.schema(stream.schema).parquet(f"{arrivals.folder}/*")
     jobs.stream_scd2(stream, target, "k", ["v"], "loaded_at", ckpt)
-    assert read(jobs.read_scd2(spark, target)) == read(want)
+    assert read(jobs.read_scd2(spark, target, "k")) == read(want)
 
 
 def minutes(*firing):
