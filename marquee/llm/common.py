@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.session import scratch_path
+
 # Bytes of text that are Python objects at one time in a task; a longer text is handled alone.
 SLICE_BYTES = 8 << 20
 
@@ -17,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows, written to the shared folder and read again."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_bytes(column: str | Column = "text") -> Column:
     """UTF-8 bytes of a text, none for null."""
     column = F.col(column) if isinstance(column, str) else column

@@ -2,7 +2,7 @@
 
 Large-star links every larger neighbour of a node to the node's least neighbour, small-star every smaller one. Both are
 an aggregation of minima and a join, so a node with very many links never gathers them in one task. Rounds end when the
-links no longer change; each is written with ``checkpoint()``.
+links no longer change; each is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.session import shared_dir
+from marquee.llm.common import written
 
 
 def _least(links: DataFrame, node: str, other: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _rounds(links: DataFrame) -> DataFrame:
     """One large-star and one small-star step over links with a > b."""
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
     large = both.join(_least(both, "x", "y"), F.col("x") == F.col("node")).where("y > x")
-    large = large.select(F.col("y").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    large = large.select(F.col("y").alias("a"), F.col("least").alias("b")).where("a <> b")
     small = large.join(_least(large, "a", "b"), F.col("a") == F.col("node"))
     small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("l"))
     return small.select("l.a", "l.b").where("a <> b").distinct()
@@ -29,15 +29,14 @@ def _rounds(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id`` and ``component`` (the least id reached) of every node with a link to another node."""
-    shared_dir(links.sparkSession)
-    links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct().checkpoint()
+    links = written(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "components")
     seen = None
     while True:
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
         seen = tuple(state)
-        links = _rounds(links).checkpoint()
+        links = written(_rounds(links), "components")
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(
         links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
