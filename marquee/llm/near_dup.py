@@ -28,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import map_texts, text_bytes
+from marquee.llm.common import map_texts, text_bytes, written
 from marquee.llm.components import components
-from marquee.session import scratch_path
 
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
 VALUES = CHUNKS * WIDTH
@@ -121,12 +120,6 @@ def _distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda acc, x: acc + x)
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _texts(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
     """Texts of the documents whose ids are in ``nodes``.
 
@@ -193,9 +186,10 @@ def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> Dat
     """Blocks of members to compare: entry and its number, rows of one side, rows of the other.
 
     In each entry the members of the largest component form blocks on one side only, the others blocks on both. An entry
-    of no more than a block's rows is gathered as it is; larger ones are cut, and their blocks joined.
+    of no more than a block's rows is gathered as it is; in larger ones the largest component and the others are cut into as
+    many blocks as each needs, and the blocks joined.
     """
-    main = mixed.groupBy("entry", "of").agg(F.count("*").alias("n")).groupBy("entry").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.sum("n").alias("n"))
+    main = mixed.groupBy("entry", "of").agg(F.count("*").alias("n")).groupBy("entry").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
     rows = mixed.join(main, "entry").join(reps.select("id", "sig"), "id")
     if texts is not None:
         rows = rows.join(texts, "id")
@@ -208,7 +202,8 @@ def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> Dat
         return whole
     blocks = (
         rows.where(F.col("n") > BLOCK)
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK).cast("long")))
+        .withColumn("blocks", F.ceil(F.when(F.col("rest"), F.col("n") - F.col("n_main")).otherwise(F.col("n_main")) / BLOCK).cast("long"))
+        .withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
         .groupBy("entry", "number", "rest", "block").agg(F.collect_list("row").alias("rows"))
     )
     left = blocks.where("rest").select("entry", "number", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
@@ -290,47 +285,48 @@ def _links(meetings: DataFrame, size: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles, component_id (least id reached) and kept, one row per document."""
-    sigs = _written(signatures(docs, size, key, text).withColumn("id", F.col(key).cast("long")), "near-sigs")
+    sigs = written(signatures(docs, size, key, text).withColumn("id", F.col(key).cast("long")), "near-sigs")
     classes = sigs.where("digest is not null and id is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"),
     )
-    classes = _written(classes, "near-classes")
+    classes = written(classes, "near-classes")
     reps = classes.select(F.col("rep").alias("id"), "sig", "size")
     index = reps.select("id", _entries(F.col("sig")).alias("number", "entry"))
     mask = F.element_at(F.array(*[F.lit(m) for m in MASKS]), (F.col("number") / WIDTH).cast("int") + 1)
     hubs = index.groupBy("entry", "number").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("hub"), F.count("*").alias("n")).where("n > 1")
     hubs = hubs.select("entry", F.col("hub").bitwiseXOR(mask).alias("hub"), "n")
-    members = _written(index.join(hubs, "entry"), "near-members")
+    members = written(index.join(hubs, "entry"), "near-members")
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("size").alias(f"size_{side}")), side)
     pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    pairs = _written(pairs.select("a", "b", _distance("sig_a", "sig_b").alias("far")).where(F.col("far") <= NEAR), "near-pairs")
+    pairs = written(pairs.select("a", "b", _distance("sig_a", "sig_b").alias("far")).where(F.col("far") <= NEAR), "near-pairs")
 
     groups = None
     if not pairs.isEmpty():
-        texts = _written(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text), "near-texts")
+        texts = written(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text), "near-texts")
         nearest = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        links = _written(confirm(nearest, texts, size, percent), "near-links")
+        links = written(confirm(nearest, texts, size, percent), "near-links")
         groups = components(links)
-        rest = _written(_apart(pairs.join(nearest, ["a", "b"], "left_anti"), groups).select("a", "b"), "near-rest")
+        rest = written(_apart(pairs.join(nearest, ["a", "b"], "left_anti"), groups).select("a", "b"), "near-rest")
         if not rest.isEmpty():
-            links = links.unionAll(_written(confirm(rest, texts, size, percent), "near-links"))
+            links = links.unionAll(written(confirm(rest, texts, size, percent), "near-links"))
             groups = components(links)
-        mixed = _written(_mixed(members, groups), "near-mixed")
-        marked = _written(_marked(_meetings(mixed, reps, None)), "near-marked")
+        mixed = written(_mixed(members, groups), "near-mixed")
+        marked = written(_marked(_meetings(mixed, reps, None)), "near-marked")
         if not marked.isEmpty():
-            texts = _written(_texts(docs, marked, key, text), "near-texts")
+            texts = written(_texts(docs, marked, key, text), "near-texts")
             closest = marked.where("other is not null").groupBy("id").agg(F.min(F.struct("far", "other")).alias("best"))
             closest = closest.select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b")).distinct()
-            links = links.unionAll(_written(confirm(closest, texts, size, percent), "near-links"))
+            links = links.unionAll(written(confirm(closest, texts, size, percent), "near-links"))
             groups = components(links)
             mixed = _mixed(members, groups).join(marked.select("entry", "id").distinct(), ["entry", "id"], "left_semi")
-            links = links.unionAll(_written(_links(_meetings(mixed, reps, texts), size, percent), "near-links"))
+            mixed = written(mixed, "near-mixed")
+            links = links.unionAll(written(_links(_meetings(mixed, reps, texts), size, percent), "near-links"))
             groups = components(links)
     named = classes.select("digest", "rep")
     if groups is not None:
-        groups = _written(groups, "near-groups")
+        groups = written(groups, "near-groups")
         named = named.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
         named = named.select("digest", F.coalesce("component", "rep").alias("component"))
     else:
