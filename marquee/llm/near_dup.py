@@ -190,9 +190,10 @@ def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> Dat
     many blocks as each needs, and the blocks joined.
     """
     main = mixed.groupBy("entry", "of").agg(F.count("*").alias("n")).groupBy("entry").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
-    rows = mixed.join(main, "entry").join(reps.select("id", "sig"), "id")
+    known = reps.select("id", "sig")
     if texts is not None:
-        rows = rows.join(texts, "id")
+        known = known.join(texts, "id")  # once per id, not per entry
+    rows = mixed.join(main, "entry").join(known, "id")
     row = F.struct("id", "of", "sig", *(["data"] if texts is not None else []))
     rows = rows.withColumn("rest", F.col("of") != F.col("main")).withColumn("row", row)
     whole = rows.where(F.col("n") <= BLOCK).groupBy("entry", "number").agg(
