@@ -44,8 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError(f"set spark.checkpoint.dir to a folder all executors share (master is {master!r})")
-        folder = tempfile.mkdtemp(prefix="marquee-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # The setting is fixed once a session runs, so the context remembers the folder.
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="marquee-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
