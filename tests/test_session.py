@@ -7,7 +7,7 @@ from marquee.session import shared_dir
 
 class Conf(dict):
     def set(self, key, value):
-        self[key] = value
+        raise AssertionError(f"{key} is fixed once a session runs")
 
 
 class Context:
@@ -45,3 +45,4 @@ def test_a_named_folder_is_used(tmp_path):
 def test_one_machine_gets_a_temporary_folder():
     session = Session(spark_master="local[4]")
     assert shared_dir(session) == session.sparkContext.folder
+    assert shared_dir(session) == shared_dir(session)
