@@ -6,7 +6,8 @@ every chunk is entered once for each choice of ``ERRORS`` places left out, and a
 entry. At similarity 0.8 a pair differs in a value with probability 0.2, and shares no entry at all with probability
 0.345^10, about 2 in 100,000; above that much less.
 
-Documents with the same shingle set are one class first; only class representatives (least ids) enter the index. Members
+Documents with the same shingle set are one class first; only class representatives (least ids) enter the index. An entry
+whose members agree in the place left out as well is dropped, as they all meet in the first entry of that chunk. Members
 of an entry are compared with one of them, its hub, so an entry of n members gives n - 1 pairs; each chunk orders ids
 differently, so a member of a large group meets several hubs. Pairs whose signatures differ
 too much are dropped; the others are confirmed on the full sets, the nearest per member first, the rest only where the
@@ -108,11 +109,12 @@ def signatures(docs: DataFrame, size: int, key: str = "doc_id", text: str = "tex
 
 
 def _entries(sig: Column) -> Column:
-    """One entry per chunk and choice of places left out, with its number."""
+    """One entry per chunk and place left out: its number, its hash and the value left out."""
     made = []
     for chunk in range(CHUNKS):
         for number, left in enumerate(combinations(range(WIDTH), WIDTH - ERRORS)):
-            made.append(F.xxhash64(F.lit(chunk * 100 + number), *[sig[chunk * WIDTH + i] for i in left]))
+            entry = F.xxhash64(F.lit(chunk * 100 + number), *[sig[chunk * WIDTH + i] for i in left])
+            made.append(F.struct(entry.alias("entry"), sig[chunk * WIDTH + WIDTH - 1 - number].alias("out")))
     return F.posexplode(F.array(*made))
 
 
@@ -292,11 +294,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     )
     classes = written(classes, "near-classes")
     reps = classes.select(F.col("rep").alias("id"), "sig", "size")
-    index = reps.select("id", _entries(F.col("sig")).alias("number", "entry"))
+    index = reps.select("id", _entries(F.col("sig")).alias("number", "of")).select("id", "number", "of.entry", "of.out")
     mask = F.element_at(F.array(*[F.lit(m) for m in MASKS]), (F.col("number") / WIDTH).cast("int") + 1)
-    hubs = index.groupBy("entry", "number").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = index.groupBy("entry", "number").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("hub"), F.count("*").alias("n"), F.min("out").alias("low"), F.max("out").alias("high"))
+    # Where the value left out is the same too, all members share the whole chunk and meet in its first entry.
+    hubs = hubs.where((F.col("n") > 1) & ((F.col("low") != F.col("high")) | (F.col("number") % WIDTH == 0)))
     hubs = hubs.select("entry", F.col("hub").bitwiseXOR(mask).alias("hub"), "n")
-    members = written(index.join(hubs, "entry"), "near-members")
+    members = written(index.drop("out").join(hubs, "entry"), "near-members")
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("size").alias(f"size_{side}")), side)

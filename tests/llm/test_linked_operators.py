@@ -111,6 +111,9 @@ def test_every_pair_under_the_guaranteed_distance_shares_an_entry():
         chunk, left = divmod(number, near_dup.WIDTH)
         held = list(near_dup.combinations(range(near_dup.WIDTH), near_dup.WIDTH - near_dup.ERRORS))[left]
         assert all(equal[0, chunk * near_dup.WIDTH + i] for i in held)
+        # The entry stays in the index: the first of its chunk, or one whose members differ in the place left out.
+        out = near_dup.WIDTH - 1 - left
+        assert out not in held and (left == 0 or not equal[0, chunk * near_dup.WIDTH + out])
 
 
 # ---------------------------------------------------------------- URL filter
