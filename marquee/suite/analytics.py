@@ -186,8 +186,9 @@ def n18(s):
 
 
 EDGES = """top AS (SELECT nconst FROM fact_performance JOIN dim_person USING (nconst) WHERE category = 'actor' GROUP BY nconst ORDER BY count(*) DESC, nconst LIMIT 500),
-ac AS (SELECT tconst, nconst FROM fact_performance WHERE category = 'actor' AND nconst IN (FROM top)),
-edges AS (SELECT x.nconst AS a, y.nconst AS b, count(*) AS weight FROM ac x JOIN ac y ON y.tconst = x.tconst AND y.nconst > x.nconst GROUP BY ALL HAVING count(*) >= 2)"""
+casts AS (SELECT list(nconst) AS who FROM fact_performance WHERE category = 'actor' AND nconst IN (FROM top) GROUP BY tconst),
+met AS (SELECT p.a, q.b FROM (SELECT who, unnest(who) AS a FROM casts) p, unnest(p.who) AS q(b) WHERE p.a < q.b),
+edges AS (SELECT a, b, count(*) AS weight FROM met GROUP BY a, b HAVING count(*) > 1)"""
 
 
 def graph(s):

@@ -184,10 +184,16 @@ PEOPLE_MAP = {"nconst": "person_id", "primary_name": "name", "birth_year": "born
 
 
 @query("a15_mapped_schema", """
-SELECT * FROM (VALUES ('person_id', 'bigint'), ('name', 'string'), ('born', 'int')) v(name, type)""")
+SELECT 'person_id' AS name, 'bigint' AS type, count(nconst) AS known FROM name_basics
+UNION ALL SELECT 'name', 'string', count(primary_name) FROM name_basics UNION ALL SELECT 'born', 'int', count(birth_year) FROM name_basics""")
 def a15(s):
+    """Name, type and known values of each column that the mapping keeps, read under its new name."""
     schema = files.infer_mapped_schema(s.name_basics, PEOPLE_MAP)
-    return s.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in schema.fields], "name string, type string")
+    mapped = files.map_columns(s.name_basics, PEOPLE_MAP)
+    return union_all([
+        mapped.agg(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.count(f.name).alias("known"))
+        for f in schema.fields
+    ])
 
 
 @query("a16_map_columns", "SELECT nconst AS person_id, primary_name AS name, birth_year AS born FROM name_basics")
@@ -301,7 +307,13 @@ def a24(s):
     ])
 
 
-@query("a25_sources_ready", "SELECT * FROM (VALUES (7, true), (1000, false)) v(wanted, ready)")
+READY = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+
+
+@query("a25_sources_ready", " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS row_count FROM {t}" for t in READY))
 def a25(s):
-    ready = [(n, files.sources_ready(s.spark, f"{s.sf_dir}/*.parquet", n)) for n in (7, 1000)]
-    return s.spark.createDataFrame(ready, "wanted int, ready boolean")
+    """Rows of seven sources, read once the gate finds that many files; it stays shut for more files than there are."""
+    pattern = f"{s.sf_dir}/*.parquet"
+    if not files.sources_ready(s.spark, pattern, len(READY)) or files.sources_ready(s.spark, pattern, 1000):
+        raise AssertionError("the gate miscounts the files")
+    return union_all([s.source(t).agg(F.lit(t).alias("source"), F.count("*").alias("row_count")) for t in READY])
