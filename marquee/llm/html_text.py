@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped: every block-level tag ends a line, and whatever is not content (scripts, styles, menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments) leaves a gap of empty lines. Text lengths are summed
-over sliding windows of lines. Where the sums rise from zero is a surge point, where they fall back a dive point; the
-stretches between them are kept if they lie in the page's article element, or, on pages without one, if their peak
-is a fair share of the highest peak.
+footers, sidebars, notices, adverts, forms, reader comments) leaves a gap of empty lines. Text lengths are summed over
+sliding windows of lines. Where the sums rise from zero is a surge point, where they fall back a dive point; the lines between
+them are kept if a sum reaches ``SURGE``. The lengths leave out links, but not in article and main elements, of which a page
+may have any number; gaps of empty lines set these apart. Shorter stretches stay beside kept ones, so do single lines of
+links between kept ones; a page with short stretches only keeps these. Lists of links outside articles and short stretches
+among them are dropped.
 
 Null html is the empty page; a page without text gives the empty string. Nothing is cut from long pages. Ids may be null
 or repeated, further columns are ignored, an empty table gives no rows.
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from marquee.llm.common import map_texts
 
 WINDOW = 3
-PEAK_SHARE = 0.3
+# Characters of a window from which on a stretch is text by itself.
+SURGE = 40
 LINK_SHARE = 0.6
 
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|canvas|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -124,6 +127,15 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def weights(rows: Sequence[tuple[str, int, int]]) -> list[int]:
+    """Length of each line: all its characters in an article, elsewhere those outside links, none for a line of links."""
+    out = []
+    for text, linked, article in rows:
+        plain = len(text) - linked
+        out.append(len(text) if article else 0 if linked > LINK_SHARE * len(text) and plain < SURGE else plain)
+    return out
+
+
 def stretches(lengths: Sequence[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
     """Surge point, dive point (exclusive) and peak of each stretch of lines with text."""
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
@@ -137,25 +149,44 @@ def stretches(lengths: Sequence[int], window: int = WINDOW) -> list[tuple[int, i
     return found
 
 
+def kept_lines(rows: Sequence[tuple[str, int, int]]) -> list[int]:
+    """Numbers of the lines with text that are main text."""
+    lengths = weights(rows)
+    # Runs of lines in page order: a stretch from its first to its last line with length, or the line of links between two.
+    runs: list[tuple[str, list[int]]] = []
+
+    def links(start: int, end: int):
+        found = [i for i in range(start, end) if rows[i][0]]
+        if found:
+            runs.append(("links", found))
+
+    place = 0
+    for start, end, peak in stretches(lengths):
+        held = [i for i in range(start, end) if lengths[i]]
+        links(place, held[0])
+        place = held[-1] + 1
+        runs.append(("text" if peak >= SURGE else "short", [i for i in range(held[0], place) if rows[i][0]]))
+    links(place, len(rows))
+    kinds = [kind for kind, _ in runs]
+    if "text" not in kinds:
+        return [i for kind, found in runs if kind == "short" for i in found]
+    keep = [kind == "text" for kind in kinds]
+    # Short stretches beside kept ones, from the front and from the back.
+    for order in (range(1, len(runs)), range(len(runs) - 2, -1, -1)):
+        for i in order:
+            keep[i] |= kinds[i] == "short" and keep[i - order.step]
+    # A single line of links within the text is a sentence of it, several are a list of links.
+    for i in range(1, len(runs) - 1):
+        keep[i] |= kinds[i] == "links" and len(runs[i][1]) == 1 and keep[i - 1] and keep[i + 1]
+    return [i for (_, found), kept in zip(runs, keep) if kept for i in found]
+
+
 def main_text(page: str | None) -> str:
     """Main text of one page, a line for each block."""
     if not page:
         return ""
     rows = lines(page)
-    sizes: dict[int, int] = {}
-    for text, _, article in rows:
-        if article:
-            sizes[article] = sizes.get(article, 0) + len(text)
-    best = max(sizes, key=lambda a: (sizes[a], -a), default=0)
-    if best and sizes[best]:
-        kept = stretches([len(text) if article == best else 0 for text, _, article in rows])
-        return "\n".join(text for start, end, _ in kept for text, _, article in rows[start:end] if text and article == best)
-    content = [0 if linked > LINK_SHARE * len(text) else len(text) for text, linked, _ in rows]
-    found = stretches(content)
-    top = max((peak for _, _, peak in found), default=0)
-    return "\n".join(
-        rows[i][0] for start, end, peak in found if peak >= PEAK_SHARE * top for i in range(start, end) if rows[i][0] and content[i]
-    )
+    return "\n".join(rows[i][0] for i in kept_lines(rows))
 
 
 def extract(pages: DataFrame, keys: Sequence[str] = ("page_id", "url"), page: str = "html") -> DataFrame:

@@ -188,6 +188,14 @@ def test_stretches_split_at_wide_gaps_only():
     assert [(s, e) for s, e, _ in html_text.stretches([0, 0, 0, 5, 0, 5, 0, 0, 0, 7])] == [(1, 6), (7, 10)]
 
 
+def test_surge_and_dive_points_choose_lines_on_pages_with_articles():
+    links = "".join(f"<li><a href={i}>Link number {i}</a></li>" for i in range(4))
+    body = f"<div><p>{FILLER * 5}</p><p>{FILLER}</p></div>"
+    teaser = "<article>Teaser</article>"
+    assert html_text.main_text(f"<ul>{links}</ul>{teaser}<ul>{links}</ul>{body}") == (FILLER * 5).strip() + "\n" + FILLER.strip()
+    assert html_text.main_text(f"{teaser}{body}") == "Teaser\n" + (FILLER * 5).strip() + "\n" + FILLER.strip()
+
+
 # ---------------------------------------------------------------- benchmark passages
 
 
