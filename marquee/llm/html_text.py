@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped: every block-level tag ends a line, and whatever is not content (scripts, styles, menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments) leaves a gap of empty lines. Text lengths are summed over
+footers, sidebars, notices, adverts, forms, reader comments) is taken out without a gap. Text lengths are summed over
 sliding windows of lines. Where the sums rise from zero is a surge point, where they fall back a dive point; the lines between
 them are kept if a sum reaches ``SURGE``. The lengths leave out links, but not in article and main elements, of which a page
 may have any number; gaps of empty lines set these apart. Shorter stretches stay beside kept ones, so do single lines of
@@ -102,7 +102,6 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         name = (tag[2] or "").lower()
         if name and not tag[1] and name not in VOID and _furniture(name, tag[3] or "", article > 0):
             end_line()
-            out.extend([("", 0, article)] * WINDOW)
             i = _end_of(tags, i)
             place = tags[i].end()
         elif name == "br":

@@ -196,6 +196,17 @@ def test_surge_and_dive_points_choose_lines_on_pages_with_articles():
     assert html_text.main_text(f"{teaser}{body}") == "Teaser\n" + (FILLER * 5).strip() + "\n" + FILLER.strip()
 
 
+def test_no_text_is_cut_by_shares_or_furniture():
+    long, short = "x" * 600, "y" * 120
+    advert = '<div class="ad">Buy</div>'
+    assert html_text.main_text(f"<div>{long}</div>{advert}<p>{short}</p>{advert}<p>End.</p>").split("\n") == [long, short, "End."]
+    assert html_text.main_text(f"<article>{short}</article><article>{long}</article><article>{short}</article>").split("\n") == [short, long, short]
+    assert html_text.main_text(f"<div>{long}</div><p><a href=1>All of it a link</a></p><div>{short}</div>").split("\n") == [long, "All of it a link", short]
+    mixed = "In this paragraph links have most characters, but the rest is prose. "
+    page = f"<div>{long}</div><p>{mixed}<a href=1>{'l' * 300}</a></p>"
+    assert html_text.main_text(page).split("\n") == [long, mixed + "l" * 300]
+
+
 # ---------------------------------------------------------------- benchmark passages
 
 
