@@ -15,7 +15,7 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.link(*tool_calls.exchanges(table(spark, sf_dir, "conversations")))
+    return tool_calls.link(*tool_calls.exchanges(table(spark, sf_dir, "conversations")), repeats=True)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

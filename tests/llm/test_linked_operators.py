@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.llm import components, near_dup, tool_calls, url_filter
+from marquee.llm import components, near_dup, queries, tool_calls, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -231,6 +231,27 @@ def test_order_follows_needs(spark):
     assert [got[3, c] for c in "abcd"] == [None, None, None, 0] and got[4, "s"] is None
 
 
+def test_every_distinct_call_and_result_comes_back(spark):
+    body = '{"x": 1}'
+    calls = [(1, 0, "a", "add", body, None), (1, 1, "a", "add", body, None)] + [(None, t, "0", "add", body, None) for t in range(3)] + [(3, None, "n", None, None, None)]
+    results = [(1, 1, "a", "one"), (1, 2, "a", "late"), (1, 2, "a", "late"), (2, 1, "z", "p"), (2, 1, "z", "q")] + [(None, 1, "0", t) for t in ("u", "v")]
+    df = tool_calls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), ADD, repeats=True)
+    got = sorted((r.conv_id or 0, r.status, r.turn is None, r.turn or 0, json.loads(r.record)["result"] or "", r.level is None, len(r.problems)) for r in df.collect())
+    assert got == [
+        (0, "orphan", True, 0, "u", True, 0), (0, "orphan", True, 0, "v", True, 0),
+        (0, "unanswered", False, 0, "", False, 0), (0, "unanswered", False, 1, "", False, 0), (0, "unanswered", False, 2, "", False, 0),
+        (1, "duplicate", False, 1, "", False, 0), (1, "duplicate", True, 0, "late", True, 0), (1, "linked", False, 0, "one", False, 0),
+        (2, "duplicate", True, 0, "q", True, 0), (2, "orphan", True, 0, "p", True, 0), (3, "unanswered", True, 0, "", False, 2),
+    ]
+
+
+def test_query_keeps_two_answers_of_a_turn(spark, tmp_path):
+    rows = [(1, 0, "user", "x"), (1, 1, "assistant", "a"), (1, 1, "assistant", "b")] + [(None, 0, "user", t) for t in "pqr"]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op1_tool_calls(spark, str(tmp_path)).collect()
+    assert sorted(r.status for r in got) == ["duplicate", "linked", "unanswered", "unanswered", "unanswered"]
+
+
 def test_chat_as_calls(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "hello"), (1, 2, "assistant", "hi"), (1, 3, "user", None), (1, 5, "assistant", "alone"), (None, 0, "user", "x"), (1, 1, "user", "hello")]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("name", F.lit("clash"))
