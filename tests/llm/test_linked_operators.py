@@ -260,3 +260,12 @@ def test_chat_as_calls(spark):
         (0, "0", "unanswered", ()), (1, "1:1", "linked", ()), (1, "1:3", "unanswered", ("text: missing",)), (1, "1:4", "orphan", ()),
     ]
     assert tool_calls.link(*tool_calls.exchanges(messages.where("false"))).count() == 0
+
+
+def test_rows_of_other_roles_come_back(spark):
+    rows = [(1, 0, "system", "s"), (1, 0, "tool", None), (1, 0, None, "n"), (2, 0, "system", "s"), (1, 1, "user", "hello"), (1, 2, "assistant", "hi")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = tool_calls.link(*tool_calls.exchanges(messages, others=True), repeats=True).collect()
+    other = [(r.conv_id, r.status, *json.loads(json.loads(r.record)["result"]).values()) for r in got if r.call_id is None]
+    assert sorted(other, key=repr) == [(1, "orphan", "system", "s"), (1, "orphan", "tool", None), (1, "orphan", None, "n"), (2, "orphan", "system", "s")]
+    assert [(r.call_id, r.status) for r in got if r.call_id] == [("1:1", "linked")]
