@@ -256,23 +256,51 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 def communities(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, label): label propagation until nothing changes. In each round a node takes the label with the largest total
     weight among its neighbours, the smallest one among equals. Each round is checkpointed, so plans stay short and
-    lost executors cost no earlier round. Labels that still move after ``rounds`` are an error, not a result.
+    lost executors cost no earlier round. Such rounds end with fixed labels or with two that alternate, as on an
+    isolated pair; then each node takes the smaller of its two and :func:`_settled` goes on. Labels that still
+    move after ``rounds`` are an error, not a result.
     """
     shared_dir(edges.sparkSession)
     links = both_ways(edges).checkpoint()
     labels = links.select("node").distinct().withColumn("label", F.col("node")).checkpoint()
+    older = labels
     for _ in range(rounds):
         votes = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
         chosen = votes.groupBy("node").agg(F.max_by("label", F.struct(F.col("w"), -F.col("label"))).alias("label")).checkpoint()
-        changed = chosen.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old")
-        labels, stable = chosen, changed.isEmpty()
-        if stable:
-            return labels
+        before = labels.withColumnRenamed("label", "old").join(older.withColumnRenamed("label", "older"), "node")
+        moved = chosen.join(before, "node").agg(F.count_if(F.col("label") != F.col("old")).alias("now"), F.count_if(F.col("label") != F.col("older")).alias("then")).first()
+        if not moved["now"]:
+            return chosen
+        if not moved["then"]:
+            both = chosen.join(labels.withColumnRenamed("label", "old"), "node")
+            return _settled(links, both.select("node", F.least("label", "old").alias("label")).checkpoint())
+        labels, older = chosen, labels
     if labels.isEmpty():
         return labels
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
+def _settled(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels that no node would gain by leaving. A node moves to the label with the largest total weight among its neighbours
+    if that outweighs its own label there, and if no neighbour gains more (the smaller node among equals). As no two
+    neighbours move at once, the weight within labels grows each round, so the rounds end.
+    """
+    while True:
+        votes = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        votes = votes.join(labels.withColumnRenamed("label", "own"), "node")
+        best = votes.groupBy("node").agg(
+            F.max_by("label", F.struct(F.col("w"), -F.col("label"))).alias("to"),
+            (F.max("w") - F.coalesce(F.max(F.when(F.col("label") == F.col("own"), F.col("w"))), F.lit(0))).alias("gain"),
+        )
+        moves = best.filter("gain > 0").checkpoint()
+        if moves.isEmpty():
+            return labels
+        rank = F.struct(F.col("gain"), -F.col("node"))
+        near = links.join(moves.select(F.col("node").alias("other"), F.struct(F.col("gain"), -F.col("node")).alias("rank")), "other")
+        first = moves.join(near.groupBy("node").agg(F.max("rank").alias("rank")), "node", "left").filter(F.col("rank").isNull() | (rank > F.col("rank")))
+        labels = labels.join(first.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")).checkpoint()
+
+
 def role_pair_matrix(
     performance: DataFrame, people: DataFrame, role_a: str, role_b: str, min_n: int = 3, top: int = 15, keep: int = 100
 ) -> DataFrame:

@@ -149,6 +149,28 @@ def test_communities_and_degree(spark):
     assert degree[3] == pytest.approx(3 / 5) and degree[1] == pytest.approx(2 / 5)
 
 
+def test_communities_with_an_isolated_pair(spark):
+    triangles = [(1, 2, 3), (2, 3, 3), (1, 3, 3), (4, 5, 2), (5, 6, 2), (4, 6, 2), (3, 4, 1)]
+    star = [(20, n, 2) for n in (21, 22, 23)]
+    edges = spark.createDataFrame([*triangles, (10, 11, 5), *star], "a int, b int, weight int")
+    labels = {r["node"]: r["label"] for r in an.communities(edges, 20).collect()}
+    found = {frozenset(n for n in labels if labels[n] == label) for label in labels.values()}
+    assert found == {frozenset(c) for c in ((1, 2, 3), (4, 5, 6), (10, 11), (20, 21, 22, 23))}
+
+
+def test_communities_settle_on_alternating_graphs(spark):
+    square = [(1, 2, 5), (2, 3, 1), (3, 4, 5), (4, 1, 1), (4, 5, 5), (5, 6, 1), (6, 7, 7), (7, 8, 2), (8, 5, 2)]
+    edges = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in square], "a int, b int, weight int")
+    labels = {r["node"]: r["label"] for r in an.communities(edges, 40).collect()}
+    for node in labels:
+        votes = {}
+        for a, b, w in square:
+            if node in (a, b):
+                other = labels[a + b - node]
+                votes[other] = votes.get(other, 0) + w
+        assert votes.get(labels[node], 0) == max(votes.values())
+
+
 def test_quality_edges(spark):
     empty = spark.createDataFrame([], "v int, ingested_at timestamp_ntz")
     now = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
