@@ -19,6 +19,7 @@ from marquee.functions.scalars import clamp
 from marquee.operators.evaluate import reg_metrics
 from marquee.operators.features import user_profiles
 from marquee.operators.paging import union_all
+from marquee.sources.files import collect_bounded
 from marquee.sources.sampling import key_sample
 
 PIVOTS = 64
@@ -115,6 +116,11 @@ def expanding_folds(df: DataFrame, year: str, years: Sequence[int]) -> Iterator[
         yield df.filter(F.col(year) < y), df.filter(F.col(year) == y)
 
 
+def validation_years(df: DataFrame, year: str) -> list[int]:
+    """Every year with earlier rows."""
+    return sorted(collect_bounded(df.select(year).where(F.col(year).isNotNull()).distinct(), 1000)[year].tolist())[1:]
+
+
 def fit_als(train: DataFrame, rank: int = 50, iterations: int = 20, user: str = "user_idx", item: str = "item_idx") -> Model:
     """Matrix factorisation. Unknown users and items score NaN; see :func:`als_scores`."""
     ints = train.select(F.col(user).cast("int"), F.col(item).cast("int"), F.col("rating").cast("float"))

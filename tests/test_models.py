@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from marquee.operators import evaluate as ev
@@ -9,6 +10,7 @@ from marquee.operators import features as ft
 from marquee.operators import models as md
 from marquee.operators import quality as dq
 from marquee.plans import analytics as an
+from marquee.suite import models
 
 
 def test_split_boundaries(spark):
@@ -171,6 +173,15 @@ def test_communities_settle_on_alternating_graphs(spark):
         assert votes.get(labels[node], 0) == max(votes.values())
 
 
+def test_expanding_folds_cover_every_year_with_earlier_rows(spark):
+    rows = [(year, [float(i), float(year % 2)], float(i % 5)) for year in (1999, 2001, 2002, 2010) for i in range(12)]
+    df = spark.createDataFrame([*rows, (None, [1.0, 1.0], 1.0)], "start_year int, f array<double>, y double")
+    data = df.select("start_year", array_to_vector("f").alias("features"), "y")
+    got = models.fold_errors(data).collect()
+    assert sorted(r["model"] for r in got) == ["2001", "2002", "2010"] and all(r["rmse"] >= 0 for r in got)
+    assert models.fold_errors(data.filter("start_year = 1999")).count() == 0
+
+
 def test_quality_edges(spark):
     empty = spark.createDataFrame([], "v int, ingested_at timestamp_ntz")
     now = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
