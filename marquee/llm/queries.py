@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, decontaminate, html_text, near_dup, pii, quality, sharding, token_counts, tool_calls, url_filter
+from marquee.llm import bpe, decontaminate, html_text, near_dup, pii, quality, secret_scan, sharding, token_counts, tool_calls, url_filter
 from marquee.llm.common import table
 
 SHARDS = 40
@@ -14,6 +14,11 @@ TOKEN_FILE = "byte_bpe_50k.json"
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
+def _count_kind(spans: Column, kind: int | str) -> Column:
+    """Spans of one kind. The function given to ``filter`` takes the element alone; a second argument would be its index."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(*tool_calls.exchanges(table(spark, sf_dir, "conversations")), repeats=True)
 
@@ -69,9 +74,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [_count_kind(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_tool_calls, op2_sharding, op3_quality, op4_token_counts, op5_html_text, op6_url_filter, op7_decontamination, op8_pii, op9_bpe,
-    op10_near_duplicates,
+    op10_near_duplicates, op13_secret_scan,
 )}
 
 ORACLES: dict[str, str] = {}
