@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, decontaminate, html_text, near_dup, pii, quality, secret_scan, sharding, token_counts, tool_calls, url_filter
+from marquee.llm import bpe, decontaminate, html_text, near_dup, pii, quality, secret_scan, sharding, token_align, token_counts, tool_calls, url_filter
 from marquee.llm.common import table
 
 SHARDS = 40
 TOKEN_FILE = "byte_bpe_50k.json"
 RANK_FILE = "byte_bpe_50k.tiktoken"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def _count_kind(spans: Column, kind: int | str) -> Column:
@@ -74,6 +75,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKEN_FILE), public_tokenizers.path(PIECE_FILE))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -83,7 +88,7 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_tool_calls, op2_sharding, op3_quality, op4_token_counts, op5_html_text, op6_url_filter, op7_decontamination, op8_pii, op9_bpe,
-    op10_near_duplicates, op13_secret_scan,
+    op10_near_duplicates, op12_token_alignment, op13_secret_scan,
 )}
 
 ORACLES: dict[str, str] = {}
