@@ -38,9 +38,12 @@ from marquee.llm.common import map_texts, slices, worker_cache, written
 from marquee.llm.token_counts import balanced
 
 MISSING = object()
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 REMEMBERED_CHARS = 64
-CHUNK_BYTES = 1 << 12
+# A segment, and the pieces encoded and aligned at one time; a chunk is joined to one text for the tokenizers.
+SEGMENT_BYTES = 3 << 20
+BATCH_BYTES = 1 << 17
+CHUNK = 512
 # Pairs of a group that are listed one by one; beyond that they are counted.
 FEW_LINKS = 64
 PIECE = re.compile(r" \s*+\S++(?:[^\S ]\s*+\S++)*+")
@@ -65,14 +68,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class Group:
-    """The alignment of one piece: counts, its groups as text, and its links as a list of pairs and, from large groups, times
-    per pair."""
+    """The alignment of one piece: counts, its groups as text, its links as packed pairs and, from large groups, as times per pair."""
 
     __slots__ = ("n_a", "n_b", "n_groups", "n_links", "text", "links", "more")
 
-    def __init__(self, n_a: int, n_b: int, n_groups: int, text: str, links: list[int], more: dict[int, int] | None):
+    def __init__(self, n_a: int, n_b: int, n_groups: int, text: str, links: bytes, more: dict[int, int] | None):
         self.n_a, self.n_b, self.n_groups, self.text, self.links, self.more = n_a, n_b, n_groups, text, links, more
-        self.n_links = len(links) + (sum(more.values()) if more else 0)
+        self.n_links = len(links) // 8 + (sum(more.values()) if more else 0)
 
 
 class Aligner:
@@ -92,6 +94,7 @@ class Aligner:
         self.sizes_a = np.zeros(max(self.bytes_a, default=0) + 1, np.int64)
         self.sizes_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
         self.sizes_b = np.array(list(map(len, self.bytes_b)), np.int64)
+        self.names = list(map(str, range(max(len(self.sizes_a), len(self.sizes_b)))))
         self.known: dict[str, Group | None] = {}
         self.older: dict[str, Group | None] = {}
 
@@ -125,9 +128,9 @@ class Aligner:
     def encode(self, wholes: list[str]) -> dict[str, Group | None]:
         """Distinct pieces in chunks; one with white space at its end can't be followed by another."""
         made: dict[str, Group | None] = {}
-        for batch in balanced(wholes):
+        for batch in balanced(wholes, BATCH_BYTES):
             plain = [p for p in batch if not p[-1].isspace()]
-            made.update(self._encode([*balanced(plain, CHUNK_BYTES), *[[p] for p in batch if p[-1].isspace()]]))
+            made.update(self._encode([*[plain[i : i + CHUNK] for i in range(0, len(plain), CHUNK)], *[[p] for p in batch if p[-1].isspace()]]))
         return made
 
     def _groups(self, sizes: list[int], ids_a: list[int], ids_b: list[int]) -> list[Group]:
@@ -137,8 +140,11 @@ class Aligner:
         ends_b = dict(zip(np.cumsum(self.sizes_b[flat_b]).tolist(), range(1, len(ids_b) + 1)))
         common = sorted(ends_a.keys() & ends_b.keys())
         cuts_a, cuts_b = [0, *map(ends_a.__getitem__, common)], [0, *map(ends_b.__getitem__, common)]
-        names_a, names_b, join = list(map(str, ids_a)), list(map(str, ids_b)), ",".join
-        texts = [f"{join(names_a[i:j])}|{join(names_b[k:l])}" for i, j, k, l in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
+        names_a, names_b, join = list(map(self.names.__getitem__, ids_a)), list(map(self.names.__getitem__, ids_b)), ",".join
+        texts = [
+            f"{names_a[i] if j - i == 1 else join(names_a[i:j])}|{names_b[k] if l - k == 1 else join(names_b[k:l])}"
+            for i, j, k, l in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])
+        ]
         # Every token of a group with every other: the k-th link of a group takes its row and column from k.
         at_a, at_b = np.array(cuts_a), np.array(cuts_b)
         n_a, n_b = np.diff(at_a), np.diff(at_b)
@@ -146,11 +152,11 @@ class Aligner:
         offsets = np.concatenate([[0], np.cumsum(n_links)])
         which = np.repeat(np.arange(len(n_links)), n_links)
         k = np.arange(offsets[-1]) - offsets[which]
-        links = (flat_a[at_a[which] + k // n_b[which]] << 32 | flat_b[at_b[which] + k % n_b[which]]).tolist()
+        links = (flat_a[at_a[which] + k // n_b[which]] << 32 | flat_b[at_b[which] + k % n_b[which]]).astype("<i8").tobytes()
         large = {g: self._times(ids_a[cuts_a[g] : cuts_a[g + 1]], ids_b[cuts_b[g] : cuts_b[g + 1]]) for g in np.flatnonzero(n_links == 0).tolist()}
         edges = np.searchsorted(np.array(common, np.int64), np.cumsum(np.array(sizes, np.int64)), "right")
         out, first, a, b, l = [], 0, 0, 0, 0
-        for last, next_a, next_b, next_l in zip(edges.tolist(), at_a[edges].tolist(), at_b[edges].tolist(), offsets[edges].tolist()):
+        for last, next_a, next_b, next_l in zip(edges.tolist(), at_a[edges].tolist(), at_b[edges].tolist(), (8 * offsets[edges]).tolist()):
             more = (sum((large[g] for g in range(first, last) if g in large), Counter()) or None) if large else None
             out.append(Group(next_a - a, next_b - b, last - first, ";".join(texts[first:last]), links[l:next_l], more))
             first, a, b, l = last, next_a, next_b, next_l
@@ -200,6 +206,16 @@ class Aligner:
         self.known, self.older = {}, {}
 
 
+def held_pairs(groups: list[Group]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a document, sorted, and how often it holds each."""
+    pairs, times = np.unique(np.frombuffer(b"".join([g.links for g in groups]), "<i8"), return_counts=True)
+    large = sum((g.more for g in groups if g.more), Counter())
+    if large:
+        every = Counter(dict(zip(pairs.tolist(), times.tolist()))) + large
+        pairs, times = (np.fromiter(values, np.int64, len(every)) for values in (every.keys(), every.values()))
+    return pairs, times
+
+
 def aligner(path_a: str, path_b: str) -> Aligner:
     return worker_cache(f"align:{path_a}:{path_b}", lambda: Aligner(path_a, path_b))
 
@@ -238,16 +254,13 @@ def segments(docs: DataFrame, path_a: str, path_b: str, keys: Sequence[str], tex
 
         work, number = aligner(path_a, path_b), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for start, end in slices(batch.column(len(keys))):
+            for start, end in slices(batch.column(len(keys)), SEGMENT_BYTES):
                 part = batch.slice(start, end - start)
                 rows, codes, times = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for groups in work.align(part.column(len(keys)).to_pylist()):
-                    held = Counter(chain.from_iterable([g.links for g in groups]))
-                    for group in groups:
-                        if group.more:
-                            held.update(group.more)
-                    codes.append(np.fromiter(held.keys(), np.int64, len(held)))
-                    times.append(np.fromiter(held.values(), np.int64, len(held)))
+                    held, n = held_pairs(groups)
+                    codes.append(held)
+                    times.append(n)
                     digest = hashlib.sha256(";".join(g.text for g in groups).encode()).hexdigest() if groups else ""
                     rows.append([*[sum(getattr(g, m) for g in groups) for m in MEASURES], digest, len(held)])
                 pairs, places, n_docs = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
