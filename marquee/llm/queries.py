@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, decontaminate, html_text, near_dup, pii, quality, secret_scan, sharding, token_align, token_counts, tool_calls, url_filter
+from marquee.llm import bpe, conversation_repair, decontaminate, html_text, near_dup, pii, quality, secret_scan, sharding, token_align, token_counts, tool_calls, url_filter
 from marquee.llm.common import table
 
 SHARDS = 40
@@ -75,6 +75,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKEN_FILE), public_tokenizers.path(PIECE_FILE))
 
@@ -88,7 +92,7 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_tool_calls, op2_sharding, op3_quality, op4_token_counts, op5_html_text, op6_url_filter, op7_decontamination, op8_pii, op9_bpe,
-    op10_near_duplicates, op12_token_alignment, op13_secret_scan,
+    op10_near_duplicates, op11_conversation_repair, op12_token_alignment, op13_secret_scan,
 )}
 
 ORACLES: dict[str, str] = {}
@@ -162,3 +166,43 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+# CRC-32 by its table; then the least (cost, audit, text) of each state, row by row. State 0: nothing, 1: after system,
+# 2: after user, 3: after assistant.
+ORACLES["op11_conversation_repair"] = r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([v] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS t FROM range(256) r(v)),
+m AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT m.*, xor(list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT FOR x IN string_split(k, '')], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM m, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+      CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, range(2) c(i) WHERE kind <> 0 AND (i = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS c, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+g AS (SELECT *, CASE WHEN z = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault FROM f),
+e AS (SELECT *, fault IN ('blank', 'duplicate') AS go, (fault = 'truncated')::BIGINT AS cut FROM g),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+      count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+      count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY conv_id),
+p(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, 0::BIGINT, {'c': 0::BIGINT, 'a': '', 'r': ''}, {'c': 1000000000::BIGINT, 'a': '', 'r': ''}, {'c': 1000000000::BIGINT, 'a': '', 'r': ''},
+         {'c': 1000000000::BIGINT, 'a': '', 'r': ''} FROM n
+  UNION ALL
+  SELECT conv_id, i, {'c': s0.c + 3, 'a': s0.a || 'D', 'r': s0.r},
+    list_min([{'c': s1.c + 3, 'a': s1.a || 'D', 'r': s1.r}, CASE WHEN c = 's' AND NOT go THEN {'c': s0.c + cut, 'a': s0.a || 'K', 'r': s0.r || line} END]),
+    list_min([{'c': t2.c + 3, 'a': t2.a || 'D', 'r': t2.r}]
+      || [CASE WHEN c = 'u' AND NOT go THEN {'c': x.c + cut, 'a': x.a || 'K', 'r': x.r || line} END FOR x IN [s0, s1, t3]]
+      || [CASE WHEN NOT go THEN {'c': x.c + 2 + cut, 'a': x.a || 'R', 'r': x.r || 'user:' || text || chr(10)} END FOR x IN [s0, s1, t3]]),
+    list_min([{'c': t3.c + 3, 'a': t3.a || 'D', 'r': t3.r}, CASE WHEN c = 'a' AND NOT go THEN {'c': t2.c + cut, 'a': t2.a || 'K', 'r': t2.r || line} END,
+      CASE WHEN NOT go THEN {'c': t2.c + 2 + cut, 'a': t2.a || 'R', 'r': t2.r || 'assistant:' || text || chr(10)} END])
+  FROM (SELECT *, list_min([s3, {'c': t2.c + 2, 'a': t2.a || 'I', 'r': t2.r || 'assistant:' || chr(10)}]) AS t3
+        FROM (SELECT p.*, e.i AS j, e.c, e.go, e.cut, e.text, e.role || ':' || e.text || chr(10) AS line,
+              list_min([s2] || [{'c': x.c + 2, 'a': x.a || 'I', 'r': x.r || 'user:' || chr(10)} FOR x IN [s0, s1, s3]]) AS t2
+              FROM (SELECT conv_id, i + 1 AS i, s0, s1, s2, s3 FROM p) p JOIN e ON p.conv_id IS NOT DISTINCT FROM e.conv_id AND p.i = e.i))),
+w AS (SELECT n.*, list_min([s0, s3, {'c': s2.c + 2, 'a': s2.a || 'I', 'r': s2.r || 'assistant:' || chr(10)},
+      {'c': s1.c + 4, 'a': s1.a || 'II', 'r': s1.r || 'user:' || chr(10) || 'assistant:' || chr(10)}]) AS b
+      FROM p JOIN n ON p.conv_id IS NOT DISTINCT FROM n.conv_id AND p.i = n.n),
+u AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT u.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(left(b.r, greatest(length(b.r) - 1, 0)), '')) AS repaired_sha256
+FROM u LEFT JOIN w ON u.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
