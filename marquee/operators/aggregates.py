@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.scalars import as_col
+from marquee.operators.ordering import exact_quantiles
 
 SMOOTHING = 1e-10
 
@@ -57,10 +58,10 @@ def arg_max(df: DataFrame, keys: Sequence[str], value: str, by: Column | str, na
 
 
 def trim_quantiles(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
-    """Rows between two quantiles of a column with a small domain (minutes, years, ratings)."""
-    bounds = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("b"))
-    edged = df.withColumn("_b", bounds.scalar())
-    return edged.filter(F.col(column).between(F.col("_b")[0], F.col("_b")[1])).drop("_b")
+    """Rows between two quantiles of a column, found without gathering its values."""
+    found = exact_quantiles(df, column, [low, high])
+    edged = df.withColumns({"_low": found.select("q0").scalar(), "_high": found.select("q1").scalar()})
+    return edged.filter(F.col(column).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
 def pivot_matrix(df: DataFrame, row: str, col: str, value: Column, columns: Sequence, fill=0) -> DataFrame:

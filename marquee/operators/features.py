@@ -147,27 +147,6 @@ def temporal_split(year: Column | str, train_until: int = TRAIN_UNTIL, val_until
     return F.when(year <= train_until, "train").when(year <= val_until, "val").when(year > val_until, "test")
 
 
-def preprocessor(numeric: Sequence[str], categorical: Sequence[str], out: str = "features"):
-    """Unfitted pipeline: median fill and standardise numbers, one-hot categories; fit it on the train split."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-
-    filled = [f"{c}_filled" for c in numeric]
-    indexed, coded = [f"{c}_index" for c in categorical], [f"{c}_coded" for c in categorical]
-    stages = [
-        Imputer(inputCols=list(numeric), outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=filled, outputCol="numbers"),
-        StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True),
-    ]
-    if categorical:
-        stages += [
-            StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=indexed, outputCols=coded, handleInvalid="keep"),
-        ]
-    stages.append(VectorAssembler(inputCols=["scaled", *coded], outputCol=out))
-    return Pipeline(stages=stages)
-
-
 def safe_minmax(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None, suffix: str = "_scaled") -> DataFrame:
     """Min-max scaling by the bounds of the fitting rows (all rows by default); a zero range divides by one."""
     source = df if fit_on is None else df.filter(fit_on)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,13 @@ from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from marquee.functions.scalars import clamp
 from marquee.operators.evaluate import reg_metrics
 from marquee.operators.features import user_profiles
 from marquee.operators.paging import union_all
+from marquee.operators.prepare import Columns, fit_preprocessor, prepare
 from marquee.sources.files import collect_bounded
 from marquee.sources.sampling import key_sample
 
@@ -84,12 +87,21 @@ def score_labels(df: DataFrame, models: Mapping[str, Model], key: str, items: st
     return scored.select(key, F.explode(entries).alias("_e")).select(key, "_e.*")
 
 
+def ridge(train: DataFrame, alphas: Sequence[float], y: str) -> list[Model]:
+    """A linear model per alpha, a penalty on the squared coefficients beside the sum of squared errors.
+
+    Columns are taken as they are; standardise them before. The library's penalty stands beside the mean of squared errors
+    and is divided by the label's deviation, so both are put back in.
+    """
+    size = train.agg(F.count(y).alias("n"), F.stddev_pop(y).alias("sd")).first()
+    scale = (size["sd"] or 1.0) / max(size["n"], 1)
+    learner = LinearRegression(featuresCol="features", labelCol=y, elasticNetParam=0.0, standardization=False, solver="normal")
+    return [learner.setRegParam(alpha * scale).fit(train) for alpha in alphas]
+
+
 def fit_ridge(train: DataFrame, val: DataFrame, y: str, alphas: Sequence[float] = (0.01, 0.1, 1.0, 10.0)) -> tuple[Model, float]:
     """(model, alpha) with the lowest validation error. The caller caches both inputs."""
-    fits = []
-    for alpha in alphas:
-        model = LinearRegression(featuresCol="features", labelCol=y, regParam=alpha, elasticNetParam=0.0).fit(train)
-        fits.append((rmse(model.transform(val), y, "prediction"), alpha, model))
+    fits = [(rmse(model.transform(val), y, "prediction"), alpha, model) for alpha, model in zip(alphas, ridge(train, alphas, y))]
     _, alpha, model = min(fits, key=lambda f: f[:2])
     return model, alpha
 
@@ -110,17 +122,36 @@ def fit_gbt(
     return model, settings
 
 
-def expanding_folds(df: DataFrame, year: str, years: Sequence[int]) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """(earlier years, that year) for each validation year."""
-    for y in years:
-        yield df.filter(F.col(year) < y), df.filter(F.col(year) == y)
-
-
 def validation_years(df: DataFrame, year: str) -> list[int]:
     """Every year with earlier rows."""
     return sorted(collect_bounded(df.select(year).where(F.col(year).isNotNull()).distinct(), 1000)[year].tolist())[1:]
 
 
+def nested_folds(
+    df: DataFrame, year: str, y: str, grid: Sequence[Mapping[str, float]] = ({"maxDepth": 3}, {"maxDepth": 5}), rounds: int = 300, threads: int = 4,
+) -> list[tuple[int, DataFrame, Mapping[str, float]]]:
+    """(year, its rows with predictions, settings) for every year with earlier rows.
+
+    Settings and the number of trees are chosen on the latest earlier year, by models of the years before that; the model
+    that scores is then fitted on all earlier years. The scored year takes no part in either. Without a year to choose on,
+    the first settings and ``rounds`` trees are taken. Years are fitted side by side by at most ``threads`` driver threads, which
+    only submit jobs. The caller caches ``df``.
+    """
+    years = validation_years(df, year)
+
+    def fold(at: int) -> tuple[int, DataFrame, Mapping[str, float]]:
+        earlier, own = df.filter(F.col(year) < years[at]), df.filter(F.col(year) == years[at])
+        settings, trees = dict(grid[0]), rounds
+        if at:
+            chosen, settings = fit_gbt(df.filter(F.col(year) < years[at - 1]), df.filter(F.col(year) == years[at - 1]), y, grid, rounds)
+            trees = chosen.getNumTrees
+        model = GBTRegressor(featuresCol="features", labelCol=y, maxIter=trees, seed=42, **settings).fit(earlier)
+        return years[at], model.transform(own), {**settings, "trees": trees}
+
+    with ThreadPool(threads) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(fold), range(len(years)), chunksize=1)
+
+
 def fit_als(train: DataFrame, rank: int = 50, iterations: int = 20, user: str = "user_idx", item: str = "item_idx") -> Model:
     """Matrix factorisation. Unknown users and items score NaN; see :func:`als_scores`."""
     ints = train.select(F.col(user).cast("int"), F.col(item).cast("int"), F.col("rating").cast("float"))
@@ -186,15 +217,14 @@ def stack_models(
 
 
 def ablation(
-    train: DataFrame, test: DataFrame, groups: Mapping[str, Sequence[str]], fit: Callable[[DataFrame], Model], y: str
+    train: DataFrame, test: DataFrame, columns: Columns, groups: Mapping[str, Sequence[str]], fit: Callable[[DataFrame], Model], y: str
 ) -> DataFrame:
-    """(variant, rmse): all feature groups, then each group left out."""
-    everything = [c for columns in groups.values() for c in columns]
-    variants = {"all": everything} | {f"without_{g}": [c for c in everything if c not in columns] for g, columns in groups.items()}
+    """(variant, rmse): all columns, then each group left out; every variant has its own preprocessor."""
+    variants = {"all": columns} | {f"without_{g}": columns.without(names) for g, names in groups.items()}
     parts = []
-    for name, columns in variants.items():
-        assembler = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
-        scored = fit(assembler.transform(train)).transform(assembler.transform(test))
+    for name, kept in variants.items():
+        prepared = fit_preprocessor(train, kept)
+        scored = fit(prepare(prepared, train)).transform(prepare(prepared, test))
         parts.append(reg_metrics(scored, y, "prediction").select(F.lit(name).alias("variant"), "rmse"))
     return union_all(parts)
 

@@ -159,37 +159,108 @@ def dense_index(df: DataFrame, column: str, name: str, count: str = "count") ->
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+# Distinct values up to which a group is sorted in one task; beyond it positions are found digit by digit.
+SORTED_VALUES = 1 << 20
+DIGITS = (42, 21, 0)  # what is left of a 64-bit key after each digit
+
+
+def order_key(column: Column, integral: bool) -> Column:
+    """A 64-bit number that orders like the column: itself, or the IEEE bits of a double with the sign as sign. NaN comes last."""
+    if integral:
+        return column.cast("long")
+    value = column.cast("double")
+    size = F.abs(value)
+    near = F.floor(F.log2(size))  # may be one off
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))  # exact for whole exponents
+    exponent = near + F.when(power(near) > size, -1).when(size >= 2 * power(near), 1).otherwise(0)
+    normal = (exponent + 1023) * (1 << 52) + ((size / power(exponent) - 1) * float(1 << 52)).cast("long")
+    bits = (
+        F.when(size == 0, F.lit(0)).when(size < 2.0**-1022, (size / 5e-324).cast("long")).when(size == float("inf"), F.lit(2047 << 52)).otherwise(normal)
+    )
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -bits).otherwise(bits)
+
+
+def _edges(pos: Column) -> list[Column]:
+    return [F.floor(pos), F.ceil(pos)]
+
+
+def _interpolated(low: Column, high: Column, pos: Column) -> Column:
+    return low + (high - low) * (pos - F.floor(pos))
+
+
+def _sorted_quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Quantiles of groups that fit a task: one running sum of the counts."""
+    group = Window.partitionBy("_g")
+    upto = F.sum("_c").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_hi", upto).withColumn("n", F.sum("_c").over(group))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place < F.col("_hi")) & (place >= F.col("_hi") - F.col("_c")), F.col("_v").cast("double")))
+
+    positions = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    found = placed.groupBy("_g", "n").agg(*[at(edge).alias(f"_{side}{i}") for i, pos in enumerate(positions) for side, edge in zip("ab", _edges(pos))])
+    values = [_interpolated(F.col(f"_a{i}"), F.col(f"_b{i}"), pos).alias(f"q{i}") for i, pos in enumerate(positions)]
+    return found.select("_g", "n", *values)
+
+
+def _selected_quantiles(counts: DataFrame, probs: Sequence[float], integral: bool) -> DataFrame:
+    """Quantiles of any group, digit by digit of the order key.
+
+    A round counts rows per next digit, at most two million per group and wanted position, and goes on inside the digit that
+    holds the position. Counting combines before the shuffle, so a hot group is no burden to one task, and no row meets
+    more than the few digits still wanted.
+    """
+    keyed = counts.withColumn("_k", order_key(F.col("_v"), integral))
+    wanted, before = None, None
+    for left in DIGITS:
+        part, here = keyed, ["_g"]
+        if wanted is not None:
+            part, here = keyed.withColumn("_in", F.shiftright("_k", before)).join(wanted, ["_g", "_in"]), ["_g", "_in"]
+        kept = [] if wanted is None else [F.any_value("n").alias("n"), F.any_value("_places").alias("_places")]
+        digit = F.shiftright("_k", left).alias("_digit")
+        sums = part.groupBy(*here, digit).agg(F.sum("_c").alias("_c"), F.max("_v").alias("_v"), *kept)
+        group = Window.partitionBy(*here)
+        upto = F.sum("_c").over(group.orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0))
+        sums = sums.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_c"))
+        if wanted is None:
+            sums = sums.withColumn("n", F.sum("_c").over(group))
+            places = [e.cast("long") for p in probs for e in _edges(F.lit(float(p)) * (F.col("n") - 1))]
+            sums = sums.withColumn("_places", F.array(*[F.struct(F.lit(i).alias("i"), place.alias("at")) for i, place in enumerate(places)]))
+        # Places inside this digit, counted from its first row.
+        inside = F.filter("_places", lambda x: (x["at"] >= F.col("_lo")) & (x["at"] < F.col("_hi")))
+        inside = F.transform(inside, lambda x: F.struct(x["i"].alias("i"), (x["at"] - F.col("_lo")).alias("at")))
+        wanted = sums.withColumn("_places", inside).filter(F.size("_places") > 0).select("_g", "n", F.col("_digit").alias("_in"), "_places", "_v")
+        before = left
+        if left:
+            wanted = wanted.drop("_v")
+    ends = wanted.select("_g", "n", "_v", F.explode("_places.i").alias("_i"))
+    value = lambda i: F.max(F.when(F.col("_i") == i, F.col("_v").cast("double")))
+    found = ends.groupBy("_g", "n").agg(*[value(2 * i + side).alias(f"_{'ab'[side]}{i}") for i in range(len(probs)) for side in (0, 1)])
+    positions = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    values = [_interpolated(F.col(f"_a{i}"), F.col(f"_b{i}"), pos).alias(f"q{i}") for i, pos in enumerate(positions)]
+    return found.select("_g", "n", *values)
+
+
+def exact_quantiles(
+    df: DataFrame, column: str, probs: Sequence[float], keys: Sequence[str] = (), sorted_values: int = SORTED_VALUES, different: int | None = None,
+) -> DataFrame:
     """Exact quantiles with linear interpolation, as columns ``n, q0, q1, ...`` per group; null keys form groups too.
 
-    ``percentile`` would hold every distinct value of a group in one task. Here equal values are counted first, groups
-    are cut into slices along the values, the sizes of the slices tell where each wanted position lies, and only
-    those slices are sorted, each on its own.
+    ``percentile`` would hold every distinct value of a group in one task. Here equal values are counted first. Groups with
+    at most ``sorted_values`` different ones are sorted; larger ones, which are few, never meet in a task. ``different`` is a
+    known upper bound of the different values of a group; without it they are counted first. Nulls are left out; NaN is
+    larger than all numbers.
     """
-    keys, n = list(keys), slices(df.sparkSession)
+    keys, integral = list(keys), df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
     group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))  # a struct of nulls equals itself in joins
-    on = ["_g"] if keys else []
     counts = df.filter(F.col(column).isNotNull()).select(group.alias("_g"), F.col(column).alias("_v")).groupBy("_g", "_v").agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_o", F.struct("_v"))
-    sliced = _with_slice(_join_group(counts, _cut_points(counts, on, n), on), n)
-    sizes = sliced.groupBy("_g", "_slice").agg(F.sum("_c").alias("_n"))
-    # A row per slice of a group from here, until the wanted slices are read.
-    upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_slice"))
-    total = F.sum("_n").over(Window.partitionBy("_g"))
-    offsets = sizes.select("_g", "_slice", upto.alias("_upto"), (upto - F.col("_n")).alias("_before"), total.alias("_total"))
-    places = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos")) for i, p in enumerate(probs)]))
-    inside = lambda at: (at >= F.col("_before")) & (at < F.col("_upto"))
-    wanted = offsets.withColumn("_p", places).filter(inside(F.floor("_p.pos")) | inside(F.ceil("_p.pos")))
-    wanted = wanted.groupBy("_g", "_slice", "_before", "_total").agg(F.collect_list("_p").alias("_places"))  # one per probability at most
-    running = Window.partitionBy("_g", "_slice").orderBy("_v")
-    placed = sliced.select("_g", "_slice", "_v", "_c").join(wanted, ["_g", "_slice"])
-    placed = placed.withColumn("_hi", F.col("_before") + F.sum("_c").over(running)).withColumn("_p", F.explode("_places"))
-
-    def value_at(edge: Column) -> Column:
-        here = (edge < F.col("_hi")) & (edge >= F.col("_hi") - F.col("_c"))
-        return F.max(F.when(here, F.col("_v").cast("double")))
-
-    found = placed.groupBy("_g", "_total", "_p").agg(value_at(F.floor("_p.pos")).alias("_a"), value_at(F.ceil("_p.pos")).alias("_b"))
-    found = found.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_p.pos") - F.floor("_p.pos")))
-    picks = [F.max(F.when(F.col("_p.i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))]
-    return found.groupBy("_g", F.col("_total").alias("n")).agg(*picks).select(*[F.col(f"_g.{k}").alias(k) for k in keys], "n", *[f"q{i}" for i in range(len(probs))])
+    sizes = counts.groupBy("_g").agg(F.count("*").alias("_different"))
+    if different is None:
+        different = sizes.agg(F.max("_different")).first()[0] or 0
+    if different <= sorted_values:
+        found = _sorted_quantiles(counts, probs)
+    else:
+        large = sizes.filter(F.col("_different") > sorted_values).select("_g")
+        found = _sorted_quantiles(counts.join(large, "_g", "left_anti"), probs)
+        found = found.unionByName(_selected_quantiles(counts.join(large, "_g", "left_semi"), probs, integral))
+    return found.select(*[F.col(f"_g.{k}").alias(k) for k in keys], "n", *[f"q{i}" for i in range(len(probs))])

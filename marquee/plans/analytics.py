@@ -51,10 +51,11 @@ def genres_of(titles: DataFrame, *columns: str, source: str = "genre_list", name
 
 
 def quartiles(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Box-plot numbers of a column with a small domain (ratings, minutes)."""
-    q = F.percentile(column, F.array(*[F.lit(p) for p in QUARTILES]))
-    stats = df.groupBy(*keys).agg(q.alias("q"), F.min(column).alias("low"), F.max(column).alias("high"), rows().alias("n"))
-    return stats.select(*keys, "low", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)], "high", "n")
+    """Box-plot numbers of a column per group, nulls left out."""
+    kind = df.schema[column].dataType
+    found = exact_quantiles(df, column, [0.0, *QUARTILES, 1.0], keys)
+    ends = [F.col(c).cast(kind).alias(name) for c, name in (("q0", "low"), ("q4", "high"))]
+    return found.select(*keys, ends[0], "q1", "q2", "q3", ends[1], "n")
 
 
 # Titles and genres
@@ -439,7 +440,7 @@ def popularity_quadrants(titles: DataFrame) -> DataFrame:
     """Each voted title with its quadrant; the split points are the exact medians."""
     known = voted(titles)
     votes = exact_quantiles(known, "num_votes", [0.5]).select(F.col("q0").alias("_mid_votes"))
-    rating = known.agg(F.median("average_rating").alias("_mid_rating"))  # ratings have one decimal
+    rating = exact_quantiles(known, "average_rating", [0.5]).select(F.col("q0").alias("_mid_rating"))
     both = cross_scalar(cross_scalar(known, votes), rating)
     label = quadrant(F.col("num_votes"), F.col("average_rating"), F.col("_mid_votes"), F.col("_mid_rating"))
     return both.select("tconst", "num_votes", "average_rating", label.alias("quadrant"))

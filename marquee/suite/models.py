@@ -2,7 +2,7 @@
 
 from contextlib import contextmanager
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from marquee.operators import evaluate as ev
 from marquee.operators import features as ft
 from marquee.operators import models as md
 from marquee.operators.paging import union_all
+from marquee.operators.prepare import Columns, chain, fit_preprocessor, load, prepare, save
 from marquee.sources.files import collect_bounded
 from marquee.suite.core import query
 from marquee.suite.evaluate import RATED_SQL, rated
@@ -20,8 +21,14 @@ GROUPS = {
     "title": ["start_year", "runtime_minutes", "genre_cnt", "is_adult"],
     "crew": ["num_persons", "unique_persons", "actor_count", "director_count", "writer_count"],
     "career": ["dir_avg_career_len", "dir_avg_experience", "wri_avg_career_len", "wri_avg_experience"],
+    "category": ["title_type"],
+    "lists": ["genre_list", "region_list"],
+    "text": ["primary_title"],
 }
-COLUMNS = [c for columns in GROUPS.values() for c in columns]
+NUMERIC = [c for g in ("title", "crew", "career") for c in GROUPS[g]]
+FEATURES = Columns(numeric=NUMERIC, categorical=GROUPS["category"], lists=GROUPS["lists"], texts=GROUPS["text"])
+# The labels are the genres, so nothing made of them may be a feature.
+LABEL_FEATURES = FEATURES.without(["genre_list", "genre_cnt"])
 # The five labels of the binary models.
 BINARY_LABELS = ["Drama", "Comedy", "Action", "Thriller", "Romance"]
 
@@ -42,21 +49,27 @@ def cached(*dfs):
 
 
 def frame(s):
-    """Modelled titles: checked feature columns (missing numbers 0), rating, genres, split."""
-    columns = ft.assert_no_leakage(COLUMNS)
+    """Modelled titles: raw feature columns, rating, genres, split."""
     base = ft.base_features(s.dim_title, s.fact_performance, s.fact_episode).join(
         ft.crew_features(s.fact_performance, s.dim_title), "tconst", "left"
     )
-    filled = base.select(
-        "tconst", "start_year", F.col("average_rating").alias("y"), F.coalesce(split_list("genre_list"), F.array().cast("array<string>")).alias("genres"),
-        ft.temporal_split("start_year").alias("split"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in columns],
+    raw = base.select(
+        "tconst", F.col("average_rating").alias("y"), F.coalesce(split_list("genre_list"), F.array().cast("array<string>")).alias("genres"),
+        ft.temporal_split("start_year").alias("split"), *[F.col(c).cast("double").alias(c) for c in NUMERIC],
+        *[c for g in ("category", "lists", "text") for c in GROUPS[g]],
     )
-    return filled.filter("y IS NOT NULL")
+    return raw.filter("y IS NOT NULL")
 
 
-def assembled(df, columns=COLUMNS):
-    return VectorAssembler(inputCols=[f"x_{c}" for c in columns], outputCol="features").transform(df)
+def fitted(s, columns=FEATURES):
+    """The frame, and the preprocessor fitted on its train rows."""
+    data = frame(s)
+    return data, fit_preprocessor(data.filter("split = 'train'"), columns)
+
+
+def assembled(s, columns=FEATURES):
+    data, model = fitted(s, columns)
+    return prepare(model, data)
 
 
 def parts(df):
@@ -94,7 +107,7 @@ def labels_of(train):
 
 
 def label_report(s, balanced, labels=None):
-    with cached(assembled(frame(s))) as (data,):
+    with cached(assembled(s, LABEL_FEATURES)) as (data,):
         train, val, test = parts(data)
         models = md.fit_ovr(train, "genres", labels or labels_of(train), balanced=balanced)
         best = ev.tune_thresholds(md.score_labels(val, models, "tconst", "genres"))
@@ -114,7 +127,7 @@ def k02(s):
 
 @query("k03_ridge")
 def k03(s):
-    with cached(assembled(frame(s))) as (data,):
+    with cached(assembled(s)) as (data,):
         train, val, test = parts(data)
         model, alpha = md.fit_ridge(train, val, "y")
         return report(error(model.transform(test), "ridge").withColumn("alpha", F.lit(alpha)))
@@ -122,25 +135,21 @@ def k03(s):
 
 @query("k04_boosted_trees")
 def k04(s):
-    with cached(assembled(frame(s))) as (data,):
+    with cached(assembled(s)) as (data,):
         train, val, test = parts(data)
         model, settings = md.fit_gbt(train, val, "y")
         return report(error(model.transform(test), "boosted trees").withColumn("depth", F.lit(settings["maxDepth"])))
 
 
-def fold_errors(data):
-    """Error of the boosted trees in every year with earlier rows, fitted on those; ``model`` is the year."""
-    years = md.validation_years(data, "start_year")
-    found = []
-    for year, (train, val) in zip(years, md.expanding_folds(data, "start_year", years)):
-        model, settings = md.fit_gbt(train, val, "y")
-        found.append(report(error(model.transform(val), str(year)).withColumn("depth", F.lit(settings["maxDepth"]))))
-    return union_all(found) if found else data.sparkSession.createDataFrame([], "model string, rmse double, mae double, r2 double, depth int")
+def fold_errors(data, year="start_year"):
+    """Error of the boosted trees in every year with earlier rows; ``model`` is the year."""
+    found = [error(scored, str(at)).withColumns({"depth": F.lit(x["maxDepth"]), "trees": F.lit(x["trees"])}) for at, scored, x in md.nested_folds(data, year, "y")]
+    return report(union_all(found)) if found else data.sparkSession.createDataFrame([], "model string, rmse double, mae double, r2 double, depth int, trees int")
 
 
 @query("k04_expanding_folds")
 def k04_folds(s):
-    with cached(assembled(frame(s))) as (data,):
+    with cached(assembled(s)) as (data,):
         return fold_errors(data)
 
 
@@ -194,7 +203,7 @@ def k09(s):
 
 @query("k10_stacking")
 def k10(s):
-    with cached(assembled(frame(s))) as (data,):
+    with cached(assembled(s)) as (data,):
         train, val, test = parts(data)
         ridge = linear(train).setPredictionCol("ridge")
         trees, _ = md.fit_gbt(train, val, "y", grid=[{"maxDepth": 3}])
@@ -207,16 +216,16 @@ def k10(s):
 @query("k10_stacking_labels")
 def k10_labels(s):
     """Stacking of label probabilities for the five binary labels: priors by adult flag and a logistic model."""
-    with cached(assembled(frame(s))) as (data,):
+    with cached(assembled(s, LABEL_FEATURES)) as (data,):
         train, val, test = parts(data)
         models = md.fit_ovr(train, "genres", BINARY_LABELS)
         stacked = []
         for label in BINARY_LABELS:
             share = F.avg(F.array_contains("genres", label).cast("double")).alias("prior")
-            prior = train.groupBy("x_is_adult").agg(share)
+            prior = train.groupBy("is_adult").agg(share)
             base = [
                 md.score_labels(df, {label: models[label]}, "tconst", "genres").withColumnRenamed("prob", "logistic")
-                .join(df.select("tconst", "x_is_adult"), "tconst").join(prior, "x_is_adult") for df in (val, test)
+                .join(df.select("tconst", "is_adult"), "tconst").join(prior, "is_adult") for df in (val, test)
             ]
             scored = md.stack_models(*base, ["prior", "logistic"], "y", kind="logistic")
             stacked.append(scored.select("tconst", "label", "y", F.col("stacked").alias("prob")))
@@ -227,38 +236,88 @@ def k10_labels(s):
 def k11(s):
     with cached(frame(s)) as (data,):
         train, _, test = parts(data)
-        groups = {g: [f"x_{c}" for c in columns] for g, columns in GROUPS.items()}
-        return report(md.ablation(train, test, groups, linear, "y"))
+        return report(md.ablation(train, test, FEATURES, GROUPS, linear, "y"))
 
 
 @query("k12_learning_curve")
 def k12(s):
-    with cached(assembled(frame(s))) as (data,):
+    with cached(assembled(s)) as (data,):
         train, _, test = parts(data)
         return report(md.learning_curve(train, test, linear, "y", "tconst"))
 
 
+def stored(model, data):
+    """The model as it comes back from the shared folder."""
+    return load(save(data, model))
+
+
 @query("k13_score")
 def k13(s):
-    data = assembled(frame(s))
-    train, _, _ = parts(data)
-    with cached(train) as (rows,):
-        model = linear(rows)
-    return md.score(data, model).select("tconst", "split", "y", "prediction")
+    """All titles scored from raw columns by a stored pipeline."""
+    data, prepared = fitted(s)
+    with cached(prepare(prepared, data.filter("split = 'train'"))) as (train,):
+        model = linear(train)
+    return md.score(data, stored(chain(prepared, model), data)).select("tconst", "split", "y", "prediction")
+
+
+# Modelled titles with a rating, numbers filled and standardised by the train rows, as z1 (year) and z2 (runtime).
+STANDARD_SQL = """m AS (SELECT tconst, start_year, runtime_minutes, average_rating AS y FROM dim_title
+  WHERE title_type IN ('movie', 'tvSeries', 'tvMiniSeries', 'tvMovie', 'short') AND start_year IS NOT NULL AND average_rating IS NOT NULL),
+md AS (SELECT median(runtime_minutes) AS md FROM m WHERE start_year <= 2014),
+fl AS (SELECT tconst, start_year, y, start_year AS x1, coalesce(runtime_minutes, md) AS x2 FROM m, md),
+st AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS d1, avg(x2) AS m2, stddev_pop(x2) AS d2 FROM fl WHERE start_year <= 2014),
+z AS (SELECT tconst, start_year, y, (x1 - m1) / d1 AS z1, (x2 - m2) / d2 AS z2 FROM fl, st)"""
+TWO = Columns(numeric=["start_year", "runtime_minutes"])
+
+
+def two_numbers(s):
+    data = s.dim_title.filter(F.col("title_type").isin(ft.FEATURE_TYPES) & F.col("start_year").isNotNull() & F.col("average_rating").isNotNull())
+    data = data.select("tconst", "start_year", "runtime_minutes", F.col("average_rating").alias("y"), ft.temporal_split("start_year").alias("split"))
+    return data, fit_preprocessor(data.filter("split = 'train'"), TWO)
+
+
+@query("k03_ridge_closed_form", f"""
+WITH {STANDARD_SQL},
+s AS (SELECT sum(z1 * z1) AS a, sum(z1 * z2) AS b, sum(z2 * z2) AS c, sum(z1 * y) AS p, sum(z2 * y) AS q, avg(y) AS w0 FROM z WHERE start_year <= 2014),
+w AS (SELECT alpha, w0, ((c + alpha) * p - b * q) / ((a + alpha) * (c + alpha) - b * b) AS w1, ((a + alpha) * q - b * p) / ((a + alpha) * (c + alpha) - b * b) AS w2
+      FROM s, (SELECT unnest([0.01, 0.1, 1.0, 10.0, 1000.0]) AS alpha))
+SELECT CAST(alpha AS DOUBLE) AS alpha, round(w0, 6) AS intercept, round(w1, 6) AS year_weight, round(w2, 6) AS runtime_weight,
+       (SELECT round(sqrt(avg((y - w0 - w1 * z1 - w2 * z2) ** 2)), 6) FROM z WHERE start_year BETWEEN 2015 AND 2018) AS rmse FROM w""")
+def k03_closed_form(s):
+    """Two standardised numbers, every penalty of the grid."""
+    data, prepared = two_numbers(s)
+    with cached(prepare(prepared, data)) as (rows,):
+        train, val, _ = parts(rows)
+        alphas, found = (0.01, 0.1, 1.0, 10.0, 1000.0), []
+        for alpha, model in zip(alphas, md.ridge(train, alphas, "y")):
+            weights = [F.round(F.lit(float(x)), 6) for x in (model.intercept, *model.coefficients)]
+            rmse = F.round("rmse", 6).alias("rmse")
+            found.append(ev.reg_metrics(model.transform(val), "y", "prediction").select(
+                F.lit(alpha).alias("alpha"), *[w.alias(c) for w, c in zip(weights, ("intercept", "year_weight", "runtime_weight"))], rmse))
+        return report(union_all(found))
+
+
+@query("k13_score_given", f"""
+WITH {STANDARD_SQL} SELECT tconst, round(least(greatest(6.0 + 3.0 * z1 - 2.5 * z2, 1.0), 10.0), 6) AS prediction FROM z""")
+def k13_given(s):
+    """A stored pipeline with given weights; many predictions leave the rating scale."""
+    data, prepared = two_numbers(s)
+    given = SQLTransformer(statement="SELECT *, 6.0D + 3.0D * start_year_scaled - 2.5D * runtime_minutes_scaled AS prediction FROM __THIS__")
+    return md.score(data, stored(chain(prepared, given), data)).select("tconst", F.round("prediction", 6).alias("prediction"))
 
 
 @query("l13_noise_curve")
 def l13(s):
     """Error of a linear model as its inputs get noisier, against the clean error."""
-    with cached(frame(s)) as (data,):
-        train, _, test = parts(data)
-        model = linear(assembled(train))
-        columns = [f"x_{c}" for c in COLUMNS]
-        clean = error(model.transform(assembled(test)), "clean")
-        rows = [clean.withColumn("level", F.lit(0.0))]
+    data, prepared = fitted(s)
+    with cached(data) as (rows,):
+        train, _, test = parts(rows)
+        model = linear(prepare(prepared, train))
+        clean = error(model.transform(prepare(prepared, test)), "clean")
+        found = [clean.withColumn("level", F.lit(0.0))]
         for level in (0.05, 0.1, 0.2):
-            noisy = ft.add_noise(test, columns, level, seed=42)
-            rows.append(error(model.transform(assembled(noisy)), "noisy").withColumn("level", F.lit(level)))
-        whole = report(union_all(rows))
+            noisy = ft.add_noise(test, NUMERIC, level, seed=42)
+            found.append(error(model.transform(prepare(prepared, noisy)), "noisy").withColumn("level", F.lit(level)))
+        whole = report(union_all(found))
     base = whole.filter("level = 0").agg(F.max("rmse")).scalar()
     return whole.withColumn("increase_pct", 100 * (F.col("rmse") / base - 1))

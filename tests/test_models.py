@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marquee.operators import evaluate as ev
 from marquee.operators import features as ft
 from marquee.operators import models as md
+from marquee.operators import prepare
 from marquee.operators import quality as dq
 from marquee.plans import analytics as an
 from marquee.suite import models
@@ -182,6 +183,61 @@ def test_expanding_folds_cover_every_year_with_earlier_rows(spark):
     assert models.fold_errors(data.filter("start_year = 1999")).count() == 0
 
 
+def test_the_scored_year_takes_no_part_in_its_model(spark):
+    rng = np.random.default_rng(4)
+    rows = [(year, [float(x) for x in rng.normal(size=2)], float(rng.integers(1, 10))) for year in (2000, 2001, 2002, 2003) for _ in range(30)]
+
+    def predictions(change):
+        changed = [(y, f, 10 - v if y == change else v) for y, f, v in rows]
+        df = spark.createDataFrame(changed, "start_year int, f array<double>, y double").select("start_year", array_to_vector("f").alias("features"), "y")
+        folds = md.nested_folds(df, "start_year", "y", rounds=5, threads=2)
+        return {year: (sorted(r["prediction"] for r in scored.collect()), settings) for year, scored, settings in folds}
+
+    plain, changed = predictions(None), predictions(2002)
+    assert set(plain) == {2001, 2002, 2003}
+    assert plain[2001] == changed[2001] and plain[2002] == changed[2002] and plain[2003] != changed[2003]
+
+
+def test_stored_preprocessor(spark):
+    """Median and population deviation, unseen category and list item, nulls, and the same vectors after loading."""
+    shape = "k int, x double, c string, l string, t string"
+    train = spark.createDataFrame([(1, 1.0, "a", "p, q", "one two"), (2, 3.0, "b", "q", "two"), (3, 8.0, None, None, None), (4, None, "a", "", "one")], shape)
+    model = prepare.fit_preprocessor(train, prepare.Columns(["x"], ["c"], ["l"], ["t"], text_size=3))
+    new = spark.createDataFrame([(1, float("nan"), "z", "r", "three"), (2, 8.0, None, "q,p,r", "two one two")], shape)
+    stored = prepare.load(prepare.save(train, model))
+    one, other = ([r["features"].toArray().tolist() for r in prepare.prepare(m, new).orderBy("k").collect()] for m in (model, stored))
+    assert one == other
+    filled = np.array([1.0, 3.0, 8.0, 3.0])
+    assert [v[0] for v in one] == pytest.approx([(3 - filled.mean()) / filled.std(), (8 - filled.mean()) / filled.std()])
+    assert one[0][1:] == [0.0] * 8  # no known category, list item or word
+    assert one[1][1:4] == [0.0, 0.0, 1.0] and one[1][4:6] == [1.0, 1.0]  # a, b, missing; q, p
+    words = {r["word"]: r["vector"].toArray() for r in next(s for s in stored.stages[0].stages if hasattr(s, "getVectors")).getVectors().collect()}
+    assert one[1][6:] == pytest.approx(((2 * words["two"] + words["one"]) / 3).tolist())
+    assert prepare.prepare(stored, new).columns == [*new.columns, "features"]
+
+
+def test_numbers_without_spread_or_values(spark):
+    df = spark.createDataFrame([(5.0, None), (5.0, None)], "a double, b double")
+    stats = {r["feature"]: (r["fill"], r["mean"], r["sd"]) for r in prepare.numeric_statistics(df, ["a", "b"]).collect()}
+    assert stats == {"a": (5.0, 5.0, 0.0), "b": (0.0, 0.0, 0.0)}
+    vectors = prepare.prepare(prepare.fit_preprocessor(df, prepare.Columns(["a", "b"])), df)
+    assert [r["features"].toArray().tolist() for r in vectors.collect()] == [[0.0, 0.0]] * 2
+
+
+def test_ridge_equals_the_closed_form(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(80, 3)), rng.normal(size=80) * 3 + 1
+    x = x - x.mean(axis=0)
+    df = spark.createDataFrame([([float(v) for v in a], float(b)) for a, b in zip(x, y)], "f array<double>, y double").select(array_to_vector("f").alias("features"), "y")
+    for alpha, model in zip((0.1, 50.0), md.ridge(df, (0.1, 50.0), "y")):
+        want = np.linalg.solve(x.T @ x + alpha * np.eye(3), x.T @ (y - y.mean()))
+        assert model.coefficients.toArray() == pytest.approx(want, rel=1e-6)
+
+
+def test_label_features_hold_nothing_of_the_genres():
+    assert not {"genre_list", "genre_cnt"} & set(models.LABEL_FEATURES.all()) and {"genre_list", "genre_cnt"} <= set(models.FEATURES.all())
+
+
 def test_quality_edges(spark):
     empty = spark.createDataFrame([], "v int, ingested_at timestamp_ntz")
     now = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")

@@ -71,6 +71,35 @@ def test_quantiles_keep_the_null_group_and_common_values(spark):
         np.testing.assert_allclose(got, want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_quantiles_by_digits_equal_sorting(spark, limit):
+    rng = np.random.default_rng(8)
+    groups = {
+        None: rng.normal(size=300), "near": 1.7e9 + rng.random(400), "wide": rng.choice([-1, 1], 300) * 10.0 ** rng.uniform(-320, 308, 300),
+        "few": rng.choice([-0.0, 0.0, 1.5, -2.0], 50), "one": np.array([3.0]), "edge": np.array([2.0**k for k in range(-1074, 1024, 7)] + [np.nextafter(2.0**k, 0) for k in range(-1000, 1000, 50)]),
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values] + [("near", None)], "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    found = {r["g"]: r for r in ordering.exact_quantiles(df, "v", probs, ["g"], sorted_values=limit).collect()}
+    assert set(found) == set(groups)
+    for g, values in groups.items():
+        ordered, pos = np.sort(values), np.array(probs) * (len(values) - 1)
+        low, high = ordered[np.floor(pos).astype(int)], ordered[np.ceil(pos).astype(int)]
+        want = low + (high - low) * (pos - np.floor(pos))
+        np.testing.assert_allclose([found[g][f"q{i}"] for i in range(5)], want, rtol=1e-12, atol=0)
+        assert found[g]["n"] == len(values)
+    whole = spark.range(1000).select((F.col("id") * F.col("id") - 5000).alias("v"))
+    assert ordering.exact_quantiles(whole, "v", [0.5], sorted_values=limit).first()["q0"] == (499**2 + 500**2) / 2 - 5000
+    assert ordering.exact_quantiles(whole.limit(0), "v", [0.5], sorted_values=limit).count() == 0
+
+
+def test_order_key_is_the_bit_pattern(spark):
+    values = [0.0, 5e-324, 2.0**-1022, 1.0, float(np.nextafter(1.0, 2)), 0.1, 1e300, 1.7976931348623157e308, float("inf"), -3.5, -5e-324]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    bits = [int(np.array(abs(v)).view("int64")) * (-1 if v < 0 else 1) for v in values]
+    assert [r[0] for r in df.select(ordering.order_key(F.col("v"), False)).collect()] == bits
+
+
 def test_a_hot_null_group_is_sliced(spark):
     df = spark.range(600).selectExpr("CASE WHEN id < 500 THEN NULL ELSE 'b' END AS g", "id AS v")
     ranked = ordering.rank_within(df, ["g"], ["v"], "r", hot_rows=100, total="n").collect()
