@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -23,10 +24,12 @@ from marquee.operators.features import user_profiles
 from marquee.operators.paging import union_all
 from marquee.operators.prepare import Columns, fit_preprocessor, prepare
 from marquee.sources.files import collect_bounded
+from marquee.session import shared_dir
 from marquee.sources.sampling import key_sample
 
-PIVOTS = 64
+PIVOTS = 64  # at least
 CHUNK_ROWS = 4096
+BLOCK_ROWS = 1 << 16
 
 
 def rmse(df: DataFrame, y: str, p: str) -> float:
@@ -258,8 +261,19 @@ def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
 
 
-def _with_cell(df: DataFrame, key: str, vec: str, extra: str, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot and the angle to it."""
+def _open(angles: np.ndarray, low: np.ndarray, high: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Which groups may hold something at least as near as ``best``: by the triangle inequality on the sphere nothing in a
+    group is nearer than its ring allows."""
+    bound = np.maximum(angles - high, low - angles)
+    return bound <= np.arccos(np.clip(best, -1.0, 1.0))[:, None] + 1e-6
+
+
+def _types(df: DataFrame, *columns: str) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _with_cell(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
+    """Add the nearest pivot as ``cell`` and the ``angle`` to it."""
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
@@ -267,51 +281,98 @@ def _with_cell(df: DataFrame, key: str, vec: str, extra: str, pivots: np.ndarray
                 cell = angles.argmin(axis=1)
                 yield frame.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(cell)), cell])
 
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(assign, f"{types}, cell int, angle double")
+    return df.mapInPandas(assign, f"{_types(df, *df.columns)}, cell int, angle double")
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, on: Sequence[str], key: str, fn: Callable, schema: str, rows: int) -> DataFrame:
+    """``fn`` of the rows of both sides that share ``on``; a large left group comes in blocks of about ``rows``, each with
+    all of the right group."""
+    on = list(on)
+    counts = left.groupBy(*on).agg(F.ceil(F.count("*") / rows).cast("int").alias("_blocks"))
+    own = left.join(counts, on).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")).drop("_blocks")
+    every = right.join(counts, on).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    every = every.select(*[F.col(c).alias(c) for c in every.columns])  # both sides may come from one table
+    return own.groupBy(*on, "_block").cogroup(every.groupBy(*on, "_block")).applyInPandas(fn, schema)
+
+
+def _pieces(n: int) -> Iterator[slice]:
+    return (slice(start, start + CHUNK_ROWS) for start in range(0, n, CHUNK_ROWS))
+
+
+def _fine_cells(placed: DataFrame, item: str, vec: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Items with a second pivot of their cell as ``fine``, and those groups (cell, fine, pivot, lo, hi, n).
+
+    About one item in ``CHUNK_ROWS`` is a pivot, by its digest, and the first of each cell, so groups stay small as cells grow.
+    """
+    digest = F.xxhash64(F.col(item))
+    first = placed.groupBy("cell").agg(F.min_by(item, F.struct(digest, F.col(item))).alias(item))
+    picked = placed.filter(F.pmod(digest, F.lit(CHUNK_ROWS)) == 0).select("cell", item).unionAll(first.select("cell", item)).distinct()
+    pivots = placed.join(picked, ["cell", item], "left_semi").select("cell", F.col(item).cast("long").alias("fine"), F.col(vec).alias("pivot"))
+    kind = _types(placed, item, vec, value)
+
+    def assign(rows: pd.DataFrame, fine: pd.DataFrame) -> pd.DataFrame:
+        fine = fine.sort_values("fine")
+        units, ids, out = _unit(fine["pivot"]), fine["fine"].to_numpy(), []
+        for part in _pieces(len(rows)):
+            angles = _angles(_unit(rows[vec].iloc[part]), units)
+            nearest = angles.argmin(axis=1)
+            out.append(rows[[item, vec, value, "cell"]].iloc[part].assign(fine=ids[nearest], angle=angles[np.arange(len(nearest)), nearest]))
+        return pd.concat(out) if out else rows.assign(fine=np.zeros(0, "int64"))[[item, vec, value, "cell", "fine", "angle"]]
+
+    fine = _in_blocks(placed, pivots, ["cell"], item, assign, f"{kind}, cell int, fine long, angle double", BLOCK_ROWS)
+    groups = fine.groupBy("cell", "fine").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n"))
+    return fine.drop("angle"), groups.join(pivots, ["cell", "fine"])
 
 
 def _routes(queries: DataFrame, key: str, vec: str, pivots: np.ndarray, rings: Mapping[int, tuple[float, float]], home: bool) -> DataFrame:
-    """(key, vec, cell): the home cell, or all others that may hold something better than ``best``."""
-    cells = sorted(rings)
-    low = np.array([rings[c][0] for c in cells])
-    high = np.array([rings[c][1] for c in cells])
+    """``queries`` with ``cell``: the nearest one, or all that may hold something better than ``best``."""
+    cells = np.array(sorted(rings), dtype="int32")
+    low, high = (np.array([rings[c][side] for c in cells.tolist()]) for side in (0, 1))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if not len(frame):
-                continue
-            angles = _angles(_unit(frame[vec]), pivots[cells])
-            homes = angles.argmin(axis=1)
+            for part in _pieces(len(frame)):
+                rows = frame.iloc[part]
+                angles = _angles(_unit(rows[vec]), pivots[cells])
+                if home:
+                    yield rows.assign(cell=cells[angles.argmin(axis=1)])
+                else:
+                    row, col = np.nonzero(_open(angles, low, high, rows["best"].to_numpy()))
+                    yield rows.iloc[row].assign(cell=cells[col])
+
+    return queries.mapInPandas(route, f"{_types(queries, *queries.columns)}, cell int")
+
+
+def _fine_routes(queries: DataFrame, groups: DataFrame, key: str, vec: str, home: bool) -> DataFrame:
+    """``queries`` (with their cell) with ``fine``: the nearest group of the cell, or all others that may hold something better."""
+    names = [*queries.columns, "fine"]
+
+    def route(rows: pd.DataFrame, fine: pd.DataFrame) -> pd.DataFrame:
+        fine = fine.sort_values("fine")
+        units, ids, out = _unit(fine["pivot"]), fine["fine"].to_numpy(), [rows.iloc[:0].assign(fine=np.zeros(0, "int64"))]
+        for part in _pieces(len(rows)) if len(fine) else ():
+            some = rows.iloc[part]
+            angles = _angles(_unit(some[vec]), units)
             if home:
-                yield frame[[key, vec]].assign(cell=np.array(cells, dtype="int32")[homes])
+                out.append(some.assign(fine=ids[angles.argmin(axis=1)]))
                 continue
-            # Triangle inequality on the sphere: nothing in a cell is nearer than this.
-            bound = np.maximum(angles - high, low - angles)
-            limit = np.arccos(np.clip(frame["best"].to_numpy(), -1.0, 1.0))[:, None] + 1e-6
-            open_cells = bound <= limit
-            open_cells[np.arange(len(homes)), homes] = False
-            row, col = np.nonzero(open_cells)
-            yield frame[[key, vec]].iloc[row].assign(cell=np.array(cells, dtype="int32")[col])
-
-    types = f"{key} {queries.schema[key].dataType.simpleString()}, {vec} {queries.schema[vec].dataType.simpleString()}"
-    return queries.mapInPandas(route, f"{types}, cell int")
-
-
-def _best_in_cells(routed: DataFrame, items: DataFrame, key: str, item: str, vec: str, value: str, sizes: Mapping[int, int]) -> DataFrame:
-    """Best item per routed query. Large cells are cut into chunks and large query sets into blocks, so a
-    task compares at most a block with a chunk; each comparison is one matrix product."""
-    load = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}  # at most PIVOTS rows
-    chunks = {c: -(-n // CHUNK_ROWS) for c, n in sizes.items()}
-    blocks = {c: -(-load.get(c, 0) // CHUNK_ROWS) for c in sizes}
-    table = lambda counts: F.element_at(
-        F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("cell")
-    )
-    spread = lambda column, parts: F.pmod(F.xxhash64(column), parts).cast("int")
-    left = routed.withColumn("block", spread(key, table(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), table(chunks) - 1)))
-    busy = items.withColumn("_blocks", table(blocks)).filter("_blocks > 0")
-    right = busy.withColumn("chunk", spread(item, table(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    right = right.select(item, F.col(vec).alias("_vec"), value, "cell", "chunk", "block")
+            near = _open(angles, fine["lo"].to_numpy(), fine["hi"].to_numpy(), some["best"].to_numpy())
+            near &= (some["home_cell"].to_numpy() != some["cell"].to_numpy())[:, None] | (some["home_fine"].to_numpy()[:, None] != ids)
+            row, col = np.nonzero(near)
+            out.append(some.iloc[row].assign(fine=ids[col]))
+        return pd.concat(out)[names]
+
+    return _in_blocks(queries, groups, ["cell"], key, route, f"{_types(queries, *queries.columns)}, fine long", BLOCK_ROWS)
+
+
+def _best_in_groups(routed: DataFrame, items: DataFrame, groups: DataFrame, key: str, item: str, vec: str, value: str) -> DataFrame:
+    """Best item per routed query. Large groups are cut into chunks and large query sets into blocks, so a task compares at
+    most a block with a chunk; each comparison is one matrix product."""
+    on = ["cell", "fine"]
+    chunks = groups.select(*on, F.ceil(F.col("n") / CHUNK_ROWS).cast("int").alias("_chunks"))
+    left = routed.select(key, vec, *on).join(chunks, on).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    right = items.join(chunks, on).withColumn("chunk", F.pmod(F.xxhash64(item), F.col("_chunks")).cast("int"))
+    right = right.select(item, F.col(vec).alias("_vec"), value, *on, "chunk")
 
     def compare(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(members):
@@ -324,10 +385,8 @@ def _best_in_cells(routed: DataFrame, items: DataFrame, key: str, item: str, vec
             item: members[item].to_numpy()[pick], value: members[value].to_numpy()[pick],
         })
 
-    kinds = {f.name: f.dataType.simpleString() for f in [*routed.schema.fields, *items.schema.fields]}
-    shape = f"{key} {kinds[key]}, best double, {item} {kinds[item]}, {value} {kinds[value]}"
-    group = ["cell", "chunk", "block"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, shape)
+    shape = f"{_types(routed, key)}, best double, {_types(items, item, value)}"
+    found = _in_blocks(left.drop("_chunks"), right, [*on, "chunk"], key, compare, shape, CHUNK_ROWS)
     return _best(found, key, item, value)
 
 
@@ -336,22 +395,47 @@ def _best(found: DataFrame, key: str, item: str, value: str) -> DataFrame:
     return found.groupBy(key).agg(top).select(key, "_t.*")
 
 
+def pivot_count(n: int) -> int:
+    """First pivots for ``n`` items: the square root of the chunks they fill, so that a cell has as many second pivots."""
+    return max(1, min(n, max(PIVOTS, math.isqrt(-(-n // CHUNK_ROWS)))))
+
+
 def nearest_item(queries: DataFrame, items: DataFrame, key: str, item: str, vec: str, value: str) -> DataFrame:
     """(key, best, item, value): for each query the item with the largest cosine, the smallest id among equals.
 
-    Items are grouped around a few of their own vectors. The best match in a query's home group bounds the angle;
-    a group is then searched only if it can hold a smaller one. The result is exact for any data.
-    ``item`` ids are numbers.
+    Items are grouped around some of their own vectors. The best match in a query's home group bounds the angle; another
+    group is searched only if it can hold a smaller one. Beyond ``PIVOTS`` chunks of items the groups have two levels: first
+    pivots go to every task and grow with the square root of the items, second ones only meet the rows of their cell, and a
+    group stays about a chunk large. The result is exact for any data; where vectors cluster, a query meets a number of
+    groups that does not grow with the items. ``item`` ids are numbers.
     """
     items = items.select(item, vec, value)
-    sample = items.orderBy(F.xxhash64(item), item).limit(PIVOTS).select(vec).collect()  # PIVOTS vectors
+    n = items.count()
+    sample = items.orderBy(F.xxhash64(item), item).limit(pivot_count(n)).select(vec).collect()  # pivot_count vectors
+    if not sample:
+        return _best(queries.limit(0).select(key, F.lit(0.0).alias("best")).join(items.limit(0), F.lit(True)), key, item, value)
     pivots = _unit(pd.Series([r[0] for r in sample]))
-    placed = _with_cell(items, item, vec, value, pivots)
-    stats = placed.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")).collect()
-    rings, sizes = {r["cell"]: (r["lo"], r["hi"]) for r in stats}, {r["cell"]: r["n"] for r in stats}  # PIVOTS rows
+    placed = _with_cell(items, vec, pivots)
+    stats = placed.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n"))
+    rings = {r["cell"]: (r["lo"], r["hi"], r["n"]) for r in stats.collect()}  # pivot_count rows
     queries = queries.select(key, vec)
-    first = _best_in_cells(_routes(queries, key, vec, pivots, rings, home=True), placed, key, item, vec, value, sizes)
-    bounded = queries.join(first.select(key, "best"), key)
+    at_home = _routes(queries, key, vec, pivots, rings, home=True)
+    if n > PIVOTS * CHUNK_ROWS:
+        members, groups = _fine_cells(placed, item, vec, value)
+        # The groups are read by every step that follows.
+        shared_dir(items.sparkSession)
+        members, groups = members.checkpoint(), groups.checkpoint()
+        at_home = _fine_routes(at_home, groups, key, vec, home=True)
+    else:
+        members = placed.select(item, vec, value, "cell", F.lit(0).cast("long").alias("fine"))
+        groups = items.sparkSession.createDataFrame([(c, 0, size) for c, (_, _, size) in rings.items()], "cell int, fine long, n long")
+        at_home = at_home.withColumn("fine", F.lit(0).cast("long"))
+    first = _best_in_groups(at_home, members, groups, key, item, vec, value)
+    bounded = at_home.withColumnsRenamed({"cell": "home_cell", "fine": "home_fine"}).join(first.select(key, "best"), key)
     others = _routes(bounded, key, vec, pivots, rings, home=False)
-    second = _best_in_cells(others, placed, key, item, vec, value, sizes)
+    if n > PIVOTS * CHUNK_ROWS:
+        others = _fine_routes(others, groups, key, vec, home=False)
+    else:
+        others = others.filter("cell <> home_cell").withColumn("fine", F.lit(0).cast("long"))
+    second = _best_in_groups(others, members, groups, key, item, vec, value)
     return _best(first.unionByName(second), key, item, value)

@@ -126,6 +126,31 @@ def test_nearest_item_is_exact(spark, monkeypatch, clustered):
     assert got[999] == (10, 100) and len(got) == 51
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_nearest_item_in_two_levels_is_exact(spark, monkeypatch, clustered):
+    monkeypatch.setattr(md, "PIVOTS", 3)
+    monkeypatch.setattr(md, "CHUNK_ROWS", 8)
+    monkeypatch.setattr(md, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(230, 6))
+    if clustered:
+        vectors = rng.normal(size=(12, 6))[rng.choice(12, 230)] + 0.02 * vectors
+    vectors[5] = vectors[6]
+    items = spark.createDataFrame([(i, [float(x) for x in vectors[i]], i * 10) for i in range(200)], "item int, e array<double>, value int")
+    queries = spark.createDataFrame([(i, [float(x) for x in vectors[i]]) for i in [6, *range(200, 230)]], "q int, e array<double>")
+    got = {r["q"]: (r["item"], r["value"]) for r in md.nearest_item(queries, items, "q", "item", "e", "value").collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = {i: int(np.round(unit[:200] @ unit[i], 12).argmax()) for i in [6, *range(200, 230)]}
+    assert got == {i: (best, best * 10) for i, best in want.items()} and want[6] == 5
+
+
+def test_pivots_grow_with_the_items(spark):
+    assert [md.pivot_count(n) for n in (0, 1, 100, 10**6, 10**9, 10**12)] == [1, 1, 64, 64, 494, 15625]
+    items = spark.createDataFrame([], "item int, e array<double>, value int")
+    queries = spark.createDataFrame([(1, [1.0])], "q int, e array<double>")
+    assert md.nearest_item(queries, items, "q", "item", "e", "value").count() == 0
+
+
 def test_user_profile_falls_back_to_mean(spark):
     inter = spark.createDataFrame([(1, 1, 8.0), (1, 2, 9.0), (2, 1, 3.0)], "user_id int, item_id int, rating double")
     emb = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [5.0, 5.0])], "item_id int, embedding array<double>")
