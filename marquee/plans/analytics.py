@@ -259,7 +259,7 @@ def communities(edges: DataFrame, rounds: int = 200) -> DataFrame:
     weight among its neighbours, the smallest one among equals. Each round is checkpointed, so plans stay short and
     lost executors cost no earlier round. Such rounds end with fixed labels or with two that alternate, as on an
     isolated pair; then each node takes the smaller of its two and :func:`_settled` goes on. Labels that still
-    move after ``rounds`` are an error, not a result.
+    move after ``rounds`` go on there as well, so any graph gets a result that no node would gain by leaving.
     """
     shared_dir(edges.sparkSession)
     links = both_ways(edges).checkpoint()
@@ -276,9 +276,7 @@ def communities(edges: DataFrame, rounds: int = 200) -> DataFrame:
             both = chosen.join(labels.withColumnRenamed("label", "old"), "node")
             return _settled(links, both.select("node", F.least("label", "old").alias("label")).checkpoint())
         labels, older = chosen, labels
-    if labels.isEmpty():
-        return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+    return _settled(links, labels)
 
 
 def _settled(links: DataFrame, labels: DataFrame) -> DataFrame:

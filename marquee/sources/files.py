@@ -7,8 +7,10 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs as pa_fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,11 @@ WATERMARKS = "name string, mark string, updated_at timestamp"
 EPOCH = "1970-01-01T00:00:00+00:00"
 
 
+def fails_to_read(error: Exception) -> bool:
+    """Whether a job failed on its rows or files, or a path has none; a plan that can't be made is an error of the program."""
+    return not isinstance(error, AnalysisException) or error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def raw_schema(source: str) -> T.StructType:
     return text_schema(RAW_COLUMNS[source])
 
@@ -101,11 +108,18 @@ def with_lineage(
     })
 
 
+def write_counted(df: DataFrame, path: str) -> int:
+    """Snappy Parquet, counted while it is written; the number of rows."""
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", "snappy").parquet(path)
+    return written.get.get("rows", 0)
+
+
 def write_bronze(df: DataFrame, path: str) -> bool:
     """Snappy Parquet; an input without rows writes nothing and returns False."""
     if df.isEmpty():
         return False
-    df.write.mode("overwrite").option("compression", "snappy").parquet(path)
+    write_counted(df, path)
     return True
 
 
@@ -171,10 +185,12 @@ class FingerprintStore:
         fingerprints.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(self.path)
 
     def verdict(self, df: DataFrame, name: str) -> str:
-        """Verdict for one source; a source that cannot be read needs full processing."""
+        """Verdict for one source; one that cannot be read needs full processing. Errors of the program are raised."""
         try:
             return check_delta(fingerprint(df, name), self.load()).first()["verdict"]
-        except Exception:
+        except (PySparkException, Py4JJavaError) as error:
+            if not fails_to_read(error):
+                raise
             return "UNKNOWN"
 
 
@@ -190,10 +206,12 @@ class WatermarkStore:
         return newest.filter("mark IS NOT NULL").select("name", "mark")
 
     def get(self, name: str) -> str:
-        """The mark; the epoch if there is none or the store cannot be read."""
+        """The mark; the epoch if there is none or the store cannot be read. Errors of the program are raised."""
         try:
             row = self.all().filter(F.col("name") == name).first()
-        except Exception:
+        except (PySparkException, Py4JJavaError) as error:
+            if not fails_to_read(error):
+                raise
             return EPOCH
         return row["mark"] if row else EPOCH
 
@@ -257,13 +275,13 @@ def exportable_titles(titles: DataFrame) -> DataFrame:
 def export_marts(
     tables: Mapping[str, DataFrame], path: str, filters: Mapping[str, object] = {"dim_title": exportable_titles}
 ) -> DataFrame:
-    """Write each table under ``path`` and return the manifest (table_name, row_count), also written there."""
+    """Write each table under ``path``, counted in the same pass, and return the manifest (table_name, row_count), also
+    written there."""
     spark = next(iter(tables.values())).sparkSession
     rows = []
     for name, df in tables.items():
         kept = filters[name](df) if name in filters else df
-        kept.write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/{name}")
-        rows.append((name, parquet_row_count(spark, f"{path}/{name}")))
+        rows.append((name, write_counted(kept, f"{path}/{name}")))
     manifest = spark.createDataFrame(rows, "table_name string, row_count bigint")
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/_manifest")
     return manifest

@@ -108,6 +108,31 @@ def test_fingerprint_sees_changed_value(spark):
     assert store.verdict(broken, "t") == "UNKNOWN"
 
 
+def test_errors_of_the_program_are_not_verdicts(spark, tmp_path):
+    store = files.FingerprintStore(spark, scratch_path(spark, "fp"))
+    with pytest.raises(AttributeError):
+        store.verdict(None, "t")
+    (tmp_path / "a.parquet").write_text("nonsense")
+    assert store.verdict(spark.read.schema("a int").parquet(str(tmp_path)), "t") == "UNKNOWN"
+    marks = files.WatermarkStore(spark, str(tmp_path))
+    assert marks.get("t") == files.EPOCH
+    assert files.fails_to_read(_error(lambda: spark.read.parquet(str(tmp_path / "none")))) and not files.fails_to_read(_error(lambda: spark.range(1).select("zz")))
+
+
+def _error(call):
+    with pytest.raises(Exception) as caught:
+        call()
+    return caught.value
+
+
+def test_export_counts_what_it_writes(spark, tmp_path):
+    tables = {"a": spark.range(7).toDF("x"), "none": spark.createDataFrame([], "x int"), "kept": spark.range(10).toDF("x")}
+    manifest = files.export_marts(tables, str(tmp_path), filters={"kept": lambda df: df.filter("x > 6")})
+    assert {r["table_name"]: r["row_count"] for r in manifest.collect()} == {"a": 7, "none": 0, "kept": 3}
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 3
+    assert spark.read.json(str(tmp_path / "_manifest")).count() == 3
+
+
 def test_watermarks(spark):
     store = files.WatermarkStore(spark, scratch_path(spark, "wm"))
     assert store.get("t") == files.EPOCH

@@ -208,6 +208,21 @@ def test_expanding_folds_cover_every_year_with_earlier_rows(spark):
     assert models.fold_errors(data.filter("start_year = 1999")).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_communities_end_without_a_limit(spark, rounds):
+    """Labels that have not settled in the given rounds go on until no node would gain by leaving."""
+    square = [(1, 2, 5), (2, 3, 1), (3, 4, 5), (1, 4, 1), (4, 5, 5), (5, 6, 1), (6, 7, 7), (7, 8, 2), (5, 8, 2), (10, 11, 1)]
+    labels = {r["node"]: r["label"] for r in an.communities(spark.createDataFrame(square, "a int, b int, weight int"), rounds).collect()}
+    assert len(labels) == 10
+    for node in labels:
+        votes = {}
+        for a, b, w in square:
+            if node in (a, b):
+                votes[labels[a + b - node]] = votes.get(labels[a + b - node], 0) + w
+        assert votes.get(labels[node], 0) == max(votes.values())
+    assert an.communities(spark.createDataFrame([], "a int, b int, weight int"), rounds).count() == 0
+
+
 def test_the_scored_year_takes_no_part_in_its_model(spark):
     rng = np.random.default_rng(4)
     rows = [(year, [float(x) for x in rng.normal(size=2)], float(rng.integers(1, 10))) for year in (2000, 2001, 2002, 2003) for _ in range(30)]
