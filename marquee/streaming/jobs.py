@@ -7,11 +7,13 @@ micro-batch, written in overwrite mode: a batch that is replayed after a failure
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marquee.functions.scalars import attr_hash
@@ -160,6 +162,21 @@ def windowed_percentile_approx(
     return measured.select(F.col("_w.start").alias("window_start"), "value").withColumn("firing", F.col("value") > limit)
 
 
+def windowed_sketches(df: DataFrame, column: str, size: str, ts: str = "ts", late: str = "10 minutes", k: int = 800) -> DataFrame:
+    """(window_start, events, sketch): a KLL sketch of each window, of a table or a stream. Sketches of stored windows can be
+    merged to longer ones, so no event is read again. Ranks are off by about 1.7 / k ** 0.9 of the events (0.4% here)."""
+    measured = _windowed(df, ts, size, late).agg(F.count(column).alias("events"), F.kll_sketch_agg_double(F.col(column).cast("double"), k).alias("sketch"))
+    return measured.select(F.col("_w.start").alias("window_start"), "events", "sketch")
+
+
+def merged_percentile(sketches: DataFrame, p: float, size: str, limit: float, k: int = 800) -> DataFrame:
+    """(window_start, events, value, firing) of windows of ``size``, merged from the sketches of shorter ones."""
+    longer = sketches.groupBy(F.window("window_start", size)["start"].alias("window_start"))
+    merged = longer.agg(F.sum("events").alias("events"), F.kll_merge_agg_double("sketch", k).alias("_sketch"))
+    value = F.when(F.col("events") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(p)))
+    return merged.select("window_start", "events", value.alias("value")).withColumn("firing", F.col("value") > limit)
+
+
 def staleness(df: DataFrame, ref: Column, hours: float, ts: str = "ts") -> DataFrame:
     """One row: hours since the newest event and whether that is too long."""
     micros = F.timestamp_diff("MICROSECOND", F.max(ts), ref)
@@ -205,6 +222,80 @@ def held_stream(windows: DataFrame, n: int, minutes: int, key: str) -> DataFrame
     )
 
 
+class _Streak(StatefulProcessor):
+    """State of one key: its last window, how many windows in a row have fired, and whether the alert is on."""
+
+    def __init__(self, key: str, n: int, minutes: int):
+        self.key, self.n, self.step = key, n, minutes * 60_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("streak", "last bigint, streak bigint, active boolean")
+
+    def _changes(self, key: tuple, found: list[tuple[str, int]]) -> pd.DataFrame:
+        return pd.DataFrame({
+            self.key: pd.Series([key[0]] * len(found), dtype=object), "change": pd.Series([kind for kind, _ in found], dtype=object),
+            "at": pd.to_datetime([at for _, at in found], unit="us"),
+        })
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, streak, active = self.state.get() if self.state.exists() else (None, 0, False)
+        windows = pd.concat(list(rows)).sort_values("window_start")
+        found = []
+        for start, firing in zip(windows["window_start"].astype("datetime64[us]").astype("int64").tolist(), windows["firing"].tolist()):
+            if last is not None and start <= last:
+                continue  # a window comes once
+            if last is not None and start != last + self.step:
+                if active:
+                    found.append(("ended", last + self.step))
+                streak, active = 0, False
+            streak = streak + 1 if firing else 0
+            if active and not firing:
+                found.append(("ended", start))
+                active = False
+            elif not active and streak >= self.n:
+                found.append(("held", start))
+                active = True
+            last = start
+        self.state.update((last, streak, active))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if active:  # the window after the next one tells that the next one is missing
+            self.handle.registerTimer((last + 2 * self.step) // 1000)
+        yield self._changes(key, found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, _, active = self.state.get()
+        self.state.update((last, 0, False))
+        yield self._changes(key, [("ended", last + self.step)] if active else [])
+
+    def close(self) -> None:
+        pass
+
+
+def held_changes(windows: DataFrame, n: int, minutes: int, key: str, late: str = "0 seconds") -> DataFrame:
+    """(key, change, at) of a stream of stored window results (key, window_start, firing): an alert is "held" at the ``n``-th
+    window in a row that fires, and "ended" at the first one that doesn't or is missing.
+
+    A timer in event time ends the alert of a key whose windows stop coming once the watermark, which all keys
+    move, has passed the missing window. Needs the session that :func:`timer_state` sets up.
+    """
+    kind = windows.schema[key].dataType.simpleString()
+    keyed = windows.withWatermark("window_start", late).groupBy(key)
+    return keyed.transformWithStateInPandas(_Streak(key, n, minutes), f"{key} {kind}, change string, at timestamp", "Append", "EventTime")
+
+
+@contextmanager
+def timer_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state where timers are possible."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def rate_violations(events: DataFrame, client: str, ts: str, n: int, seconds: int, chunk_seconds: int = 3600) -> DataFrame:
     """(client, ts, requests) of events with more than ``n`` requests of their client in the trailing seconds.
 

@@ -79,6 +79,24 @@ def s04(s):
     return jobs.windowed_percentile(s.events, "value", 0.95, "5 minutes", 100.0).withColumn("value", F.round("value", 6))
 
 
+@query("s04_merged_sketches_stream", """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS events, TRUE AS near FROM events
+WHERE time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1""")
+def s04_merged(s):
+    """Hourly 95th percentiles merged from the stream's five-minute sketches; ``near``: the true rank is within 1% of the events, one at least."""
+    events = jobs.as_event_time(event_stream(s), "ts")
+    stored = s.spark.read.parquet(run_to_table(s, jobs.windowed_sketches(events, "value", "5 minutes")))
+    found = jobs.merged_percentile(stored, 0.95, "1 hour", 100.0)
+    closed = stored.select(F.col("window_start").alias("_closed"))
+    truth = jobs.as_event_time(s.events, "ts").select("ts", F.col("value").alias("_v")).withColumn("_closed", F.window("ts", "5 minutes")["start"])
+    truth = truth.join(closed, "_closed", "left_semi").withColumn("window_start", F.window("ts", "1 hour")["start"])
+    ranks = truth.join(found, "window_start").groupBy("window_start", "events").agg(
+        F.count_if(F.col("_v") < F.col("value")).alias("below"), F.count_if(F.col("_v") <= F.col("value")).alias("upto"))
+    slack, place = F.greatest(F.lit(1.0), 0.01 * F.col("events")), 0.95 * F.col("events")
+    near = (F.col("below") <= place + slack) & (F.col("upto") >= place - slack)
+    return ranks.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "events", near.alias("near"))
+
+
 @query("s05_staleness", """
 SELECT round(date_diff('microsecond', max(ts), TIMESTAMP '2024-02-01 00:00:00') / 3.6e9, 6) AS age_hours,
   date_diff('microsecond', max(ts), TIMESTAMP '2024-02-01 00:00:00') / 3.6e9 > 24 AS firing FROM events""")
@@ -123,6 +141,25 @@ def s07_stream(s):
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("s07_held_changes_stream", f"""
+WITH w AS (SELECT window_start, firing FROM {RATIO.format(avg=MISS_AVG, limit=0.5)}
+  WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE),
+i AS (SELECT window_start, window_start - INTERVAL 5 MINUTE * row_number() OVER (ORDER BY window_start) AS island FROM w WHERE firing),
+p AS (SELECT min(window_start) AS a, max(window_start) AS b FROM i GROUP BY island HAVING count(*) >= 3)
+SELECT 'miss_ratio' AS rule, 'held' AS change, a + INTERVAL 10 MINUTE AS "at" FROM p
+UNION ALL SELECT 'miss_ratio', 'ended', b + INTERVAL 5 MINUTE FROM p WHERE b < (SELECT max(window_start) FROM w)""")
+def s07_changes(s):
+    """When the alert comes on and goes off, also where windows are missing."""
+    events = jobs.as_event_time(event_stream(s), "ts")
+    windows = jobs.windowed_ratio(events, F.col("event_type") != "view", "5 minutes", 0.5).withColumn("rule", F.lit("miss_ratio"))
+    windows = windows.select("rule", "window_start", "firing")
+    follow = s.spark.readStream.schema(windows.schema).parquet(run_to_table(s, windows))
+    with jobs.timer_state(s.spark):
+        changes = jobs.held_changes(follow, 3, 5, "rule")
+        rows = s.spark.read.schema(changes.schema).parquet(run_to_table(s, changes))
+    return rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("s08_rate_violations", """
 SELECT user_id, ts, requests FROM (SELECT user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7200 SECOND PRECEDING AND CURRENT ROW) AS requests
   FROM events) WHERE requests > 2 GROUP BY ALL""")

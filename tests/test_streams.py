@@ -130,6 +130,37 @@ def test_held_stream_keeps_its_streak_between_batches(spark, arrivals):
     assert got == [2, 9, 10]
 
 
+def test_a_silent_key_ends_its_alert(spark, arrivals):
+    """Key r holds and then stops coming; key s goes on and moves the watermark past r's missing window."""
+    out, ckpt = scratch_path(spark, "out"), scratch_path(spark, "ckpt")
+    start = dt.datetime(2024, 1, 1)
+    other = [("s", start + dt.timedelta(minutes=5 * i), False) for i in range(12)]
+    mine = minutes(*"xxxx")
+    again = [("r", start + dt.timedelta(minutes=5 * i), i < 11) for i in (8, 9, 10, 11)]
+    with jobs.timer_state(spark):
+        for part in (mine + other[:4], other[4:6], other[6:8], other[8:10] + again[:2], other[10:] + again[2:]):
+            df = spark.createDataFrame(part, "rule string, window_start timestamp, firing boolean")
+            changes = jobs.held_changes(arrivals(df), 3, 5, "rule")
+            writer = changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+            writer.trigger(availableNow=True).start().awaitTermination()
+    place = lambda t: (t - start).total_seconds() // 300
+    got = sorted((place(r["at"]), r["rule"], r["change"]) for r in spark.read.parquet(out).collect())
+    assert got == [(2, "r", "held"), (4, "r", "ended"), (10, "r", "held"), (11, "r", "ended")]
+
+
+def test_merged_sketches_are_near_the_exact_percentile(spark):
+    df = spark.range(28_800).select(
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id") % 7200)).alias("ts"), (F.hash("id") % 100_000).cast("double").alias("v"))
+    stored = jobs.windowed_sketches(df, "v", "5 minutes")
+    assert stored.count() == 24
+    found = {r["window_start"]: (r["events"], r["value"]) for r in jobs.merged_percentile(stored, 0.95, "1 hour", 0.0).collect()}
+    hours = df.withColumn("h", F.window("ts", "1 hour")["start"])
+    for r in hours.groupBy("h").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("v")).alias("all")).collect():
+        events, value = found[r["h"]]
+        rank = sum(v <= value for v in r["all"]) / r["n"]
+        assert events == r["n"] == 14_400 and abs(rank - 0.95) < 0.005
+
+
 @pytest.mark.parametrize("chunk", [60, 3600])
 def test_rate_check_across_chunks(spark, chunk):
     """A burst over a chunk border, requests exactly at the limit and two at the same moment."""
