@@ -138,6 +138,17 @@ def ordered_concat(
     return gathered.select(*keys, F.array_join(F.col("_items._value"), sep).alias(name))
 
 
+def genre_year_join(genres: DataFrame, stats: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Each title's genres (one row per title and genre) with the statistics of the genre in the title's year, if any."""
+    return genres.select("tconst", "genre", "start_year").join(stats.select("genre", "start_year", *keep), ["genre", "start_year"], "left").select("tconst", "genre", *keep)
+
+
+def lookup(facts: DataFrame, dimension: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """A large table with columns of a dimension that has one row per key; rows without a match keep nulls. The facts are
+    shuffled once, or not at all where Spark measures the dimension as small."""
+    return facts.join(dimension.select(key, *columns), key, "left")
+
+
 def crew_stats_join(crew: DataFrame, stats: DataFrame, on: Mapping[str, str]) -> DataFrame:
     """Equi-join on several differently named keys."""
     right = stats.withColumnsRenamed({r: f"_r_{r}" for r in on.values()})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from marquee.functions.scalars import (
 from marquee.operators.aggregates import aka_summary
 from marquee.operators.joins import assemble, episodes_with_series, latest_snapshot, ordered_concat, pairs
 from marquee.operators.ordering import HOT_ROWS
+from marquee.operators.paging import union_all
 from marquee.operators.windows import collaboration_rank
 
 ACTING = ("actor", "actress")
@@ -26,10 +27,17 @@ def current(df: DataFrame) -> DataFrame:
     return df.filter("is_current")
 
 
-def _credited_names(credits: DataFrame, names: DataFrame, out: str) -> DataFrame:
-    """Names in billing order; credits of unknown people are left out."""
-    named = credits.join(current(names).select("nconst", "primary_name"), "nconst")
-    return ordered_concat(named, ["tconst"], "primary_name", ["ordering"], out)
+def _credited_names(credits: Mapping[str, DataFrame], names: DataFrame) -> DataFrame:
+    """Names of each role in billing order, a column per role, null without any; credits of unknown people are left out.
+
+    All roles meet the people in one join and the titles in one aggregate.
+    """
+    every = [df.select("tconst", "nconst", "ordering", F.lit(role).alias("_role")) for role, df in credits.items()]
+    known = current(names).filter("primary_name IS NOT NULL").select("nconst", "primary_name")
+    named = union_all(every).join(known, "nconst")
+    listed = lambda role: F.array_sort(F.collect_list(F.when(F.col("_role") == role, F.struct("ordering", "primary_name"))))
+    gathered = named.groupBy("tconst").agg(*[listed(role).alias(role) for role in credits])
+    return gathered.select("tconst", *[F.when(F.size(role) > 0, F.array_join(F.col(role)["primary_name"], ", ")).alias(role) for role in credits])
 
 
 def title_details(
@@ -46,8 +54,7 @@ def title_details(
     regions = aka_summary(akas).withColumnRenamed("title_id", "tconst")
     sides = [
         genres,
-        _credited_names(director, names, "director_names"),
-        _credited_names(writer, names, "writer_names"),
+        _credited_names({"director_names": director, "writer_names": writer}, names),
         ratings,
         episodes,
         regions,

@@ -150,7 +150,7 @@ def d14(s):
     genres = exploded_genres(s.dim_title)
     rated = genres.filter("start_year IS NOT NULL AND average_rating IS NOT NULL")
     stats = rated.groupBy("genre", "start_year").agg(F.round(F.avg("average_rating"), 8).alias("avg_rating"))
-    return genres.join(stats, ["genre", "start_year"], "left").select("tconst", "genre", "avg_rating")
+    return joins.genre_year_join(genres, stats, ["avg_rating"])
 
 
 @query("d15_role_pairs", """
@@ -164,4 +164,4 @@ def d15(s):
 SELECT f.tconst, f.ordering, f.nconst, f.category, p.primary_name FROM fact_performance f LEFT JOIN dim_person p ON p.nconst = f.nconst""")
 def d16(s):
     credits = s.fact_performance.select("tconst", "ordering", "nconst", "category")
-    return credits.join(s.dim_person.select("nconst", "primary_name"), "nconst", "left")
+    return joins.lookup(credits, s.dim_person, "nconst", ["primary_name"])
