@@ -1,8 +1,7 @@
 """Ranks, positions and exact quantiles that do not need one group, or the whole table, inside one task.
 
-The rows of a large group are cut into slices along their sort order. Cut points come from the rows with the
-smallest hashes of each group, a bounded and repeatable sample, so slices are of similar size for any
-distribution, ties included. A rank is then the size of the earlier slices plus the position inside the slice.
+The rows of a large group are cut into ranges along their sort order, of similar size for any distribution. A rank is then
+the size of the earlier ranges plus the position inside the range. Quantiles of large groups are selected digit by digit.
 """
 
 from __future__ import annotations
@@ -37,12 +36,10 @@ def slices(spark: SparkSession) -> int:
     return 1 << (wanted - 1).bit_length()
 
 
-def _cut_points(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """Per group (or one row for the whole table) sampled values of the order struct ``_o``, sorted."""
-    order = [F.xxhash64("_o"), F.col("_o")]
-    picked = df.select(*keys, "_o")
-    sample = top_per_group(picked, keys, order, n - 1) if keys else picked.orderBy(*order).limit(n - 1)
-    return sample.groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_cuts"))
+def _cut_points(df: DataFrame, n: int) -> DataFrame:
+    """One row: sampled values of the order struct ``_o``, sorted."""
+    sample = df.select("_o").orderBy(F.xxhash64("_o"), "_o").limit(n - 1)
+    return sample.agg(F.array_sort(F.collect_list("_o")).alias("_cuts"))
 
 
 def _with_slice(df: DataFrame, n: int) -> DataFrame:
@@ -56,13 +53,6 @@ def _with_slice(df: DataFrame, n: int) -> DataFrame:
     return df
 
 
-def _join_group(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join on the group keys; with no keys ``other`` is one row and is read as scalar subqueries."""
-    if keys:
-        return df.join(other, list(keys), how)
-    return df.withColumns({c: other.select(c).scalar() for c in other.columns})
-
-
 def rank_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,8 +66,8 @@ def rank_within(
     the group where ``total`` names a column for it.
 
     ``largest`` is a known upper bound of the group size; without it the sizes are counted first. If no group
-    exceeds ``hot_rows`` this is a plain window. Otherwise hot groups are sliced, and the input is
-    checkpointed because several passes read it.
+    exceeds ``hot_rows`` this is a plain window. Otherwise all rows are cut into ranges of group and order, which are
+    checkpointed because several passes read them; nothing is gathered or joined by group alone.
     """
     order = [as_col(o) for o in order]
     if largest is None:
@@ -90,30 +80,19 @@ def rank_within(
 
     shared_dir(df.sparkSession)
     columns, n = df.columns, slices(df.sparkSession)
-    df = df.withColumn("_o", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    if keys:
-        # One struct as key: unlike a null, a struct of nulls equals itself in joins, so a null group is sliced too.
-        df, keys = df.withColumn("_g", F.struct(*keys)), ["_g"]
-    df = df.checkpoint()
-    if keys:
-        hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
-        hot_rows_df = df.join(hot, list(keys), "left_semi")
-    else:
-        hot_rows_df = df
-    sliced = _with_slice(_join_group(df, _cut_points(hot_rows_df, keys, n), keys), n)
-    inside = Window.partitionBy(*keys, "_slice").orderBy("_o")
-    sizes = sliced.filter("_cuts IS NOT NULL").groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*keys)  # a row per slice of a group from here
-    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total")
-    )
-    placed = sliced.withColumn("_in", F.row_number().over(inside))
-    placed = placed.withColumn("_size", F.count("*").over(Window.partitionBy(*keys, "_slice")))
-    numbered = placed.join(offsets, [*keys, "_slice"], "left")
-    rank = (F.col("_in") + F.coalesce(F.col("_before"), F.lit(0))).cast("long").alias(name)
-    size = [F.coalesce("_total", "_size").alias(total)] if total else []
-    return numbered.select(*columns, rank, *size)
+    # Structs as keys: unlike a null, a struct of nulls equals itself in joins, so a null group is cut too.
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    keyed = df.withColumns({"_g": group, "_o": F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])})
+    # Ranges of (group, order) are about equal in size whatever the groups are; the number of a range is kept with its rows.
+    ranged = keyed.repartitionByRange(n, "_g", "_o").withColumn("_range", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("_g", "_range").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("_g")  # a row per range of a group from here
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_g", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    placed = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_g", "_range").orderBy("_o")))
+    numbered = placed.join(offsets, ["_g", "_range"])
+    rank = (F.col("_in") + F.col("_before")).cast("long").alias(name)
+    return numbered.select(*columns, rank, *([F.col("_total").alias(total)] if total else []))
 
 
 def over_groups(
@@ -147,7 +126,7 @@ def dense_index(df: DataFrame, column: str, name: str, count: str = "count") ->
     values = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(count))
     values = values.withColumn("_o", F.struct(F.col(column)))
     n = slices(df.sparkSession)
-    sliced = _with_slice(_join_group(values, _cut_points(values, [], n), []), n)
+    sliced = _with_slice(values.withColumn("_cuts", _cut_points(values, n).scalar()), n)
     sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
