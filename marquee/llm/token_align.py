@@ -4,9 +4,9 @@ Both tokenizers encode a text. The cumulative ends of their tokens are keys of t
 intersection of the key sets slices both id lists into groups. Every token of the one list in a group is linked to every
 token of the other. A pair of ids counts the documents that hold it linked.
 
-A text is encoded and aligned in pieces: no token of either tokenizer crosses a place where U+0020 follows other text,
-so groups end there, and a repeated piece is aligned once. A text with a piece whose bytes a tokenizer doesn't give back is
-encoded whole, as the definition has it.
+A text is encoded and aligned in pieces: no token of either tokenizer crosses a place where white space follows other text,
+or, if the second vocabulary has no such token, a mark follows a letter. So groups end there, and a repeated piece is
+aligned once. A text with a piece whose bytes a tokenizer doesn't give back is encoded whole, as the definition has it.
 
 First pass: documents are read in segments of bounded bytes, each written as one row with its distinct pairs, how many of
 its documents hold each, and per document the places and multiplicities of its pairs. Pairs therefore reach the shuffle
@@ -26,7 +26,7 @@ import hashlib
 import os
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import chain, compress
 
 import numpy as np
@@ -46,16 +46,24 @@ BATCH_BYTES = 1 << 17
 CHUNK = 512
 # Pairs of a group that are listed one by one; beyond that they are counted.
 FEW_LINKS = 64
-PIECE = re.compile(r" \s*+\S++(?:[^\S ]\s*+\S++)*+")
+# Before white space that follows other text, and before a mark that follows a Latin letter.
+LETTERS, MARKS, SPACES = "A-Za-zÀ-ÖØ-öø-ɏ", ".,!?;:", " \n\t"
+# A piece, from its white space on; letters before a mark end it.
+PIECE = re.compile(rf"\s*+(?:[{LETTERS}]++(?![{MARKS}])|[^\s{LETTERS}]++|[^\S{SPACES}]\s*+)*+[{LETTERS}]*+")
+PLAIN_PIECE = re.compile(r"\s*+\S++(?:[^\S ]\s*+\S++)*+")
+CROSSING = re.compile(rf"[{LETTERS}][{MARKS}]|[\n\t]")
+LEAD = " a"  # before pieces that need a letter, or no space, in front of them
 
 
-def pieces(text: str) -> list[str]:
-    """A space and the text, cut before every U+0020 that follows other text and precedes some."""
+def pieces(text: str, cut: Callable[[str], list[str]]) -> list[str]:
+    """A space and the text, cut at safe places; white space at the end stays with the last piece."""
     whole = " " + text
     body = whole.rstrip()
     if not body:
         return [whole]
-    found = PIECE.findall(body)
+    found = cut(body)
+    if not found[-1]:
+        found.pop()  # the end of the text
     found[-1] += whole[len(body) :]
     return found
 
@@ -68,13 +76,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class Group:
-    """The alignment of one piece: counts, its groups as text, its links as packed pairs and, from large groups, as times per pair."""
+    """The alignment of one piece: its tokens in the first list, its groups as text, its links as packed pairs and, from large
+    groups, as times per pair."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "text", "links", "more")
+    __slots__ = ("n_a", "text", "links", "more")
 
-    def __init__(self, n_a: int, n_b: int, n_groups: int, text: str, links: bytes, more: dict[int, int] | None):
-        self.n_a, self.n_b, self.n_groups, self.text, self.links, self.more = n_a, n_b, n_groups, text, links, more
-        self.n_links = len(links) // 8 + (sum(more.values()) if more else 0)
+    def __init__(self, n_a: int, text: str, links: bytes, more: dict[int, int] | None):
+        self.n_a, self.text, self.links, self.more = n_a, text, links, more
 
 
 class Aligner:
@@ -95,6 +103,9 @@ class Aligner:
         self.sizes_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
         self.sizes_b = np.array(list(map(len, self.bytes_b)), np.int64)
         self.names = list(map(str, range(max(len(self.sizes_a), len(self.sizes_b)))))
+        # Tokens of the first list never cross these places; whether those of the second do is read from its vocabulary.
+        crossing = any(CROSSING.search(self.b.id_to_piece(i)) for i in range(len(self.bytes_b)))
+        self.cut = (PLAIN_PIECE if crossing else PIECE).findall
         self.known: dict[str, Group | None] = {}
         self.older: dict[str, Group | None] = {}
 
@@ -109,16 +120,17 @@ class Aligner:
         return b"".join([self.bytes_a.get(i, b"") for i in ids_a]) == data == b"".join([self.bytes_b[i] for i in ids_b])
 
     def _encode(self, chunks: list[list[str]]) -> dict[str, Group | None]:
-        """Pieces, each with its space; None for those whose bytes are not given back.
+        """Pieces by what they are cut to; None for those whose bytes are not given back.
 
         The pieces of a chunk follow each other as in a text. Those of a chunk that fails are tried one by one.
         """
-        texts = ["".join(chunk) for chunk in chunks]
+        parts = [[LEAD, *chain.from_iterable([(p,) if p[0] in SPACES else (LEAD, p) for p in chunk])] for chunk in chunks]
+        texts = ["".join(part) for part in parts]
         coded = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         other = self.b.encode([t[1:] for t in texts], num_threads=1)  # it puts a space before a text by itself
         good = [self._gives(t.encode(), a, b) for t, a, b in zip(texts, coded, other)]
         made: dict[str, Group | None] = {}
-        found = [list(chain.from_iterable(compress(lists, good))) for lists in (chunks, coded, other)]
+        found = [list(chain.from_iterable(compress(lists, good))) for lists in (parts, coded, other)]
         made.update(zip(found[0], self._groups([len(p.encode()) for p in found[0]], *found[1:])))
         for chunk, fine in zip(chunks, good):
             if not fine:
@@ -155,11 +167,11 @@ class Aligner:
         links = (flat_a[at_a[which] + k // n_b[which]] << 32 | flat_b[at_b[which] + k % n_b[which]]).astype("<i8").tobytes()
         large = {g: self._times(ids_a[cuts_a[g] : cuts_a[g + 1]], ids_b[cuts_b[g] : cuts_b[g + 1]]) for g in np.flatnonzero(n_links == 0).tolist()}
         edges = np.searchsorted(np.array(common, np.int64), np.cumsum(np.array(sizes, np.int64)), "right")
-        out, first, a, b, l = [], 0, 0, 0, 0
-        for last, next_a, next_b, next_l in zip(edges.tolist(), at_a[edges].tolist(), at_b[edges].tolist(), (8 * offsets[edges]).tolist()):
+        out, first, a, at = [], 0, 0, 0
+        for last, next_a, end in zip(edges.tolist(), at_a[edges].tolist(), (8 * offsets[edges]).tolist()):
             more = (sum((large[g] for g in range(first, last) if g in large), Counter()) or None) if large else None
-            out.append(Group(next_a - a, next_b - b, last - first, ";".join(texts[first:last]), links[l:next_l], more))
-            first, a, b, l = last, next_a, next_b, next_l
+            out.append(Group(next_a - a, ";".join(texts[first:last]), links[at:end], more))
+            first, a, at = last, next_a, end
         return out
 
     @staticmethod
@@ -172,7 +184,7 @@ class Aligner:
         """The groups of each text in order, none where it has no tokens."""
         gc.disable()  # nothing here refers to itself, and there are very many small objects
         try:
-            return self._align([pieces(t) if t else [] for t in texts], texts)
+            return self._align([pieces(t, self.cut) if t else [] for t in texts], texts)
         finally:
             gc.enable()
 
@@ -216,6 +228,16 @@ def held_pairs(groups: list[Group]) -> tuple[np.ndarray, np.ndarray]:
     return pairs, times
 
 
+def measures(groups: list[Group], times: np.ndarray) -> tuple[int, int, int, int, str]:
+    """Tokens of both lists, groups, links and the digest of a document. Groups are joined by semicolons, ids by commas."""
+    if not groups:
+        return 0, 0, 0, 0, ""
+    text = ";".join([g.text for g in groups])
+    n_groups, n_a = text.count(";") + 1, sum([g.n_a for g in groups])
+    n_b = text.count(",") + 2 * n_groups - n_a
+    return n_a, n_b, n_groups, int(times.sum()), hashlib.sha256(text.encode()).hexdigest()
+
+
 def aligner(path_a: str, path_b: str) -> Aligner:
     return worker_cache(f"align:{path_a}:{path_b}", lambda: Aligner(path_a, path_b))
 
@@ -261,8 +283,7 @@ def segments(docs: DataFrame, path_a: str, path_b: str, keys: Sequence[str], tex
                     held, n = held_pairs(groups)
                     codes.append(held)
                     times.append(n)
-                    digest = hashlib.sha256(";".join(g.text for g in groups).encode()).hexdigest() if groups else ""
-                    rows.append([*[sum(getattr(g, m) for g in groups) for m in MEASURES], digest, len(held)])
+                    rows.append([*measures(groups, n), len(held)])
                 pairs, places, n_docs = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
                 documents = [part.column(i) for i in range(len(keys))]
                 kinds = list(arrow.field("docs").type.value_type)
