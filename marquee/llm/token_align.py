@@ -38,11 +38,11 @@ from marquee.llm.common import map_texts, slices, worker_cache, written
 from marquee.llm.token_counts import balanced
 
 MISSING = object()
-REMEMBERED = 80_000
+REMEMBERED = 50_000
 REMEMBERED_CHARS = 64
 # A segment, and the pieces encoded and aligned at one time; a chunk is joined to one text for the tokenizers.
-SEGMENT_BYTES = 3 << 20
-BATCH_BYTES = 1 << 17
+SEGMENT_BYTES = 2 << 20
+BATCH_BYTES = 1 << 16
 CHUNK = 512
 # Pairs of a group that are listed one by one; beyond that they are counted.
 FEW_LINKS = 64
