@@ -14,7 +14,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
@@ -56,13 +56,19 @@ def positive_prob(name: str) -> Column:
     return vector_to_array(name)[1]
 
 
+def side_by_side(spark: SparkSession, fit: Callable, cases: Sequence, threads: int = 4) -> list:
+    """``fit`` of each case, in order; at most ``threads`` driver threads, which only submit jobs."""
+    with ThreadPool(threads) as pool:
+        return pool.map(inheritable_thread_target(spark)(fit), cases, chunksize=1)
+
+
 def fit_ovr(train: DataFrame, items: str, labels: Sequence[str], balanced: bool = False, max_iter: int = 1000) -> dict[str, Model]:
     """One logistic model per label of an array column; labels may co-occur, so they are independent models.
 
     ``balanced`` weighs both classes equally. The caller caches ``train``.
     """
-    models = {}
-    for label in labels:
+
+    def fit(label: str) -> Model:
         data = train.withColumn("_y", F.coalesce(F.array_contains(items, label), F.lit(False)).cast("double"))
         learner = LogisticRegression(featuresCol="features", labelCol="_y", maxIter=max_iter, regParam=0.01)
         if balanced:
@@ -70,8 +76,9 @@ def fit_ovr(train: DataFrame, items: str, labels: Sequence[str], balanced: bool
             weight = F.when(F.col("_y") == 1, 0.5 / F.nullif(F.col("_share"), F.lit(0.0))).otherwise(0.5 / F.nullif(1 - F.col("_share"), F.lit(0.0)))
             data = data.withColumn("_share", positive).withColumn("_w", F.coalesce(weight, F.lit(1.0)))
             learner = learner.setWeightCol("_w")
-        models[label] = learner.fit(data)
-    return models
+        return learner.fit(data)
+
+    return dict(zip(labels, side_by_side(train.sparkSession, fit, labels)))
 
 
 def score_labels(df: DataFrame, models: Mapping[str, Model], key: str, items: str) -> DataFrame:
@@ -151,8 +158,7 @@ def nested_folds(
         model = GBTRegressor(featuresCol="features", labelCol=y, maxIter=trees, seed=42, **settings).fit(earlier)
         return years[at], model.transform(own), {**settings, "trees": trees}
 
-    with ThreadPool(threads) as pool:
-        return pool.map(inheritable_thread_target(df.sparkSession)(fold), range(len(years)), chunksize=1)
+    return side_by_side(df.sparkSession, fold, range(len(years)), threads)
 
 
 def fit_als(train: DataFrame, rank: int = 50, iterations: int = 20, user: str = "user_idx", item: str = "item_idx") -> Model:
