@@ -274,6 +274,20 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(text)[0] == brute_spans(text), repr(text)
 
 
+def test_registered_counts_and_digest_equal_the_patterns(spark):
+    from marquee.llm import queries
+
+    folder, wanted = "/root/testdata/sf0.001", {}
+    for row in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        spans = brute_spans(row.text or "")
+        listed = sorted((start, k, end) for k, found in enumerate(spans) for start, end in found)
+        digest = hashlib.sha256(",".join(f"{pii.KINDS[k]}:{start}:{end}" for start, k, end in listed).encode()).hexdigest()
+        wanted[row.doc_id] = (*map(len, spans), digest)
+    rows = queries.op8_pii(spark, folder).collect()
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows} == wanted
+    assert all(any(w[k] for w in wanted.values()) for k in (0, 1, 3))
+
+
 def test_long_runs_cost_no_more_than_their_length():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 100_000, "@" * 100_000, "+1(" * 50_000):
         pii.scan(text)
