@@ -184,6 +184,12 @@ def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(mixed, "entry", "left_semi").select("entry", "number", "id", "of")
 
 
+def _attached(placed: DataFrame, known: DataFrame) -> DataFrame:
+    """Members with what is known of their ids, joined once per id: its entries, ``VALUES`` at most, meanwhile are a list."""
+    entries = F.collect_list(F.struct(*[c for c in placed.columns if c not in ("id", "of")])).alias("entries")
+    return placed.groupBy("id").agg(F.first("of").alias("of"), entries).join(known, "id").select(*known.columns, "of", F.inline("entries"))
+
+
 def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> DataFrame:
     """Blocks of members to compare: entry and its number, rows of one side, rows of the other.
 
@@ -194,20 +200,20 @@ def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> Dat
     main = mixed.groupBy("entry", "of").agg(F.count("*").alias("n")).groupBy("entry").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
     known = reps.select("id", "sig")
     if texts is not None:
-        known = known.join(texts, "id")  # once per id, not per entry
-    rows = mixed.join(main, "entry").join(known, "id")
-    row = F.struct("id", "of", "sig", *(["data"] if texts is not None else []))
-    rows = rows.withColumn("rest", F.col("of") != F.col("main")).withColumn("row", row)
-    whole = rows.where(F.col("n") <= BLOCK).groupBy("entry", "number").agg(
-        F.collect_list(F.when(F.col("rest"), F.col("row"))).alias("rows_a"), F.collect_list("row").alias("rows_b"),
+        known = known.join(texts, "id")
+    row = F.struct(*known.columns, "of")
+    rest = F.col("of") != F.col("main")
+    placed = mixed.join(main, "entry")
+    whole = _attached(placed.where(F.col("n") <= BLOCK), known).groupBy("entry", "number").agg(
+        F.collect_list(F.when(rest, row)).alias("rows_a"), F.collect_list(row).alias("rows_b"),
     )
     if main.where(F.col("n") > BLOCK).isEmpty():
         return whole
     blocks = (
-        rows.where(F.col("n") > BLOCK)
+        _attached(placed.where(F.col("n") > BLOCK), known).withColumn("rest", rest)
         .withColumn("blocks", F.ceil(F.when(F.col("rest"), F.col("n") - F.col("n_main")).otherwise(F.col("n_main")) / BLOCK).cast("long"))
         .withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-        .groupBy("entry", "number", "rest", "block").agg(F.collect_list("row").alias("rows"))
+        .groupBy("entry", "number", "rest", "block").agg(F.collect_list(row).alias("rows"))
     )
     left = blocks.where("rest").select("entry", "number", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
     right = blocks.select("entry", F.col("rest").alias("rest_b"), F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))

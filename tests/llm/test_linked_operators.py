@@ -116,6 +116,30 @@ def test_every_pair_under_the_guaranteed_distance_shares_an_entry():
         assert out not in held and (left == 0 or not equal[0, chunk * near_dup.WIDTH + out])
 
 
+def join_rows(node):
+    """Rows that each join of a plan has made, after it ran."""
+    inner = next((getattr(node, name)() for kind, name in (("AdaptiveSparkPlan", "executedPlan"), ("QueryStage", "plan")) if kind in node.nodeName()), None)
+    below = [inner] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    made = [node.metrics().apply("numOutputRows").value()] if "Join" in node.nodeName() else []
+    return made + [n for b in below for n in join_rows(b)]
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_signatures_join_members_once_per_id(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    ids, entries = range(8), range(40)
+    mixed = spark.createDataFrame([(e, e, i, i // 3) for e in entries for i in ids], "entry long, number int, id long, of long")
+    reps = spark.createDataFrame([(i, [i] * near_dup.VALUES) for i in ids], "id long, sig array<smallint>")
+    texts = spark.createDataFrame([(i, bytearray(b"t%d" % i)) for i in ids], "id long, data binary")
+    for known in (None, texts):
+        met = near_dup._meetings(mixed, reps, known)
+        pairs = {(r.entry, *sorted((a.id, b.id))) for r in met.collect() for a in r.rows_a for b in r.rows_b if a.of != b.of}
+        assert pairs == {(e, a, b) for e in entries for a in ids for b in ids if a < b and a // 3 != b // 3}
+        # Members meet their entries' figures one by one, signatures and texts only once per id.
+        made = sorted(join_rows(met._jdf.queryExecution().executedPlan()))
+        assert [n for n in made if n == len(ids)] and sum(n == len(ids) * len(entries) for n in made) <= (1 if block == 256 else 2)
+
+
 # ---------------------------------------------------------------- URL filter
 
 
