@@ -255,6 +255,21 @@ def test_order_follows_needs(spark):
     assert [got[3, c] for c in "abcd"] == [None, None, None, 0] and got[4, "s"] is None
 
 
+def test_needs_that_cannot_be_met_are_problems(spark):
+    body = '{"x": 1}'
+    calls = [
+        (1, 0, "a", "add", body, []), (1, 1, "b", "add", body, ["a"]), (1, 2, "c", "add", body, ["b", "missing", None, "missing"]), (1, 3, None, "add", "{}", ["a", "z"]),
+        (2, 0, "a", "add", body, ["c"]), (2, 1, "c", "add", body, []), (3, 0, "a", "add", body, ["b"]), (3, 1, "b", "add", body, ["a"]), (3, 2, "c", "add", body, ["b", "gone"]),
+        (3, 3, "d", "add", body, None),
+    ]
+    got = {(r.conv_id, r.call_id): list(r.problems) for r in link(spark, calls, [(3, 9, "orphan", "x")])}
+    cycle = "after: on or behind a cycle"
+    assert got == {
+        (1, "a"): [], (1, "b"): [], (1, "c"): ["after: no call missing", "after: no call null"], (1, None): ["after: no call z", "x: missing"], (2, "a"): [], (2, "c"): [],
+        (3, "a"): [cycle], (3, "b"): [cycle], (3, "c"): ["after: no call gone", cycle], (3, "d"): [], (3, "orphan"): [],
+    }
+
+
 def test_every_distinct_call_and_result_comes_back(spark):
     body = '{"x": 1}'
     calls = [(1, 0, "a", "add", body, None), (1, 1, "a", "add", body, None)] + [(None, t, "0", "add", body, None) for t in range(3)] + [(3, None, "n", None, None, None)]
