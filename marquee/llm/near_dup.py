@@ -23,13 +23,14 @@ that share an id share its fate; an empty table gives no rows; further columns d
 from __future__ import annotations
 
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import map_texts, text_bytes, written
+from marquee.llm.common import SLICE_BYTES, map_texts, text_bytes, written
 from marquee.llm.components import components
 
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
@@ -38,6 +39,9 @@ GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 # Five standard deviations above the mean distance of a pair at similarity 0.8 (12 of 60 values).
 NEAR = 27
 BLOCK = 256
+# Work of a task: comparisons of signatures, a member counting as MEMBER of them; pairs of texts. Shuffles of less work
+# than partitions are read by fewer tasks, TASKS per core at least, so that small graphs do not wait for idle ones.
+COMPARED, MEMBER, CONFIRMED, TASKS = 1 << 18, 64, 1 << 10, 4
 # Chosen ids are marked in a bitmap that filters texts before they move: 16 bits each, within these bounds (64 MB).
 BITMAP_BITS = 1 << 20, 1 << 29
 _RNG = np.random.default_rng(20)
@@ -148,11 +152,17 @@ def similar(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (small + large - both)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def _tasks(df: DataFrame, work: int, most: int, texts: DataFrame | None = None, rows: int = 0) -> int:
+    """Tasks that do no more than ``most`` of the work each and see no more than ``SLICE_BYTES`` of texts, at their mean size."""
+    seen = rows * (texts.agg(F.avg(F.octet_length("data"))).first()[0] or 0) if texts is not None else 0
+    return max(TASKS * df.sparkSession.sparkContext.defaultParallelism, -(-work // most), int(seen // SLICE_BYTES) + 1)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
+    """The pairs (a, b), ``rows`` at most, whose full shingle sets are similar enough; again for each text of an id."""
     left = texts.select(F.col("id").alias("a"), F.col("data").alias("data_a"))
     right = texts.select(F.col("id").alias("b"), F.col("data").alias("data_b"))
-    joined = pairs.select("a", "b").join(right, "b").join(left, "a")
+    joined = pairs.select("a", "b").join(right, "b").join(left, "a").coalesce(_tasks(pairs, rows, CONFIRMED, texts, 2 * rows))
 
     def run(batches):
         known, last, first = _Words(), None, None
@@ -165,7 +175,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 keep.append(similar(first, shingles(batch.column(3)[i].as_py(), size, known), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long").distinct()
+    return joined.select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -207,8 +217,10 @@ def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> Dat
     whole = _attached(placed.where(F.col("n") <= BLOCK), known).groupBy("entry", "number").agg(
         F.collect_list(F.when(rest, row)).alias("rows_a"), F.collect_list(row).alias("rows_b"),
     )
-    if main.where(F.col("n") > BLOCK).isEmpty():
-        return whole
+    work, rows, most = main.agg(F.sum(F.col("n") * (MEMBER + F.col("n") - F.col("n_main"))), F.sum("n"), F.max("n")).first()
+    few = _tasks(mixed, work or 0, COMPARED, texts, rows or 0)
+    if (most or 0) <= BLOCK:
+        return whole.coalesce(few)
     blocks = (
         _attached(placed.where(F.col("n") > BLOCK), known).withColumn("rest", rest)
         .withColumn("blocks", F.ceil(F.when(F.col("rest"), F.col("n") - F.col("n_main")).otherwise(F.col("n_main")) / BLOCK).cast("long"))
@@ -218,7 +230,7 @@ def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> Dat
     left = blocks.where("rest").select("entry", "number", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
     right = blocks.select("entry", F.col("rest").alias("rest_b"), F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
     met = left.join(right, "entry").where("not rest_b or block_a <= block_b")
-    return whole.unionByName(met.select("entry", "number", "rows_a", "rows_b"))
+    return whole.unionByName(met.select("entry", "number", "rows_a", "rows_b")).coalesce(few)
 
 
 def first_shared(equal: np.ndarray) -> np.ndarray:
@@ -231,36 +243,55 @@ def first_shared(equal: np.ndarray) -> np.ndarray:
     return chunk * WIDTH + np.where(places.any(axis=1), WIDTH - 1 - places.argmax(axis=1), 0)
 
 
-def _partners(row: dict, two: list[dict], sigs: np.ndarray, of: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``two`` of near rows in other components that share this entry first, and their distances."""
-    equal = sigs == np.array(row["sig"], np.int16)
-    far = VALUES - equal.sum(axis=1)
-    at = np.flatnonzero((far <= NEAR) & (of != row["of"]))
+class _Side(NamedTuple):
+    """One side of a block, a value or a row of values per member."""
+
+    ids: np.ndarray
+    of: np.ndarray
+    sigs: np.ndarray
+    data: pa.Array | None
+
+
+def _side(rows: pa.ListArray) -> list[_Side]:
+    """Sides of the blocks of a batch, cut out of its columns without a Python object per value."""
+    members = rows.flatten()
+    names = [f.name for f in members.type]
+    ids, of = (members.field(names.index(n)).to_numpy(zero_copy_only=False) for n in ("id", "of"))
+    sigs = members.field(names.index("sig")).flatten().to_numpy(zero_copy_only=False).reshape(-1, VALUES)
+    data = members.field(names.index("data")) if "data" in names else None
+    ends = np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    return [_Side(ids[i:j], of[i:j], sigs[i:j], None if data is None else data.slice(i, j - i)) for i, j in zip([0, *ends], ends)]
+
+
+def _sides(batch: pa.RecordBatch):
+    """Blocks of a batch: entry, its number, one side, the other."""
+    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _side(batch.column(2)), _side(batch.column(3)))
+
+
+def _partners(one: _Side, i: int, two: _Side, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``two`` of members near to member ``i``, in other components, that share this entry first; their distances."""
+    equal = two.sigs == one.sigs[i]
+    far = VALUES - np.count_nonzero(equal, axis=1)
+    at = np.flatnonzero((far <= NEAR) & (two.of != one.of[i]))
     if len(at):
         at = at[first_shared(equal[at]) == number]
     return at, far[at]
 
 
-def _sides(batch: pa.RecordBatch, i: int):
-    one, two = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-    return batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), one, two, np.array([r["of"] for r in two]), np.array([r["sig"] for r in two], np.int16)
-
-
 def _marked(meetings: DataFrame) -> DataFrame:
     """Members with a near partner in another component: entry, id, the nearest partner and its distance (one side only)."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for i in range(batch.num_rows):
-                entry, number, one, two, of, sigs = _sides(batch, i)
+            for entry, number, one, two in _sides(batch):
                 hit = set()
-                for row in one:
-                    at, far = _partners(row, two, sigs, of, number)
+                for i in range(len(one.ids)):
+                    at, far = _partners(one, i, two, number)
                     if len(at):
                         hit.update(at.tolist())
-                        out.append((entry, row["id"], two[at[far.argmin()]]["id"], int(far.min())))
-                out += [(entry, two[k]["id"], None, None) for k in sorted(hit)]
+                        out.append((entry, int(one.ids[i]), int(two.ids[at[far.argmin()]]), int(far.min())))
+                out += [(entry, int(two.ids[k]), None, None) for k in sorted(hit)]
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["entry", "id", "other", "far"])
 
@@ -268,28 +299,32 @@ def _marked(meetings: DataFrame) -> DataFrame:
 
 
 def _links(meetings: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between components inside blocks, by full sets."""
+    """Links (a, b) between components inside blocks, by full sets; twice at most."""
 
     def run(batches):
         known = _Words()
         for batch in batches:
             out_a, out_b = [], []
-            for i in range(batch.num_rows):
-                _, number, one, two, of, sigs = _sides(batch, i)
+            for _, number, one, two in _sides(batch):
                 sets = {}
-                for row in one:
-                    at, _ = _partners(row, two, sigs, of, number)
-                    mine = shingles(row["data"], size, known) if len(at) else None
+                for i in range(len(one.ids)):
+                    at, _ = _partners(one, i, two, number)
+                    mine = shingles(one.data[i].as_py(), size, known) if len(at) else None
                     for k in at.tolist():
                         if k not in sets:
-                            sets[k] = shingles(two[k]["data"], size, known)
+                            sets[k] = shingles(two.data[k].as_py(), size, known)
                         if similar(mine, sets[k], percent):
-                            out_a.append(row["id"])
-                            out_b.append(two[k]["id"])
+                            out_a.append(int(one.ids[i]))
+                            out_b.append(int(two.ids[k]))
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["x", "y"])
 
     found = meetings.mapInArrow(run, "x long, y long")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links. Each node's link to the least of its component stands for all links found before."""
+    return components(groups.select(F.col("component").alias("a"), F.col("id").alias("b")).unionAll(links))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,31 +348,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     pairs = written(pairs.select("a", "b", _distance("sig_a", "sig_b").alias("far")).where(F.col("far") <= NEAR), "near-pairs")
 
-    groups = None
-    if not pairs.isEmpty():
+    groups, rows = None, pairs.count()
+    if rows:
         texts = written(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text), "near-texts")
         nearest = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        links = written(confirm(nearest, texts, size, percent), "near-links")
-        groups = components(links)
+        groups = components(written(confirm(nearest, texts, size, percent, rows), "near-links"))
         rest = written(_apart(pairs.join(nearest, ["a", "b"], "left_anti"), groups).select("a", "b"), "near-rest")
         if not rest.isEmpty():
-            links = links.unionAll(written(confirm(rest, texts, size, percent), "near-links"))
-            groups = components(links)
+            groups = _joined(groups, written(confirm(rest, texts, size, percent, rows), "near-links"))
         mixed = written(_mixed(members, groups), "near-mixed")
         marked = written(_marked(_meetings(mixed, reps, None)), "near-marked")
         if not marked.isEmpty():
             texts = written(_texts(docs, marked, key, text), "near-texts")
             closest = marked.where("other is not null").groupBy("id").agg(F.min(F.struct("far", "other")).alias("best"))
             closest = closest.select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b")).distinct()
-            links = links.unionAll(written(confirm(closest, texts, size, percent), "near-links"))
-            groups = components(links)
+            groups = _joined(groups, written(confirm(closest, texts, size, percent, marked.count()), "near-links"))
             mixed = _mixed(members, groups).join(marked.select("entry", "id").distinct(), ["entry", "id"], "left_semi")
             mixed = written(mixed, "near-mixed")
-            links = links.unionAll(written(_links(_meetings(mixed, reps, texts), size, percent), "near-links"))
-            groups = components(links)
+            links = written(_links(_meetings(mixed, reps, texts), size, percent), "near-links")
+            if not links.isEmpty():
+                groups = _joined(groups, links)
     named = classes.select("digest", "rep")
     if groups is not None:
-        groups = written(groups, "near-groups")
         named = named.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
         named = named.select("digest", F.coalesce("component", "rep").alias("component"))
     else:

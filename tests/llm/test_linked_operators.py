@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,31 @@ def test_components_equal_union_find(spark, links):
     assert got == brute_components([link for link in links if link[0] != link[1]])
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles of 61 partitions that nothing merges."""
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield 61
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_rounds_have_as_many_tasks_as_links_need(spark, monkeypatch, many_partitions):
+    files, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, label: (lambda r: files.append(len(r.inputFiles())) or r)(write(df, label)))
+    links = [((i * 7919) % 3001, (i * 104729) % 3001) for i in range(2000)]
+    wanted = brute_components([link for link in links if link[0] != link[1]])
+    cores = spark.sparkContext.defaultParallelism
+    for rows, most in ((components.TASK_ROWS, cores), (100, many_partitions)):
+        monkeypatch.setattr(components, "TASK_ROWS", rows)
+        files.clear()
+        assert {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()} == wanted
+        assert max(files) <= most and (rows > 100 or max(files) > cores)
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
@@ -140,6 +166,44 @@ def test_signatures_join_members_once_per_id(spark, monkeypatch, block):
         assert [n for n in made if n == len(ids)] and sum(n == len(ids) * len(entries) for n in made) <= (1 if block == 256 else 2)
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_blocks_have_as_many_tasks_as_their_work_needs(spark, monkeypatch, many_partitions, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    mixed = spark.createDataFrame([(e, e, i, i // 3) for e in range(40) for i in range(8)], "entry long, number int, id long, of long")
+    reps = spark.createDataFrame([(i, [i] * near_dup.VALUES) for i in range(8)], "id long, sig array<smallint>")
+    texts = spark.createDataFrame([(i, bytearray(b"t%d" % i)) for i in range(8)], "id long, data binary")
+    few = near_dup.TASKS * spark.sparkContext.defaultParallelism
+    assert few < many_partitions
+    for known in (None, texts):
+        assert near_dup._meetings(mixed, reps, known).rdd.getNumPartitions() <= few
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 8)], "a long, b long")
+    assert near_dup.confirm(pairs, texts, 2, 80, 7).rdd.getNumPartitions() <= few
+    # More work, or larger texts, get more tasks.
+    monkeypatch.setattr(near_dup, "COMPARED", 1000)
+    assert near_dup._meetings(mixed, reps, None).rdd.getNumPartitions() > few
+    large = texts.withColumn("data", F.expr("cast(repeat('word ', 400000) as binary)"))
+    assert near_dup.confirm(pairs, large, 2, 80, 200).rdd.getNumPartitions() > few
+
+
+def test_further_links_join_components(spark):
+    first, more = [(i, i + 1) for i in range(0, 60, 3)], [(i + 1, i + 3) for i in range(0, 30, 3)] + [(90, 4)]
+    groups = components.components(spark.createDataFrame(first, "a long, b long"))
+    got = {r.id: r.component for r in near_dup._joined(groups, spark.createDataFrame(more, "a long, b long")).collect()}
+    assert got == brute_components(first + more)
+
+
+def test_sides_of_blocks_are_cut_out_of_batches():
+    rng = np.random.default_rng(5)
+    rows = [[{"id": int(rng.integers(1 << 40)), "sig": rng.integers(-(1 << 15), 1 << 15, near_dup.VALUES).tolist(), "data": b"x" * k, "of": k} for k in range(n)] for n in (3, 0, 5, 1)]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("sig", pa.list_(pa.int16())), ("data", pa.binary()), ("of", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, 10]), pa.array([1, 2, 3, 4]), pa.array(rows, kind), pa.array(rows[::-1], kind)], names=["entry", "number", "rows_a", "rows_b"])
+    for start in (0, 1, 2):
+        got = list(near_dup._sides(batch.slice(start)))
+        assert [(e, n) for e, n, _, _ in got] == [(7, 1), (8, 2), (9, 3), (10, 4)][start:]
+        for want, sides in ((rows, [x[2] for x in got]), (rows[::-1], [x[3] for x in got])):
+            assert [[{"id": i, "sig": s, "data": d, "of": o} for i, s, d, o in zip(x.ids.tolist(), x.sigs.tolist(), x.data.to_pylist(), x.of.tolist())] for x in sides] == want[start:]
+
+
 # ---------------------------------------------------------------- URL filter
 
 
