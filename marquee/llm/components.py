@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import written
+from marquee.llm.common import shuffled, written
 
 # Links per task; there are no fewer tasks than cores.
 TASK_ROWS = 1 << 16
@@ -31,9 +31,9 @@ def _rounds(links: DataFrame, rows: int) -> DataFrame:
     """One large-star and one small-star step over so many links with a > b."""
     few = tasks(links, rows)
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    large = both.join(_least(both, "x", "y").coalesce(few), F.col("x") == F.col("node")).where("y > x")
+    large = both.join(shuffled(_least(both, "x", "y").coalesce(few), rows), F.col("x") == F.col("node")).where("y > x")
     large = large.select(F.col("y").alias("a"), F.col("least").alias("b")).where("a <> b").coalesce(few)
-    small = large.join(_least(large, "a", "b").coalesce(few), F.col("a") == F.col("node"))
+    small = large.join(shuffled(_least(large, "a", "b").coalesce(few), rows), F.col("a") == F.col("node"))
     small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("l"))
     return small.coalesce(few).select("l.a", "l.b").where("a <> b").distinct().coalesce(few)
 

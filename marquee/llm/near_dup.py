@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import SLICE_BYTES, map_texts, text_bytes, written
+from marquee.llm.common import SLICE_BYTES, map_texts, shuffled, text_bytes, written
 from marquee.llm.components import components
 
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
@@ -134,14 +134,15 @@ def _texts(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
     """
     nodes = nodes.select("id").distinct()
     least, most = BITMAP_BITS
-    bits = min(most, max(least, 1 << (16 * nodes.count()).bit_length()))
+    n = nodes.count()
+    bits = min(most, max(least, 1 << (16 * n).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(bits))
     marks = nodes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("marks"))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     position = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substr("marks", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     likely = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "bucket").where(F.getbit(byte, (position % 8).cast("int")) == 1)
-    return likely.select("id", text_bytes("text").alias("data")).join(nodes, "id", "left_semi")
+    return likely.select("id", text_bytes("text").alias("data")).join(shuffled(nodes, n), "id", "left_semi")
 
 
 def similar(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
@@ -162,7 +163,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: i
     """The pairs (a, b), ``rows`` at most, whose full shingle sets are similar enough; again for each text of an id."""
     left = texts.select(F.col("id").alias("a"), F.col("data").alias("data_a"))
     right = texts.select(F.col("id").alias("b"), F.col("data").alias("data_b"))
-    joined = pairs.select("a", "b").join(right, "b").join(left, "a").coalesce(_tasks(pairs, rows, CONFIRMED, texts, 2 * rows))
+    joined = pairs.select("a", "b").join(shuffled(right), "b").join(shuffled(left), "a").coalesce(_tasks(pairs, rows, CONFIRMED, texts, 2 * rows))
 
     def run(batches):
         known, last, first = _Words(), None, None
@@ -178,17 +179,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: i
     return joined.select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
 
 
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
+def _apart(pairs: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
+    """Pairs whose ends are in different components. There are ``rows`` links at most in ``groups``."""
     for side in ("a", "b"):
         own = groups.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
-        pairs = pairs.join(own, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+        pairs = pairs.join(shuffled(own, rows), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
     return pairs.where("of_a <> of_b").drop("of_a", "of_b")
 
 
-def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, groups: DataFrame, links: int) -> DataFrame:
     """Members (entry, number, id, of) of the entries that hold several components beside their hub."""
-    rows = members.where("n > 2").join(groups.withColumnRenamed("component", "of"), "id", "left").withColumn("of", F.coalesce("of", "id"))
+    rows = members.where("n > 2").join(shuffled(groups.withColumnRenamed("component", "of"), links), "id", "left").withColumn("of", F.coalesce("of", "id"))
     rows = rows.where("id <> hub")  # the hub has met all others
     mixed = rows.groupBy("entry").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high")
     return rows.join(mixed, "entry", "left_semi").select("entry", "number", "id", "of")
@@ -197,7 +198,7 @@ def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
 def _attached(placed: DataFrame, known: DataFrame) -> DataFrame:
     """Members with what is known of their ids, joined once per id: its entries, ``VALUES`` at most, meanwhile are a list."""
     entries = F.collect_list(F.struct(*[c for c in placed.columns if c not in ("id", "of")])).alias("entries")
-    return placed.groupBy("id").agg(F.first("of").alias("of"), entries).join(known, "id").select(*known.columns, "of", F.inline("entries"))
+    return placed.groupBy("id").agg(F.first("of").alias("of"), entries).join(shuffled(known), "id").select(*known.columns, "of", F.inline("entries"))
 
 
 def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> DataFrame:
@@ -210,7 +211,7 @@ def _meetings(mixed: DataFrame, reps: DataFrame, texts: DataFrame | None) -> Dat
     main = mixed.groupBy("entry", "of").agg(F.count("*").alias("n")).groupBy("entry").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
     known = reps.select("id", "sig")
     if texts is not None:
-        known = known.join(texts, "id")
+        known = known.join(shuffled(texts), "id")
     row = F.struct(*known.columns, "of")
     rest = F.col("of") != F.col("main")
     placed = mixed.join(main, "entry")
@@ -341,10 +342,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     # Where the value left out is the same too, all members share the whole chunk and meet in its first entry.
     hubs = hubs.where((F.col("n") > 1) & ((F.col("low") != F.col("high")) | (F.col("number") % WIDTH == 0)))
     hubs = hubs.select("entry", F.col("hub").bitwiseXOR(mask).alias("hub"), "n")
-    members = written(index.drop("out").join(hubs, "entry"), "near-members")
+    members = written(index.drop("out").join(shuffled(hubs), "entry"), "near-members")
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     for side in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("size").alias(f"size_{side}")), side)
+        own = reps.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("size").alias(f"size_{side}"))
+        pairs = pairs.join(shuffled(own), side)
     pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     pairs = written(pairs.select("a", "b", _distance("sig_a", "sig_b").alias("far")).where(F.col("far") <= NEAR), "near-pairs")
 
@@ -353,24 +355,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         texts = written(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text), "near-texts")
         nearest = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         groups = components(written(confirm(nearest, texts, size, percent, rows), "near-links"))
-        rest = written(_apart(pairs.join(nearest, ["a", "b"], "left_anti"), groups).select("a", "b"), "near-rest")
+        rest = written(_apart(pairs.join(shuffled(nearest, rows), ["a", "b"], "left_anti"), groups, rows).select("a", "b"), "near-rest")
         if not rest.isEmpty():
             groups = _joined(groups, written(confirm(rest, texts, size, percent, rows), "near-links"))
-        mixed = written(_mixed(members, groups), "near-mixed")
+        mixed = written(_mixed(members, groups, rows), "near-mixed")
         marked = written(_marked(_meetings(mixed, reps, None)), "near-marked")
-        if not marked.isEmpty():
+        found = marked.count()
+        if found:
             texts = written(_texts(docs, marked, key, text), "near-texts")
             closest = marked.where("other is not null").groupBy("id").agg(F.min(F.struct("far", "other")).alias("best"))
             closest = closest.select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b")).distinct()
-            groups = _joined(groups, written(confirm(closest, texts, size, percent, marked.count()), "near-links"))
-            mixed = _mixed(members, groups).join(marked.select("entry", "id").distinct(), ["entry", "id"], "left_semi")
+            groups = _joined(groups, written(confirm(closest, texts, size, percent, found), "near-links"))
+            mixed = _mixed(members, groups, rows + found).join(shuffled(marked.select("entry", "id").distinct(), found), ["entry", "id"], "left_semi")
             mixed = written(mixed, "near-mixed")
             links = written(_links(_meetings(mixed, reps, texts), size, percent), "near-links")
             if not links.isEmpty():
                 groups = _joined(groups, links)
     named = classes.select("digest", "rep")
     if groups is not None:
-        named = named.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+        named = named.join(shuffled(groups.withColumnRenamed("id", "rep")), "rep", "left")
         named = named.select("digest", F.coalesce("component", "rep").alias("component"))
     else:
         named = named.withColumnRenamed("rep", "component")

@@ -372,3 +372,21 @@ def test_rows_of_other_roles_come_back(spark):
     other = [(r.conv_id, r.status, *json.loads(json.loads(r.record)["result"]).values()) for r in got if r.call_id is None]
     assert sorted(other, key=repr) == [(1, "orphan", "system", "s"), (1, "orphan", "tool", None), (1, "orphan", None, "n"), (2, "orphan", "system", "s")]
     assert [(r.call_id, r.status) for r in got if r.call_id] == [("1:1", "linked")]
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_near_duplicates_broadcast_no_exploded_index(spark, monkeypatch, threshold):
+    """Spark guesses the index of entries far too small, so nothing made of it may be broadcast whatever the threshold."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [t + " end" for t in texts[:10]])], "doc_id long, text string")
+    plans, write = {}, near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and write(df, label))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, size=2).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == {i: i % 20 for i in range(30)}
+    for label in ("near-members", "near-pairs", "near-links"):
+        assert "SortMergeJoin" in plans[label] and "BroadcastHashJoin" not in plans[label], label
