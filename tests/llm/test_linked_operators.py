@@ -319,6 +319,18 @@ def test_order_follows_needs(spark):
     assert [got[3, c] for c in "abcd"] == [None, None, None, 0] and got[4, "s"] is None
 
 
+def test_calls_without_turns_follow_their_needs(spark):
+    """A null turn orders nothing, so such a conversation gets levels, and its cycles are found."""
+    body, cycle = '{"x": 1}', ["after: on or behind a cycle"]
+    calls = [
+        (1, None, "a", "add", body, []), (1, None, "b", "add", body, ["a"]), (1, None, "c", "add", body, ["b"]),
+        (2, None, "a", "add", body, ["b"]), (2, None, "b", "add", body, ["a"]), (3, 4, "a", "add", body, []), (3, None, "b", "add", body, ["a"]),
+    ]
+    got = {(r.conv_id, r.call_id): (r.level, r.problems) for r in link(spark, calls, [])}
+    assert [got[1, c] for c in "abc"] == [(0, []), (1, []), (2, [])]
+    assert [got[2, c] for c in "ab"] == [(None, cycle)] * 2 and [got[3, c] for c in "ab"] == [(0, []), (1, [])]
+
+
 def test_needs_that_cannot_be_met_are_problems(spark):
     body = '{"x": 1}'
     calls = [
