@@ -274,6 +274,15 @@ def test_ridge_equals_the_closed_form(spark):
         assert model.coefficients.toArray() == pytest.approx(want, rel=1e-6)
 
 
+def test_factors_are_checkpointed_in_every_iteration(spark, monkeypatch):
+    """Else the shuffle files of all iterations stay on disk."""
+    made, real = {}, md.ALS
+    monkeypatch.setattr(md, "ALS", lambda **settings: made.update(settings) or real(**settings))
+    rows = [(u, i, float((u + i) % 5)) for u in range(6) for i in range(6)]
+    model = md.fit_als(spark.createDataFrame(rows, "user_idx long, item_idx long, rating double"), rank=2, iterations=3)
+    assert made["checkpointInterval"] == 1 and spark.sparkContext.getCheckpointDir() and model.userFactors.count() == 6
+
+
 def test_label_features_hold_nothing_of_the_genres():
     assert not {"genre_list", "genre_cnt"} & set(models.LABEL_FEATURES.all()) and {"genre_list", "genre_cnt"} <= set(models.FEATURES.all())
 
