@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +34,7 @@ from marquee.sources.sampling import key_sample
 PIVOTS = 64  # at least
 CHUNK_ROWS = 4096
 BLOCK_ROWS = 1 << 16
+MOST_NEWTON = 256  # values of a vector whose second derivatives are kept for each label
 
 
 def rmse(df: DataFrame, y: str, p: str) -> float:
@@ -62,11 +67,120 @@ def side_by_side(spark: SparkSession, fit: Callable, cases: Sequence, threads: i
         return pool.map(inheritable_thread_target(spark)(fit), cases, chunksize=1)
 
 
+def _summed(rows: DataFrame, labels: int, width: int, work: Callable) -> list[np.ndarray]:
+    """Per label, the sum over all rows of the ``width`` numbers that ``work(x, y)`` gives for a batch, a row per label."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((labels, width))
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i in (0, 1))
+                total += work(x.astype(float), y.astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(labels, dtype=np.int32)), pa.array([t.tobytes() for t in total])], names=["label", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b) for b in table.column("sums").to_pylist())
+        return pa.table({"label": table.column("label").slice(0, 1), "sums": pa.array([total.tobytes()])})
+
+    sums = rows.mapInArrow(part, "label int, sums binary").groupBy("label").applyInArrow(add, "label int, sums binary").collect()  # a row per label
+    return [np.frombuffer(r["sums"]) for r in sorted(sums, key=lambda r: r["label"])]
+
+
+def newton_ovr(train: DataFrame, items: str, labels: Sequence[str], balanced: bool, max_iter: int, penalty: float) -> dict[str, Model] | None:
+    """Logistic models of all labels by Newton steps, each one pass over the rows for all of them; none if vectors are wide.
+
+    The loss is that of Spark's learner: mean log loss, and half the penalty times the squares of the coefficients of features
+    divided by their deviations. Steps that raise a label's loss are halved. A label that all rows or none have is certain.
+    """
+    x = vector_to_array("features").alias("x")
+    y = F.array(*[F.coalesce(F.array_contains(items, label), F.lit(False)).cast("tinyint") for label in labels]).alias("y")
+    rows = train.select(x, y)
+    first = rows.first()
+    if first is None or len(first["x"]) > MOST_NEWTON:
+        return None
+    k, d = len(labels), len(first["x"])
+
+    def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        both = np.hstack([np.ones((len(x), 1)), x, x * x])
+        return np.hstack([np.tile(both.sum(axis=0), (k, 1)), y.T @ both])
+
+    sums = np.array(_summed(rows, k, 2 * (1 + 2 * d), moments)).reshape(k, 2, 1 + 2 * d)
+    every, true = sums[:, 0], sums[:, 1]
+    n, share = every[0, 0], true[:, 0] / every[0, 0]
+    one, none = np.ones(k), np.ones(k)
+    open_ = (share > 0) & (share < 1)
+    if balanced:
+        one[open_], none[open_] = 0.5 / share[open_], 0.5 / (1 - share[open_])
+    weighted = one[:, None] * true + none[:, None] * (every - true)
+    total, squares = weighted[:, 0], one**2 * true[:, 0] + none**2 * (n - true[:, 0])
+    mean = weighted[:, 1 : d + 1] / total[:, None]
+    spread = np.maximum(weighted[:, d + 1 :] / total[:, None] - mean**2, 0) * (total / np.maximum(total - squares / total, 1e-300))[:, None]
+    sd = np.where(spread > 1e-14 * (1 + mean**2), np.sqrt(spread), 0)
+    scale = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0)  # a feature without spread has no coefficient
+    at = np.zeros((k, d + 1))
+    odds = one * true[:, 0] / np.where(open_, none * (n - true[:, 0]), 1)
+    at[:, d] = np.log(np.where(open_, odds, 1))
+    places = np.tril_indices(d + 1)
+
+    def derivatives(at: np.ndarray) -> Callable:
+        def work(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = np.zeros((k, 1 + d + 1 + len(places[0])))
+            for i in np.flatnonzero(open_):
+                z = np.hstack([(x - mean[i]) * scale[i], np.ones((len(x), 1))])
+                margin, w = z @ at[i], np.where(y[:, i] > 0, one[i], none[i])
+                p = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
+                out[i, 0] = (w * (np.logaddexp(0, margin) - y[:, i] * margin)).sum()
+                out[i, 1 : d + 2] = z.T @ (w * (p - y[:, i]))
+                out[i, d + 2 :] = ((z * (w * p * (1 - p))[:, None]).T @ z)[places]
+            return out
+
+        return work
+
+    ridge = np.full(d + 1, penalty)
+    ridge[d] = 0
+    loss, step, old = np.full(k, np.inf), np.zeros((k, d + 1)), at.copy()
+    moving = open_.copy()
+    for _ in range(max_iter):
+        if not moving.any():
+            break
+        for i, sums in enumerate(_summed(rows, k, 1 + d + 1 + len(places[0]), derivatives(at))):
+            if not moving[i]:
+                continue
+            now = sums[0] / total[i] + 0.5 * (ridge * at[i] ** 2).sum()
+            if now > loss[i] + 1e-12 * (1 + abs(now)):
+                step[i] /= 2
+                at[i] = old[i] + step[i]
+                moving[i] = np.abs(step[i]).max() > 1e-10
+                continue
+            gradient = sums[1 : d + 2] / total[i] + ridge * at[i]
+            curve = np.zeros((d + 1, d + 1))
+            curve[places] = sums[d + 2 :] / total[i]
+            curve = curve + np.tril(curve, -1).T + np.diag(ridge)
+            loss[i], old[i], step[i] = now, at[i], -np.linalg.lstsq(curve, gradient, rcond=None)[0]
+            at[i] = old[i] + step[i]
+            moving[i] = np.abs(step[i]).max() > 1e-8
+    coefficients = at[:, :d] * scale
+    intercepts = at[:, d] - (coefficients * mean).sum(axis=1)
+    intercepts = np.where(open_, intercepts, np.where(share > 0, np.inf, -np.inf))
+    context = train.sparkSession.sparkContext
+
+    def model(i: int) -> Model:
+        weights = _py2java(context, Vectors.dense(coefficients[i]))
+        made = context._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(f"logistic_{uuid.uuid4().hex[:12]}", weights, float(intercepts[i]))
+        return LogisticRegressionModel(made)
+
+    return {label: model(i) for i, label in enumerate(labels)}
+
+
 def fit_ovr(train: DataFrame, items: str, labels: Sequence[str], balanced: bool = False, max_iter: int = 1000) -> dict[str, Model]:
     """One logistic model per label of an array column; labels may co-occur, so they are independent models.
 
-    ``balanced`` weighs both classes equally. The caller caches ``train``.
+    ``balanced`` weighs both classes equally. The caller caches ``train``. Vectors of up to ``MOST_NEWTON`` values are fitted for
+    all labels together, wider ones label by label.
     """
+    together = newton_ovr(train, items, labels, balanced, max_iter, 0.01) if labels else {}
+    if together is not None:
+        return together
 
     def fit(label: str) -> Model:
         data = train.withColumn("_y", F.coalesce(F.array_contains(items, label), F.lit(False)).cast("double"))

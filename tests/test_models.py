@@ -283,6 +283,26 @@ def test_factors_are_checkpointed_in_every_iteration(spark, monkeypatch):
     assert made["checkpointInterval"] == 1 and spark.sparkContext.getCheckpointDir() and model.userFactors.count() == 6
 
 
+@pytest.mark.parametrize("balanced", [False, True])
+def test_labels_fitted_together_equal_models_of_their_own(spark, monkeypatch, balanced):
+    """All labels in the same few passes, against Spark's learner label by label; also labels of all rows and of none."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(300):
+        x = rng.normal(size=3) * [1, 5, 0.2]
+        rows.append(([float(v) for v in x] + [2.0], [g for g, hit in (("a", x[0] > 0.3 + rng.normal()), ("b", x[1] > 9), ("all", True)) if hit] or None))
+    df = spark.createDataFrame(rows, "f array<double>, genres array<string>").select(array_to_vector("f").alias("features"), "genres").coalesce(3)
+    labels, passes, real = ["a", "b", "all", "no"], [], md._summed
+    monkeypatch.setattr(md, "_summed", lambda *a: passes.append(1) or real(*a))
+    got = md.fit_ovr(df, "genres", labels, balanced)
+    assert 3 <= len(passes) <= 30
+    monkeypatch.setattr(md, "MOST_NEWTON", 0)
+    want = md.fit_ovr(df, "genres", labels, balanced)
+    for label in labels:
+        assert got[label].coefficients.toArray() == pytest.approx(want[label].coefficients.toArray(), rel=1e-3, abs=1e-4), label
+        assert got[label].intercept == pytest.approx(want[label].intercept, rel=1e-3, abs=1e-4), label
+
+
 def test_label_features_hold_nothing_of_the_genres():
     assert not {"genre_list", "genre_cnt"} & set(models.LABEL_FEATURES.all()) and {"genre_list", "genre_cnt"} <= set(models.FEATURES.all())
 
