@@ -26,7 +26,7 @@ from marquee.functions.scalars import clamp
 from marquee.operators.evaluate import reg_metrics
 from marquee.operators.features import user_profiles
 from marquee.operators.paging import union_all
-from marquee.operators.prepare import Columns, fit_preprocessor, prepare
+from marquee.operators.prepare import Columns, chain, fit_preprocessor, vector_parts
 from marquee.sources.files import collect_bounded
 from marquee.session import shared_dir
 from marquee.sources.sampling import key_sample
@@ -347,14 +347,24 @@ def stack_models(
 def ablation(
     train: DataFrame, test: DataFrame, columns: Columns, groups: Mapping[str, Sequence[str]], fit: Callable[[DataFrame], Model], y: str
 ) -> DataFrame:
-    """(variant, rmse): all columns, then each group left out; every variant has its own preprocessor."""
+    """(variant, rmse): all columns, then each group left out.
+
+    What a preprocessor learns of a column does not depend on the others, so columns are learned and prepared once, and every
+    variant puts its own vector together and has its own model.
+    """
     variants = {"all": columns} | {f"without_{g}": columns.without(names) for g, names in groups.items()}
-    parts = []
-    for name, kept in variants.items():
-        prepared = fit_preprocessor(train, kept)
-        scored = fit(prepare(prepared, train)).transform(prepare(prepared, test))
-        parts.append(reg_metrics(scored, y, "prediction").select(F.lit(name).alias("variant"), "rmse"))
-    return union_all(parts)
+    learned = chain(*fit_preprocessor(train, columns).stages[:-1])
+    made = [learned.transform(df).select(*[F.col(f"`{c}`") for c in df.columns], *vector_parts(columns)).persist() for df in (train, test)]
+    found = []
+    try:
+        for name, kept in variants.items():
+            whole = VectorAssembler(inputCols=vector_parts(kept), outputCol="features")
+            own, other = (whole.transform(df).drop(*vector_parts(columns)) for df in made)
+            found.append((name, rmse(fit(own).transform(other), y, "prediction")))
+    finally:
+        for df in made:
+            df.unpersist()
+    return train.sparkSession.createDataFrame(found, "variant string, rmse double")
 
 
 def learning_curve(

@@ -101,10 +101,16 @@ def fit_text_encoder(train: DataFrame, text: str, size: int = 16, out: str = "em
     return Pipeline(stages=text_encoder(text, size, out, seed, learning_parts(train))).fit(train)
 
 
+def vector_parts(columns: Columns) -> list[str]:
+    """The columns that make up the vector, in its order. Each depends on its own raw column alone."""
+    kinds = {"scaled": columns.numeric, "coded": columns.categorical, "hot": columns.lists, "vector": columns.texts}
+    return [f"{c}_{kind}" for kind, names in kinds.items() for c in names]
+
+
 def stages(train: DataFrame, columns: Columns, out: str = "features") -> list:
-    """Stages of the preprocessor, numbers already fitted on ``train``."""
+    """Stages of the preprocessor, numbers already fitted on ``train``; the last puts the vector together."""
     assert_no_leakage(columns.all())
-    made, parts = [], []
+    made = []
     if columns.numeric:
         stats = {r["feature"]: r for r in numeric_statistics(train, columns.numeric).collect()}  # a row per column
         scaled = {}
@@ -113,22 +119,18 @@ def stages(train: DataFrame, columns: Columns, out: str = "features") -> list:
             value = f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), {_literal(fill)})"
             scaled[f"{c}_scaled"] = f"({value} - {_literal(mean)}) / {_literal(sd or 1.0)}"
         made.append(_select(scaled))
-        parts += list(scaled)
     if columns.categorical:
         filled, indexed, coded = ([f"{c}_{x}" for c in columns.categorical] for x in ("known", "index", "coded"))
         made.append(_select({f: f"coalesce(CAST(`{c}` AS STRING), '{MISSING}')" for f, c in zip(filled, columns.categorical)}))
         made.append(StringIndexer(inputCols=filled, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"))
         # The indexer puts unseen values last, and the last of its categories is the one dropped.
         made.append(OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True))
-        parts += coded
     for c in columns.lists:
         items = f"filter(transform(split(coalesce(`{c}`, ''), ','), x -> trim(x)), x -> x <> '')"
         made += [_select({f"{c}_items": items}), CountVectorizer(inputCol=f"{c}_items", outputCol=f"{c}_hot", binary=True, minDF=1, vocabSize=MOST_WORDS)]
-        parts.append(f"{c}_hot")
     for c in columns.texts:
         made += text_encoder(c, columns.text_size, f"{c}_vector", partitions=learning_parts(train))
-        parts.append(f"{c}_vector")
-    return [*made, VectorAssembler(inputCols=parts, outputCol=out)]
+    return [*made, VectorAssembler(inputCols=vector_parts(columns), outputCol=out)]
 
 
 def fit_preprocessor(train: DataFrame, columns: Columns, out: str = "features") -> PipelineModel:

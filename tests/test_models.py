@@ -303,6 +303,22 @@ def test_labels_fitted_together_equal_models_of_their_own(spark, monkeypatch, ba
         assert got[label].intercept == pytest.approx(want[label].intercept, rel=1e-3, abs=1e-4), label
 
 
+def test_ablation_learns_each_column_once(spark, monkeypatch):
+    """The same errors as with a preprocessor for each variant, from one."""
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b), "xyz"[i % 3], float(a + 2 * (i % 3) + rng.normal())) for i, (a, b) in enumerate(rng.normal(size=(60, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, c string, y double")
+    columns, groups = prepare.Columns(["a", "b"], ["c"]), {"one": ["a"], "kind": ["c"]}
+    want = {}
+    for name, kept in {"all": columns, "without_one": columns.without(["a"]), "without_kind": columns.without(["c"])}.items():
+        own = prepare.prepare(prepare.fit_preprocessor(df, kept), df)
+        want[name] = md.rmse(models.linear(own).transform(own), "y", "prediction")
+    fits, real = [], md.fit_preprocessor
+    monkeypatch.setattr(md, "fit_preprocessor", lambda *a: fits.append(1) or real(*a))
+    got = {r["variant"]: r["rmse"] for r in md.ablation(df, df, columns, groups, models.linear, "y").collect()}
+    assert got == pytest.approx(want) and len(fits) == 1
+
+
 def test_label_features_hold_nothing_of_the_genres():
     assert not {"genre_list", "genre_cnt"} & set(models.LABEL_FEATURES.all()) and {"genre_list", "genre_cnt"} <= set(models.FEATURES.all())
 
