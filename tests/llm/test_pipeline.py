@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from marquee.llm import near_dup
 from tests.conftest import DATA
 from tests.llm.test_linked_operators import brute_near
 from tests.llm.test_text_operators import brute_hits, brute_measures, brute_spans
@@ -69,3 +70,19 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
     empty = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_near_duplicate_stage_broadcasts_no_exploded_index(spark, monkeypatch):
+    """With Spark's default threshold the exploded index of signatures went through the driver."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts + [t + " end" for t in texts[:6]])], DOCS)
+    plans, write = {}, near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and write(df, label))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(12))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    for label in ("near-members", "near-pairs"):
+        assert "SortMergeJoin" in plans[label] and "BroadcastHashJoin" not in plans[label], label
